@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import ngramjoin
+
+    return ngramjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import imatch
 
@@ -52,7 +64,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op10_imatch)}
+    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op9_ngram_jaccard, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
