@@ -202,3 +202,22 @@ def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=out.names)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, out)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without ``text``, with ids, n_tokens and decoded_sha256, the digest of the ids' decoded bytes."""
+    import pyarrow as pa
+
+    keep = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "decoded_sha256")]
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches):
+        own = encoder(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # ids of few texts are held at a time
+                part = batch.slice(at, 500)
+                ids = [own.encode(x) for x in part.column(len(keep)).to_pylist()]
+                digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string())], names=out.names)
+
+    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, out)

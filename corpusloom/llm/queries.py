@@ -22,6 +22,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import html
+
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import langid
+
+    found = langid.identify_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "accepted")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with markup and address as evidence."""
+    from corpusloom.llm import langid
+
+    found = langid.identify_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host", "accepted")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import warc
 
@@ -64,7 +85,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op9_ngram_jaccard, op10_imatch)}
+    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op3_html_main_text, op4_language_id, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op9_ngram_jaccard, op10_imatch, language_id_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
