@@ -141,7 +141,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     counts = mix(docs, **how).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     counts = counts.select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"), "_copies", "_rows")
     rows = docs.withColumn("_n", n_words(F.col(text)))
-    joined = rows.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_size")))
+    joined = rows.join(counts.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_size")))
     order = F.row_number().over(W.partitionBy("_key", "_size").orderBy(F.xxhash64(F.col(text))))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (order <= F.pmod("_copies", "_rows")).cast("long")
     timed = joined.withColumn("_times", times).where("_times > 0")
