@@ -85,8 +85,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the column ``out``; the lexicon is that of ``docs`` itself."""
-    rows = docs.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
-    return hashes(rows, "_body", "_hashes", staged(lexicon(docs, text), "imatch-lexicon").scalar()).withColumn(out, fingerprint(F.col("_hashes"))).drop("_body", "_hashes")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    made = hashes(rows, "body", "hashed", staged(lexicon(docs, text), "imatch-lexicon").scalar())
+    return made.select(F.col("row").withField(out, fingerprint(F.col("hashed"))).alias("row")).select("row.*")
 
 
 def _ranges(docs: DataFrame, key: str) -> list[int]:

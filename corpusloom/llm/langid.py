@@ -192,4 +192,5 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose language is accepted; all columns stay as they are."""
     ids = identify_documents(docs, key).where("not accepted").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(ids, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
+    return rows.join(ids, F.col("id").eqNullSafe(F.col("_gone")), "left_anti").select("row.*")

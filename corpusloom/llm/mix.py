@@ -140,9 +140,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     key, text = how.get("key", "doc_id"), how.get("text", "text")
     counts = mix(docs, **how).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     counts = counts.select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"), "_copies", "_rows")
-    rows = docs.withColumn("_n", n_words(F.col(text)))
-    joined = rows.join(counts.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_size")))
-    order = F.row_number().over(W.partitionBy("_key", "_size").orderBy(F.xxhash64(F.col(text))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), n_words(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("h"))
+    joined = rows.join(counts.hint("merge"), F.col("id").eqNullSafe(F.col("_key")) & (F.col("n") == F.col("_size")))
+    order = F.row_number().over(W.partitionBy("_key", "_size").orderBy("h"))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (order <= F.pmod("_copies", "_rows")).cast("long")
-    timed = joined.withColumn("_times", times).where("_times > 0")
-    return timed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    timed = joined.withColumn("times", times).where("times > 0")
+    return timed.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

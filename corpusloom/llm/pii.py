@@ -208,7 +208,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
     return model
 
 
-def detect(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with _text, the base spans _email, _ip, _card, _phone, and _found: all spans (kind, start, end) by kind, then start."""
     rows = with_matches(docs, text)
     of = lambda i, k: F.transform(f"_{k}", lambda x: F.struct(F.lit(i).alias("i"), x["start"].alias("start"), x["end"].alias("end")))
@@ -239,7 +239,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; overlapping spans become the first one's. A null text stays null."""
-    rows = detect(docs, learn(docs, key, text), key, text)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = detect(packed, learn(docs, key, text))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["i"].alias("i"))))
 
@@ -248,5 +249,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(apart, F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, x["start"] - a["at"]), F.element_at(names, x["i"] + 1))).otherwise(a["out"]).alias("out"))
 
     redacted = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
-    out = F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(F.size("_found") == 0, F.col("_text")).otherwise(redacted)
-    return rows.withColumn(text, out).select(*docs.columns)
+    out = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("_found") == 0, F.col("_text")).otherwise(redacted)
+    return rows.select(F.col("row").withField(text, out).alias("row")).select("row.*")
