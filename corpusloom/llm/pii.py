@@ -187,10 +187,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
     drawn = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    some = with_candidates(with_matches(docs.where(drawn).select(F.col(key).alias("_key"), F.col(text).alias("_own")), "_own"))
+    # The drawn texts are stored first, or the search for candidates would be pushed before the draw.
+    own = staged(docs.where(drawn).select(F.col(key).alias("_key"), F.col(text).alias("_own")), "pii-sample")
+    some = with_candidates(with_matches(own, "_own"))
     one = some.select("_key", F.explode("_candidates").alias("c"))
     one = one.select("_key", F.col("c.sure").cast("double").alias("label"), *[f(F.col("c")).cast("double").alias(name) for name, f in FEATURES.items()])
-    one = staged(one.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "_key"), F.lit(3)) == 0).coalesce(4), "pii-candidates")
+    one = staged(one.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "_key"), F.lit(3)) == 0).repartition(4), "pii-candidates")
     counts = {(x.label, x.held): x["count"] for x in one.groupBy("label", "held").count().collect()}
     if not all(counts.get((label, held)) for label in (0.0, 1.0) for held in (False, True)):
         return None
