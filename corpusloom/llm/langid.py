@@ -1,6 +1,6 @@
 """Language of texts by Bayesian fusion of four kinds of evidence (operator 4).
 
-* text: likelihoods of hashed byte trigrams, one table row a bucket, learnt on
+* text: likelihoods of hashed byte trigrams of its words, one table row a bucket, learnt on
   a bounded sample of rows with a declared language; a further class ``und``
   with equal chances for all buckets stands for what is in no known language;
 * markup: how likely each language is declared as the one the row declares;
@@ -17,13 +17,16 @@ likelihoods, of which a few numbers a row are kept; everything after that works
 on them. A hot host is counted partially before the shuffle and joined as one
 row of a small table. The model has a fixed number of buckets.
 
-Cases: a null or blank text is rejected; a missing declaration, suffix or host
+Cases: a text that is null or has no words is rejected; words with digits or an
+at sign are left out of the evidence; a missing declaration, suffix or host
 is a value of its own; a table without any declared language has no classes but
 ``und``, so all rows are rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +42,22 @@ STRENGTH = 20.0
 UND = "und"
 
 
-def trigram_codes(text: str):
-    """The buckets of a text's byte trigrams, ASCII letters in lower case, runs of white space as one space."""
+#: Words with digits or an at sign (numbers, addresses, keys) say nothing about the language.
+NOT_WORDS = re.compile(r"\S*[0-9@]\S*")
+#: ASCII signs other than letters separate words.
+SIGNS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def words_only(text: str | None) -> bytes:
+    """The words of a text in lower case, one space between them, as UTF-8; empty if there are none."""
+    return b" ".join(NOT_WORDS.sub(" ", text or "").lower().encode().translate(SIGNS).split())
+
+
+def trigram_codes(words: bytes):
+    """The buckets of the byte trigrams of ``words_only``, a space before and after."""
     import numpy as np
 
-    data = np.frombuffer((" " + " ".join(text.split()).lower() + " ").encode(), dtype=np.uint8).astype(np.uint32)
+    data = np.frombuffer(b" " + words + b" ", dtype=np.uint8).astype(np.uint32)
     code = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
@@ -65,8 +79,8 @@ def learn(rows: DataFrame, key: str, text: str, declared: str):
     def count(batches):
         held: dict = {}
         for batch in batches:
-            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if body and body.strip():
+            for lang, body in zip(batch.column(0).to_pylist(), map(words_only, batch.column(1).to_pylist())):
+                if body:
                     held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))[:] += np.bincount(trigram_codes(body), minlength=BUCKETS)
         for lang, n in held.items():
             at = np.flatnonzero(n)
@@ -97,10 +111,9 @@ def text_evidence(rows: DataFrame, model, text: str = "text") -> DataFrame:
         own = shared.value
         for batch in batches:
             logs, blank = [], []
-            for body in batch.column(len(keep)).to_pylist():
-                empty = not body or not body.strip()
-                blank.append(empty)
-                logs.append([0.0] * own.shape[1] if empty else _total(own, trigram_codes(body)))
+            for body in map(words_only, batch.column(len(keep)).to_pylist()):
+                blank.append(not body)
+                logs.append(_total(own, trigram_codes(body)) if body else [0.0] * own.shape[1])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(logs, pa.list_(pa.float32())), pa.array(blank, pa.bool_())], names=out.names)
 
     return rows.select(*keep, text).mapInArrow(score, out)

@@ -89,4 +89,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries rest on hashes, learnt models or vocabularies; tests hold them against plain versions."""
+    from corpusloom.llm import oracles
+
+    return {"op3_html_main_text": oracles.OP3, "op5_warc": oracles.OP5, "op6_quality_rules": oracles.OP6, "op9_ngram_jaccard": oracles.OP9}
