@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
@@ -26,10 +25,14 @@ def sort_catalog(rows: DataFrame) -> DataFrame:
 
 
 def with_group_breaks(rows: DataFrame, by: str = "mode") -> DataFrame:
-    """``rows`` with header: whether the group differs from that of the entry before, in the list of each ``by``."""
+    """``rows`` with header: whether the group differs from that of the entry before, in the sorted list of each ``by``.
+
+    In a sorted list that is the first entry of each group, found without ordering the list. Entries must be distinct.
+    """
     rows = rows.withColumn("grp", paths.group_of(F.col("desc")))
-    before = F.lag("grp").over(W.partitionBy(by).orderBy("grp", "lhs", "desc"))
-    return rows.withColumn("header", ~F.col("grp").eqNullSafe(before))
+    first = rows.groupBy(F.col(by).alias("_by"), F.col("grp").alias("_grp")).agg(F.min(F.struct("lhs", "desc")).alias("_first"))
+    joined = rows.join(first, F.col(by).eqNullSafe(F.col("_by")) & (F.col("grp") == F.col("_grp")))
+    return joined.select(*rows.columns, F.struct("lhs", "desc").eqNullSafe(F.col("_first")).alias("header"))
 
 
 def catalog_report(rows: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
+from corpusloom.operators.ordered import with_adjacent, with_last
 
 #: Fixed value: a log line with this text counts as one file done.
 DONE_MARKER = "extracting tags of "
@@ -56,14 +56,13 @@ def size_stats(files: DataFrame) -> DataFrame:
 
 def carry_last_nonzero(samples: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """``samples`` with shown: the value, or where it is 0 the last one that wasn't."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return samples.withColumn("shown", F.last(F.nullif(F.col(value), F.lit(0).cast("double")), ignorenulls=True).over(w))
+    return with_last(samples, [by], order, F.nullif(F.col(value), F.lit(0).cast("double")), "shown")
 
 
 def status_intervals(status: DataFrame, by: str, order: list[str], ts: str, ttl: str) -> DataFrame:
     """``status`` with until: the next status of the job, or the end of ``ttl`` (an interval as text), whichever is first."""
-    after = F.lead(ts).over(W.partitionBy(by).orderBy(*order))
-    return status.withColumn("until", F.least(after, F.col(ts) + F.expr(f"INTERVAL {ttl}")))
+    led = with_adjacent(status, [by], order, ts, after="_next", before="_previous")
+    return led.select(*status.columns, F.least(F.col("_next"), F.col(ts) + F.expr(f"INTERVAL {ttl}")).alias("until"))
 
 
 def current_status(status: DataFrame, by: str, ts: str, tie: str, value: str) -> DataFrame:

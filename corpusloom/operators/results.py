@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import with_adjacent
+
 #: Fixed value: results and references of one query at most.
 CAP = 200
 
@@ -20,12 +22,7 @@ def scope_results(hits: DataFrame, path: str | None = None) -> DataFrame:
 
 def with_neighbours(hits: DataFrame, by: list[str], order: list[str], value: str, wrap: bool = False) -> DataFrame:
     """``hits`` with next and previous ``value`` of the list ``by``; at its ends null, or with ``wrap`` the other end."""
-    w = W.partitionBy(*by).orderBy(*order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    after, before = F.lead(value).over(w), F.lag(value).over(w)
-    if wrap:
-        after, before = F.coalesce(after, F.first(value).over(whole)), F.coalesce(before, F.last(value).over(whole))
-    return hits.withColumns({"next": after, "previous": before})
+    return with_adjacent(hits, by, order, value, wrap=wrap)
 
 
 def first_nonempty_tier(hits: DataFrame, query: str = "query", tier: str = "tier") -> DataFrame:

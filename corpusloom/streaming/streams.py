@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators.ordered import with_adjacent
 from corpusloom.sources.tables import shared_dir
 
 
@@ -96,8 +96,8 @@ def throttle_stream(stream: DataFrame, key: str, tie: str, gap_us: int) -> DataF
 
 def debounce(rows: DataFrame, key: str, tie: str, gap: str) -> DataFrame:
     """The last row of each burst: those after which the key is silent for the interval ``gap``."""
-    after = F.lead("ts").over(W.partitionBy(key).orderBy("ts", tie))
-    return rows.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + F.expr(f"INTERVAL {gap}"))).drop("_next")
+    led = with_adjacent(rows, [key], ["ts", tie], "ts", after="_next", before="_previous")
+    return led.where(F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + F.expr(f"INTERVAL {gap}"))).select(rows.columns)
 
 
 def sample_latest(rows: DataFrame, key: str, value: str, tie: str, period: str) -> DataFrame:
