@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """This application's folder below the one all executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where the cluster names none (tests on one machine) one is set here.
     """
@@ -22,7 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         context.setCheckpointDir(found)
-    return found
+    return f"{found}/{context.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has left in the shared folder; nothing built on it can be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

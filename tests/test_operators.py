@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths
 from corpusloom.operators import catalog, grep, index, progress, resolve, results, rules
 from corpusloom.sources import corpus
-from corpusloom.sources.tables import shared_dir
+from corpusloom.sources.tables import drop_scratch, shared_dir, staged
 from corpusloom.streaming import streams
 
 FILE = "origin string, root string, rel_path string, text string"
@@ -192,5 +192,9 @@ def test_stream_state_spans_batches(spark, tmp_path):
     assert sorted(r.i for r in streams.run_to_end(streams.throttle_stream(stream, "k", "i", 500_000), "append").collect()) == [0, 500, 1000]
 
 
-def test_shared_folder_is_the_sessions(spark):
-    assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+def test_scratch_lies_in_the_sessions_shared_folder_and_goes(spark):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert shared_dir(spark) == f"{base}/{spark.sparkContext.applicationId}"
+    kept = staged(spark.range(3), "t")
+    assert kept.count() == 3
+    assert drop_scratch(spark) and not drop_scratch(spark)
