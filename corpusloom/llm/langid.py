@@ -99,13 +99,15 @@ def learn(rows: DataFrame, key: str, text: str, declared: str):
 
 
 def text_evidence(rows: DataFrame, model, text: str = "text") -> DataFrame:
-    """``rows`` without ``text``, with loglik (a number for each class, tempered) and blank."""
+    """``rows`` without ``text``, with loglik (a number for each class, tempered), text_p (the posterior by text alone) and blank."""
+    import numpy as np
     import pyarrow as pa
 
     langs, table = model
+    prior = np.log(np.array([*[(1 - UND_PRIOR) / max(1, len(langs))] * len(langs), UND_PRIOR]))
     shared = rows.sparkSession.sparkContext.broadcast(table)
     keep = [c for c in rows.columns if c != text]
-    out = T.StructType([*[rows.schema[c] for c in keep], T.StructField("loglik", T.ArrayType(T.FloatType())), T.StructField("blank", T.BooleanType())])
+    out = T.StructType([*[rows.schema[c] for c in keep], T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("text_p", T.ArrayType(T.DoubleType())), T.StructField("blank", T.BooleanType())])
 
     def score(batches):
         own = shared.value
@@ -114,7 +116,8 @@ def text_evidence(rows: DataFrame, model, text: str = "text") -> DataFrame:
             for body in map(words_only, batch.column(len(keep)).to_pylist()):
                 blank.append(not body)
                 logs.append(_total(own, trigram_codes(body)) if body else [0.0] * own.shape[1])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(logs, pa.list_(pa.float32())), pa.array(blank, pa.bool_())], names=out.names)
+            by_text = _softmax(np.array(logs).reshape(-1, len(prior)) + prior).tolist() if logs else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(logs, pa.list_(pa.float64())), pa.array(by_text, pa.list_(pa.float64())), pa.array(blank, pa.bool_())], names=out.names)
 
     return rows.select(*keep, text).mapInArrow(score, out)
 
@@ -129,54 +132,68 @@ def _total(table, codes) -> list[float]:
     return (total * TEMPER).tolist()
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+def _softmax(logs):
+    import numpy as np
+
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def _matrix(column, width: int):
+    """A column of lists of ``width`` numbers as a matrix."""
+    import numpy as np
+
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
 
 
 def fuse(evidence: DataFrame, langs: list[str], declared: str, suffix: str, host: str, domain: str) -> DataFrame:
-    """``evidence`` (see ``text_evidence``) with posterior, lang, confidence, text_lang and accepted."""
-    names = [*langs, UND]
-    prior = F.array(*[F.log(F.lit((1 - UND_PRIOR) / max(1, len(langs)) if n != UND else UND_PRIOR)) for n in names])
-    rows = evidence.withColumn("_p", _softmax(F.zip_with("loglik", prior, lambda a, b: a.cast("double") + b)))
-    rows = rows.withColumns({"_p": F.when(F.col("blank"), F.transform(prior, lambda x: F.exp(x))).otherwise(F.col("_p")), "_mass": F.when(F.col("blank"), F.lit(0.0)).otherwise(F.lit(1.0))})
-    sums = [F.sum(F.col("_mass") * F.col("_p")[i]) for i in range(len(names))]
-    soft = lambda: F.array(*sums)
-
-    def counted(by: str) -> DataFrame:
-        return rows.groupBy(F.col(by).alias(f"_{by}_k")).agg(soft().alias(f"_{by}_n"), F.sum("_mass").alias(f"_{by}_all"))
-
-    whole = rows.agg(soft().alias("_whole"), F.sum("_mass").alias("_all"))
-    total = F.greatest(F.coalesce(F.col("_all"), F.lit(0.0)), F.lit(1.0))
-    # One row of as many numbers as classes.
-    base = whole.select(F.transform(F.coalesce("_whole", F.array(*[F.lit(0.0)] * len(names))), lambda n: (n + 1.0) / (total + float(len(names)))).alias("base")).first()["base"]
-    shares = F.array(*[F.lit(x) for x in base])
-    for by in (declared, suffix, host, domain):
-        table = counted(by)
-        rows = rows.join(table, F.col(by).eqNullSafe(F.col(f"_{by}_k")), "left")
-    own = F.transform("_p", lambda p: p * F.col("_mass"))
-    # Hosts: without the row itself, towards the domain, and that towards all.
-    less = lambda counts: F.zip_with(counts, own, lambda n, p: F.greatest(n - p, F.lit(0.0)))
-    smooth = lambda counts, n, parent: F.zip_with(counts, parent, lambda c, q: (c + STRENGTH * q) / (F.greatest(n, F.lit(0.0)) + STRENGTH))
-    rows = rows.withColumn("_at_domain", smooth(less(F.col(f"_{domain}_n")), F.col(f"_{domain}_all") - F.col("_mass"), shares))
-    rows = rows.withColumn("_at_host", smooth(less(F.col(f"_{host}_n")), F.col(f"_{host}_all") - F.col("_mass"), F.col("_at_domain")))
-
-    def told(by: str) -> Column:
-        """log P(value | class), each value smoothed by its share in all rows."""
-        share = (F.col(f"_{by}_all") + 1.0) / F.lit(float(max(1.0, total_mass)) + 1.0)
-        return F.transform(F.arrays_zip(less(F.col(f"_{by}_n")).alias("n"), shares.alias("q")), lambda x: F.log((x["n"] + STRENGTH * share) / (F.lit(float(max(1.0, total_mass))) * x["q"] + STRENGTH)))
-
-    total_mass = whole.first()["_all"] or 0.0
-    logs = F.zip_with("loglik", F.transform("_at_host", lambda q: F.log(q)), lambda a, b: a.cast("double") + b)
-    for by in (declared, suffix):
-        logs = F.zip_with(logs, told(by), lambda a, b: a + b)
-    rows = rows.withColumn("_logs", logs).withColumn("posterior", _softmax(F.col("_logs")))
-    classes = F.array(*[F.lit(n) for n in names])
-    best = lambda p: F.element_at(classes, F.array_position(p, F.array_max(p)).cast("int"))
-    rows = rows.withColumns({"lang": best(F.col("posterior")), "confidence": F.array_max("posterior"), "text_lang": F.when(~F.col("blank"), best(F.col("_p")))})
-    rows = rows.withColumn("accepted", ~F.col("blank") & (F.col("lang") != UND) & (F.col("confidence") >= LEAST))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")], "loglik")
+    """``evidence`` (see ``text_evidence``) with posterior, lang, confidence, text_lang and accepted.
+
+    Counts are grouped aggregation and equi-joins; the products of a row are made by matrices a batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names, width = [*langs, UND], len(langs) + 1
+    sums = F.array(*[F.sum(F.when(F.col("blank"), 0.0).otherwise(F.get("text_p", F.lit(i)))) for i in range(width)])
+    mass = F.sum(F.when(F.col("blank"), 0.0).otherwise(1.0))
+    whole = evidence.agg(sums.alias("n"), mass.alias("all")).first()  # one row of as many numbers as classes
+    total = max(1.0, whole["all"] or 0.0)
+    shares = (np.array([x or 0.0 for x in whole["n"]]) + 1.0) / (total + width)
+    rows = evidence
+    keys = (declared, suffix, host, domain)
+    for by in keys:
+        counts = evidence.groupBy(F.col(by).alias(f"_{by}_k")).agg(sums.alias(f"_{by}_n"), mass.alias(f"_{by}_all"))
+        rows = rows.join(counts, F.col(by).eqNullSafe(F.col(f"_{by}_k")), "left").drop(f"_{by}_k")
+    keep = [c for c in evidence.columns if c not in ("loglik", "text_p", "blank")]
+    out = T.StructType([*[evidence.schema[c] for c in keep], T.StructField("posterior", T.ArrayType(T.DoubleType())), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("text_lang", T.StringType()), T.StructField("accepted", T.BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = lambda name: batch.column(batch.schema.get_field_index(name))
+            blank = of("blank").to_numpy(zero_copy_only=False)
+            text_p = _matrix(of("text_p"), width)
+            own = np.where(blank[:, None], 0.0, text_p)
+            # What is counted without the row itself.
+            n = {by: np.maximum(_matrix(of(f"_{by}_n"), width) - own, 0.0) for by in keys}
+            every = {by: of(f"_{by}_all").to_numpy(zero_copy_only=False).astype(np.float64) for by in keys}
+            others = {by: np.maximum(every[by] - ~blank, 0.0)[:, None] for by in keys}
+            at_domain = (n[domain] + STRENGTH * shares) / (others[domain] + STRENGTH)
+            at_host = (n[host] + STRENGTH * at_domain) / (others[host] + STRENGTH)
+            logs = _matrix(of("loglik"), width) + np.log(at_host)
+            for by in (declared, suffix):  # how likely a class has the value, smoothed by the value's share of all rows
+                share = (every[by][:, None] + 1.0) / (total + 1.0)
+                logs += np.log((n[by] + STRENGTH * share) / (total * shares + STRENGTH))
+            posterior = _softmax(logs)
+            best, sure, by_text = posterior.argmax(axis=1), posterior.max(axis=1), text_p.argmax(axis=1)
+            ok = ~blank & (best < width - 1) & (sure >= LEAST)
+            offsets = pa.array(np.arange(0, (len(best) + 1) * width, width, dtype=np.int32))
+            texts = [None if empty else names[i] for i, empty in zip(by_text, blank)]
+            yield pa.RecordBatch.from_arrays([*[of(c) for c in keep], pa.ListArray.from_arrays(offsets, pa.array(posterior.reshape(-1))), pa.array([names[i] for i in best], pa.string()), pa.array(sure), pa.array(texts, pa.string()), pa.array(ok)], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def identify(rows: DataFrame, key: str, text: str, declared: Column, host: Column, suffix: Column | None = None, domain: Column | None = None) -> DataFrame:
