@@ -7,7 +7,7 @@ records for repeated payloads, ``read_warc`` reads them back by Content-Length.
 
 Each archive is one part file of Spark's text writer in the shared folder: a
 record is a row and the blank lines that must follow it are the line separator.
-Files are gzip streams of about ``ARCHIVE_BYTES`` of payload, so a reader task
+Files are gzip streams of at most ``MOST_RECORDS`` records, so a reader task
 holds one small archive at a time. Writers commit through Spark, so a lost
 executor's files are written again.
 
@@ -31,9 +31,7 @@ from pyspark.sql import types as T
 
 from corpusloom.sources.tables import shared_dir, staged
 
-#: Bytes of payload in one archive, about; a longer payload stands alone.
-ARCHIVE_BYTES = 8 << 20
-#: Records in one WARC file at most.
+#: Records in one archive file at most.
 MOST_RECORDS = 5000
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 0
@@ -68,10 +66,11 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, key: str = "page_
     fixed = f"{version} 0 own\n" + " ".join(ARC_FIELDS[version]) + "\n"
     line = {"url": "filedesc://pages.arc", "ip": "0.0.0.0", "date": _DATE, "type": "text/plain", "code": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "pages.arc", "length": str(len(fixed))}
     block = " ".join(line[n] for n in names) + "\n" + fixed
-    # The first row of each partition gets the version block before it, with the line feed that separates records.
-    first = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) == 0
+    # The first row of each file gets the version block before it, with the line feed that separates records; a
+    # partition's rows are numbered from a multiple of 2 ** 33, and each MOST_RECORDS of them are a file.
+    first = F.pmod(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)), F.lit(MOST_RECORDS)) == 0
     stored = pages.select(record.alias("record")).select(F.when(first, F.concat(F.lit(block + "\n"), F.col("record"))).otherwise(F.col("record")).alias("value"))
-    stored.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    stored.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
 
 
 def arc_records(data: bytes):
@@ -222,16 +221,10 @@ def read_warc(spark, folder: str) -> DataFrame:
     return _files(spark, folder).mapInArrow(run, READ)
 
 
-def archives(pages: DataFrame, html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """``pages`` dealt to as many partitions as archives of about ``archive_bytes`` are needed."""
-    total = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(html), F.lit(""))))).first()[0] or 0
-    return pages.repartition(max(1, -(-total // archive_bytes)))
-
-
 def pages_to_warc(pages: DataFrame, version: int = 1) -> str:
     """Write ``pages`` as ARC, convert them, write WARC; returns the folder of the WARC files."""
     spark = pages.sparkSession
     arc, warc = _folder(spark, "arc"), _folder(spark, "warc")
-    write_arc(archives(pages.select("page_id", "url", "html")), arc, version)
+    write_arc(pages.select("page_id", "url", "html"), arc, version)
     write_warc(with_revisits(staged(convert(spark, arc), "arc-records")), warc)
     return warc

@@ -55,8 +55,9 @@ def test_pages(spark, sf_dir):
 # --- 5 ---
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_warc_round_trip(spark, sf_dir, version):
+@pytest.mark.parametrize("version, records", [(1, 5000), (2, 7)])
+def test_warc_round_trip(spark, sf_dir, version, records, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_RECORDS", records)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     more = spark.createDataFrame([(9001, None, None), (9002, "http://a b/é", ""), (9003, "http://x/", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n"), (9004, "http://y/ ", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n"), (9005, "http://z/", "\n\n1 0 own\n"), (9006, "-", "x" * 300000)], "page_id long, url string, html string")
     every = pages.select("page_id", "url", "html").unionByName(more)
