@@ -151,17 +151,25 @@ def convert(spark, folder: str) -> DataFrame:
     return _files(spark, folder).mapInArrow(run, CONVERTED)
 
 
-def with_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``records`` with record_type and refers_to: the smallest page_id of equal payloads is the response.
+def first_pages(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(_digest, _bytes, _first) of the payloads that more than one record has, with their smallest page_id.
 
     Equal payloads are found on (digest, length) with partial minima, so a
-    payload of very many pages is no hot task; the join back is one that Spark
-    splits where it is skewed.
+    payload of very many pages is no hot task.
+    """
+    groups = records.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
+    return groups.agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where(f"_n > 1 AND _bytes >= {least}").drop("_n")
+
+
+def with_revisits(records: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``records`` with record_type and refers_to: of equal payloads ``first_pages`` names the response.
+
+    An equi-join by the size of ``firsts``: where that is too large to be
+    broadcast, Spark splits what is skewed.
     """
-    firsts = records.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where(f"_n > 1 AND _bytes >= {least}")
     joined = records.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     revisit = F.coalesce(F.col("page_id") != F.col("_first"), F.lit(False))
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_digest", "_bytes", "_first", "_n")
+    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_digest", "_bytes", "_first")
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
@@ -226,5 +234,7 @@ def pages_to_warc(pages: DataFrame, version: int = 1) -> str:
     spark = pages.sparkSession
     arc, warc = _folder(spark, "arc"), _folder(spark, "warc")
     write_arc(pages.select("page_id", "url", "html"), arc, version)
-    write_warc(with_revisits(staged(convert(spark, arc), "arc-records")), warc)
+    # Records are parsed twice: first for their digests alone, so that payloads aren't stored once more.
+    digests = convert(spark, arc).select("page_id", "payload_digest", "payload_bytes")
+    write_warc(with_revisits(convert(spark, arc), staged(first_pages(digests), "arc-repeats")), warc)
     return warc
