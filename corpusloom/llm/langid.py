@@ -165,7 +165,7 @@ def fuse(evidence: DataFrame, langs: list[str], declared: str, suffix: str, host
     for by in keys:
         counts = evidence.groupBy(F.col(by).alias(f"_{by}_k")).agg(sums.alias(f"_{by}_n"), mass.alias(f"_{by}_all"))
         rows = rows.join(counts, F.col(by).eqNullSafe(F.col(f"_{by}_k")), "left").drop(f"_{by}_k")
-    keep = [c for c in evidence.columns if c not in ("loglik", "text_p", "blank")]
+    keep = [c for c in evidence.columns if c not in ("loglik", "text_p", "blank", "posterior", "lang", "confidence", "text_lang", "accepted")]
     out = T.StructType([*[evidence.schema[c] for c in keep], T.StructField("posterior", T.ArrayType(T.DoubleType())), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("text_lang", T.StringType()), T.StructField("accepted", T.BooleanType())])
 
     def run(batches):
