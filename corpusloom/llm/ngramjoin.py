@@ -7,10 +7,11 @@ Bands and rows are chosen for the target recall at the threshold. Sets meet on
 band hashes:
 
 * in a bucket of at most ``SMALL`` sets every two are a candidate pair;
-* in a larger bucket each set is paired with two hubs, so pairs grow with the
-  rows, not with the square of a group: the set that meets the most others over
-  all bands, which is the centre of its family, and one drawn by a hash for that
-  band. Two similar texts share several bands, with other hubs.
+* a larger bucket is cut into blocks of about ``BLOCK_SETS`` sets or ``BLOCK_WEIGHT``
+  hashes, and every two blocks are compared whole in one group: all pairs of the
+  bucket are verified, but what leaves a group is one row a set, with the number of
+  its links and one set of its component, not the pairs. A pair that shares several
+  large buckets is counted in the first band of them only, and not among the others.
 
 Candidates are verified on the full sets. Verified links give classes by
 connected components, with minimum labels and pointer jumping.
@@ -18,7 +19,8 @@ connected components, with minimum labels and pointer jumping.
 How it scales: what is shuffled for banding is one number a band and set; sets
 of hashes are made only for representatives that have a candidate; counts are
 partial before each shuffle; every join on a key that can be hot is an ordinary
-equi-join, which Spark splits where it is skewed. Nothing is collected; rounds
+equi-join, which Spark splits where it is skewed. A family of m different sets
+costs m squared comparisons, dealt in block pairs; its rows grow by its blocks. Nothing is collected; rounds
 of the components end by one count each.
 
 Cases: a null or blank text has an empty set, no links and a class of its own;
@@ -40,6 +42,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 #: Sets in a bucket up to which all pairs are candidates.
 SMALL = 12
+#: Sets and hashes of a block of a larger bucket, about; columns of a matrix of them at a time.
+BLOCK_SETS, BLOCK_WEIGHT, COLUMNS = 1024, 1 << 18, 4096
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -111,22 +115,110 @@ def band_hashes(rows: DataFrame, bands: int, per_band: int, seed: int = 3) -> Da
     return rows.select("doc_id", "set_key", "shingles").mapInArrow(run, out)
 
 
-def candidate_pairs(sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives to verify, from ``sets`` (rep, bands)."""
-    spread = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    met = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("_band"), F.col("key").alias("_key"), "n")
-    same = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
-    rows = staged(spread.join(met, same).drop("_band", "_key"), "ngram-buckets")
+def meetings(sets: DataFrame) -> DataFrame:
+    """(rep, size, band, key, n, weight) of ``sets`` (rep, size, bands) in each bucket of n > 1 sets with ``weight`` hashes in all, staged."""
+    spread = sets.select("rep", "size", F.posexplode("bands").alias("band", "key"))
+    met = spread.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select(F.col("band").alias("_band"), F.col("key").alias("_key"), "n", "weight")
+    return staged(spread.join(met, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).drop("_band", "_key"), "ngram-buckets")
+
+
+def large_bands(rows: DataFrame, bands: int, small: int = SMALL) -> DataFrame:
+    """(rep, large) of the sets of ``rows`` (``meetings``) in a bucket above ``small``: its key for each band, null where the bucket is not."""
+    of = rows.where(F.col("n") > small).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("of"))
+    return of.select("rep", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.try_element_at("of", b)).alias("large"))
+
+
+def candidate_pairs(rows: DataFrame, large: DataFrame, small: int = SMALL) -> DataFrame:
+    """Distinct (a, b), a < b, that share a bucket of at most ``small`` sets and no larger one."""
     few = rows.where(F.col("n") <= small).select("band", "key", "rep")
     other = few.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("rep").alias("_rep"))
-    close = few.join(other, same & (F.col("rep") < F.col("_rep"))).select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
-    # How many sets each set meets over all bands: a family's centre meets the most.
-    met_by = rows.groupBy("rep").agg(F.sum("n").alias("meets")).withColumnRenamed("rep", "_rep")
-    large = rows.where(F.col("n") > small).select("band", "key", "rep").join(met_by, F.col("rep") == F.col("_rep")).drop("_rep")
-    order = F.xxhash64("band", "rep")
-    hubs = large.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(F.max(F.struct("meets", "rep"))["rep"].alias("centre"), F.min(F.struct(order.alias("h"), F.col("rep")))["rep"].alias("drawn"))
-    star = large.join(hubs, same).select("rep", F.explode(F.array("centre", "drawn")).alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    return close.unionByName(star).distinct()
+    close = few.join(other, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("rep") < F.col("_rep"))).select(F.col("rep").alias("a"), F.col("_rep").alias("b")).distinct()
+    close = close.join(large.select(F.col("rep").alias("a"), F.col("large").alias("a_large")), "a", "left").join(large.select(F.col("rep").alias("b"), F.col("large").alias("b_large")), "b", "left")
+    shared = F.exists(F.zip_with("a_large", "b_large", lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False)))
+    return close.where(~F.coalesce(shared, F.lit(False))).select("a", "b")
+
+
+def common_counts(a: tuple, b: tuple):
+    """The matrix of how many hashes each set of ``a`` has in common with each of ``b``, both as (flat hashes, sizes)."""
+    import numpy as np
+
+    (left, n_left), (right, n_right) = a, b
+    both = np.intersect1d(left, right)
+    found = np.zeros((len(n_left), len(n_right)), dtype=np.float32)
+    sides = []
+    for flat, sizes in (a, b):
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        known = np.flatnonzero(both[at] == flat) if len(both) else np.zeros(0, dtype=np.int64)
+        code, row = at[known], np.repeat(np.arange(len(sizes)), sizes)[known]
+        order = np.argsort(code, kind="stable")
+        sides.append((code[order], row[order], len(sizes)))
+    for start in range(0, len(both), COLUMNS):
+        made = []
+        for code, row, n in sides:
+            lo, hi = np.searchsorted(code, (start, start + COLUMNS))
+            matrix = np.zeros((n, min(COLUMNS, len(both) - start)), dtype=np.float32)
+            matrix[row[lo:hi], code[lo:hi] - start] = 1
+            made.append(matrix)
+        found += made[0] @ made[1].T
+    return found
+
+
+def component_of(linked):
+    """For each vertex of a symmetric matrix one vertex of its component."""
+    import numpy as np
+
+    label = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if label[start] < 0:
+            front = np.array([start])
+            label[start] = start
+            while len(front):
+                front = np.flatnonzero(linked[front].any(axis=0) & (label < 0))
+                label[front] = start
+    return label
+
+
+def block_links(rows: DataFrame, large: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+    """(a, b, n): sets with n > 0 links counted in a pair of blocks of a bucket above ``small``, b one set of a's component there.
+
+    Over all groups every two sets that share such a bucket are compared, and counted once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    most = rows.where(F.col("n") > small).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_WEIGHT)).cast("int"))
+    own = most.select("rep", "band", "key", "blocks", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks")).cast("int").alias("mine"))
+    own = own.join(large, "rep").join(sets, "rep")
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "large", "shingles")
+    out = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType), T.StructField("n", T.LongType())])
+
+    def run(key, group):
+        band, _, i, j = (k.as_py() for k in key)
+        group = group.combine_chunks()
+        rep = group.column("rep").combine_chunks()
+        mine = group.column("mine").to_numpy()
+        shingles, bands = group.column("shingles").combine_chunks(), group.column("large").combine_chunks()
+        keys = bands.flatten().fill_null(0).to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+        known = bands.flatten().is_valid().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+        side = [np.flatnonzero(mine == k) for k in (i, j)]
+        parts = [shingles.take(pa.array(at)) for at in side]
+        flat = [(p.flatten().to_numpy(zero_copy_only=False), p.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) for p in parts]
+        both = common_counts(*flat).astype(np.float64)
+        whole = flat[0][1][:, None] + flat[1][1][None, :] - both
+        linked = both / whole >= threshold
+        for k in range(band):  # counted in an earlier band
+            linked &= ~((keys[side[0], k][:, None] == keys[side[1], k][None, :]) & known[side[0], k][:, None])
+        every = np.zeros((len(mine), len(mine)), dtype=bool)
+        every[np.ix_(*side)] = linked
+        np.fill_diagonal(every, False)
+        every |= every.T
+        degree = every.sum(axis=1)
+        at = np.flatnonzero(degree)
+        return pa.table([rep.take(pa.array(at)), rep.take(pa.array(component_of(every)[at])), pa.array(degree[at].astype(np.int64))], names=out.names)
+
+    return own.groupBy("band", "key", "i", "j").applyInArrow(run, out)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,14 +264,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     # Two hashes of the sorted set, folded with its size: equal sets, equal keys.
     keyed = hashed.withColumn("set_key", F.xxhash64(F.array_sort("shingles"), F.size("shingles")))
     signed = staged(band_hashes(keyed, bands, rows), "ngram-signatures")
-    reps = signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    reps = signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
     reps = staged(reps, "ngram-sets")
-    pairs = staged(candidate_pairs(reps.where("rep is not null")), "ngram-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    met = meetings(reps.where("rep is not null"))
+    large = staged(large_bands(met, bands), "ngram-large")
+    pairs = staged(candidate_pairs(met, large), "ngram-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
     sets = hashed_sets(docs, key, text, wanted, words)
     links = staged(verified(pairs, sets, threshold), "ngram-links")
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("w")).groupBy("w").agg(F.count("*").alias("n_links"))
+    more = staged(block_links(met, large, sets, threshold), "ngram-block-links")
+    labels = components(links.select("a", "b").unionByName(more.where("a != b").select("a", "b").distinct()))
+    degree = links.select(F.explode(F.array("a", "b")).alias("w"), F.lit(1).cast("long").alias("n")).unionByName(more.select(F.col("a").alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n_links"))
     known = reps.select("set_key", "rep", "n_copies").join(labels, F.col("rep") == F.col("v"), "left").join(degree, F.col("rep") == F.col("w"), "left")
     known = known.select(F.col("set_key").alias("_key"), F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     joined = signed.select("doc_id", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(known, F.col("set_key") == F.col("_key"), "left")

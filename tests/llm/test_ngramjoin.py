@@ -1,5 +1,6 @@
 """Operator 9 against all pairs."""
 
+import random
 import re
 
 from corpusloom.llm import ngramjoin as N
@@ -52,6 +53,26 @@ def test_a_large_group_of_near_copies(spark):
     assert all(r.n_links > 0 for r in rows if r.doc_id < 120) and all(r.n_links == 0 for r in rows if r.doc_id >= 1000)
 
 
+def test_links_of_families_above_the_small_bucket(spark, monkeypatch):
+    """Every link counts, in one block or several, also of sets unlike the family's centre."""
+    made = random.Random(5)
+    texts = {}
+    for i in range(90):
+        words = [f"w{k}" for k in range(150)]
+        for at in made.sample(range(150), 1 + i % 4):
+            words[at] = f"x{i}_{at}"
+        texts[i] = " ".join(words)
+    texts |= {500 + i: " ".join([f"v{k}" for k in range(100)] + [f"y{i}"]) for i in range(40)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {a: sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets if b != a) for a in sets}
+    for block in (N.BLOCK_SETS, 16):
+        monkeypatch.setattr(N, "BLOCK_SETS", block)
+        rows = N.classes(frame).collect()
+        assert {r.doc_id: r.n_links for r in rows} == want
+        assert {r.doc_id: r.class_id for r in rows} == brute(texts)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 130)]
     got = {r.v: r.label for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
