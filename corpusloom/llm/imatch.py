@@ -1,20 +1,20 @@
 """I-Match document fingerprints (operator 10, native).
 
-The lexicon holds terms within a band of inverse document frequency: terms
+The lexicon holds all terms within a band of inverse document frequency: those
 found in at least ``LEAST_DOCS`` documents and in at most ``MOST_SHARE`` of all
-of them, of these the ``LEXICON`` most frequent, so its size is bounded whatever
-the corpus. A document's terms are intersected with the sorted lexicon; a hash
-of each term deals the lexicon at random into ``CLASSES`` subsets, and for
-each of the first ``SUBSETS`` of them the document's sorted distinct terms in it
-are hashed together. Small subsets make the fingerprint graded: an edit changes
-the hashes of the subsets whose terms it touches and leaves the others. The
-likeness of two fingerprints is the share of equal hashes among the subsets of
-which either document has a term. A document with no term in any subset is
-known by a hash of its whole text, like only to equal ones.
+of them. A hash of each term deals the lexicon at random into ``CLASSES``
+subsets, which together cover it, and for each of them the document's sorted
+distinct terms in it are hashed together. Small subsets make the fingerprint
+graded: an edit changes the hashes of the subsets whose terms it touches and
+leaves the others. The likeness of two fingerprints is the share of equal hashes
+among the subsets of which either document has a term. A document with no term
+of the lexicon is known by a hash of its whole text, like only to equal ones.
 
 Document frequencies are counted over all documents with partial counts before
-the shuffle. Fingerprinting is array work in one row with the lexicon as a
-scalar subquery, no shuffle.
+the shuffle. The lexicon is a table as large as it comes out. Documents meet it
+by a semi-join of their distinct terms, which Spark does by broadcast while the
+table is small and splits where a term is hot; the terms of the lexicon then
+come back to their row, and the rest is array work in it.
 
 The next document is found without ordering all rows in one task: ids are cut
 into ranges by the bounds of a range partitioning, ``lead`` runs within a
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: The band of document frequency and the bound on the lexicon.
-LEAST_DOCS, MOST_SHARE, LEXICON = 3, 0.2, 8192
-#: Parts into which a term's hash deals the lexicon; how many of them are fingerprinted.
-CLASSES, SUBSETS = 96, 32
+#: The band of document frequency.
+LEAST_DOCS, MOST_SHARE = 3, 0.2
+#: Parts into which a term's hash deals the lexicon; all are fingerprinted.
+CLASSES = 96
 #: Rows in a range of ids, about, and ranges at most; bounds travel with the plan.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
@@ -46,29 +46,40 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(F.lower(text), SPACES, -1), lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, text: str = "text", least: int = LEAST_DOCS, most_share: float = MOST_SHARE, size: int = LEXICON) -> DataFrame:
-    """One row (lexicon): the sorted hashes of the chosen terms."""
-    found = texts.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    found = found.where((F.col("df") >= least) & (F.col("df") <= F.lit(most_share) * texts.select(F.count("*").alias("n")).scalar()))
-    chosen = found.orderBy(F.col("df").desc(), "term").limit(size)
-    return chosen.agg(F.array_sort(F.collect_list("term")).alias("lexicon"))
+def lexicon(texts: DataFrame, column: str = "terms", least: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
+    """(term): the hash of every term in the band, from the rows' distinct ``column``."""
+    found = texts.select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return found.where((F.col("df") >= least) & (F.col("df") <= F.lit(most_share) * texts.select(F.count("*").alias("n")).scalar())).select("term")
 
 
-def hashes(rows: DataFrame, text: str, out: str, lexicon: Column, subsets: int = SUBSETS, classes: int = CLASSES) -> DataFrame:
-    """``rows`` with ``out``: a hash for each subset, null without a term in it, and last, if all are null, that of the whole text.
+def met_terms(rows: DataFrame, band: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (unique rid, ...) with each of ``columns``, arrays of distinct terms, kept to those in ``band`` (term), null for none."""
+    def named(i: int, c: str) -> Column:
+        return F.transform(c, lambda t: F.struct(F.lit(i).alias("of"), t.alias("term")))
 
-    The intersection keeps the lexicon's order, so terms come sorted and distinct.
+    each = F.flatten(F.array(*[named(i, c) for i, c in enumerate(columns)]))
+    met = rows.select("rid", F.explode(each).alias("x")).select("rid", "x.of", "x.term").join(band, "term", "left_semi")
+    met = met.groupBy(F.col("rid").alias("_rid")).agg(*[F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(c) for i, c in enumerate(columns)])
+    return rows.drop(*columns).join(met, F.col("rid") == F.col("_rid"), "left").drop("_rid")
+
+
+def hashes(rows: DataFrame, met: str, whole: str, out: str, classes: int = CLASSES) -> DataFrame:
+    """``rows`` with ``out``: a hash for each subset, null without a term in it, and last, if all are null, ``whole``, that of the text.
+
+    Sorted by subset and term, a subset's terms lie together.
     """
-    own = lambda t: F.pmod(t, F.lit(classes))
-    rows = rows.withColumn("_met", F.array_intersect(lexicon, terms(F.col(text))))
-    known = F.filter("_met", lambda t: own(t) < subsets)
+    dealt = F.array_sort(F.transform(F.coalesce(met, F.array().cast("array<bigint>")), lambda t: F.struct(F.pmod(t, F.lit(classes)).cast("int").alias("of"), t.alias("term"))))
 
-    def one(i: int) -> Column:
-        part = F.filter("_known", lambda t: own(t) == i)
-        return F.when(F.size(part) > 0, F.xxhash64(F.lit(i), part))
+    def make(d: Column) -> Column:
+        def one(i: Column) -> Column:
+            first = F.array_position(d["of"], i).cast("int")
+            after = (F.size(d) - F.array_position(F.reverse(d["of"]), i) + 2).cast("int")
+            return F.when(first > 0, F.xxhash64(i, F.slice(d["term"], first, after - first)))
 
-    whole = F.when(F.size("_known") == 0, F.xxhash64(F.col(text)))
-    return rows.withColumn("_known", known).withColumn(out, F.array(*[one(i) for i in range(subsets)], whole)).drop("_met", "_known")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), one)
+        return F.concat(parts, F.array(F.when(F.size(d) == 0, F.col(whole))))
+
+    return rows.withColumn(out, F.transform(F.array(dealt), make)[0])
 
 
 def fingerprint(hashed: Column) -> Column:
@@ -85,8 +96,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the column ``out``; the lexicon is that of ``docs`` itself."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    made = hashes(rows, "body", "hashed", staged(lexicon(docs, text), "imatch-lexicon").scalar())
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("whole"), terms(body).alias("terms"))
+    rows = staged(rows, "imatch-rows")
+    made = hashes(met_terms(rows, staged(lexicon(rows), "imatch-lexicon"), ["terms"]), "terms", "whole", "hashed")
     return made.select(F.col("row").withField(out, fingerprint(F.col("hashed"))).alias("row")).select("row.*")
 
 
@@ -133,11 +146,15 @@ def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text")
     The edited text has its last floor(n_chars / 2) code points replaced by as
     many first ones of the next document, or by all of it if it is shorter.
     """
-    lex = staged(lexicon(docs, text), "imatch-lexicon").scalar()
     rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    for text, out in (("text", "own"), ("edited", "other"), ("next_text", "after")):
-        rows = hashes(rows, text, out, lex)
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
+    each = {"own": "text", "other": "edited", "after": "next_text"}
+    wholes = [F.xxhash64(text).alias(f"{name}_whole") for name, text in each.items()]
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *wholes, *[terms(F.col(text)).alias(name) for name, text in each.items()])
+    rows = staged(rows, "imatch-rows")
+    rows = met_terms(rows, staged(lexicon(rows, "own"), "imatch-lexicon"), list(each))
+    for name in each:
+        rows = hashes(rows, name, f"{name}_whole", name)
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))

@@ -228,6 +228,18 @@ def test_edits_keep_some_likeness(docs):
     assert sum(r.near_edited for r in rows) > 3 * sum(r.near_next for r in rows)
 
 
+def test_every_term_of_the_band_counts(spark):
+    """A language of few documents beside 9,000 more frequent terms, and each single term of the lexicon, show in fingerprints."""
+    rows = [(i, " ".join(f"t{k}" for k in range(i % 10 * 900, i % 10 * 900 + 900))) for i in range(80)]
+    rows += [(100 + i, " ".join(f"r{k}" for k in range(60))) for i in range(3)] + [(200 + i, " ".join(f"r{k}" for k in range(60) if k != i)) for i in range(60)]
+    rows += [(300 + i, "nothing is shared here " + str(i)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in imatch.with_fingerprints(frame).collect()}
+    assert len({got[100 + i] for i in range(3)}) == 1 and len({got[200 + i] for i in range(60)} | {got[100]}) == 61
+    whole, less = got[100].split("-"), got[200].split("-")
+    assert len([x for x in whole if x]) > 30 and sum(a != b for a, b in zip(whole, less)) <= 1
+
+
 # --- pipeline ---
 
 
