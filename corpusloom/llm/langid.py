@@ -15,7 +15,8 @@ if ``und`` wins, or if the winner has less than ``LEAST`` probability.
 How it scales: the texts are read once for the sample and once for their
 likelihoods, of which a few numbers a row are kept; everything after that works
 on them. A hot host is counted partially before the shuffle and joined as one
-row of a small table. The model has a fixed number of buckets.
+row of a small table. The model has a fixed number of buckets for each declared
+language, 128 KB of them; a language of up to ``SAMPLE_ROWS`` rows is learnt on all.
 
 Cases: a text that is null or has no words is rejected; words with digits or an
 at sign are left out of the evidence; a missing declaration, suffix or host
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 
 from corpusloom.sources.tables import staged
 
-#: Hash buckets of trigrams; rows in the sample of each language, about; languages at most.
-BUCKETS, SAMPLE_ROWS, MOST_LANGS = 1 << 15, 3000, 64
+#: Hash buckets of trigrams; rows in the sample of each language, about.
+BUCKETS, SAMPLE_ROWS = 1 << 15, 3000
 #: Trigrams overlap, so each counts as a third of an independent one; the prior of ``und``; the least posterior.
 TEMPER, UND_PRIOR, LEAST = 1 / 3, 1e-3, 0.5
 #: Rows that a parent's distribution counts as, for hosts, domains and categories.
@@ -64,13 +65,13 @@ def trigram_codes(words: bytes):
 
 def sample(rows: DataFrame, key: str, declared: str, per_language: int = SAMPLE_ROWS) -> DataFrame:
     """About ``per_language`` rows of each declared language, drawn by a hash of the key."""
-    counts = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).groupBy(F.col(declared).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "_lang").limit(MOST_LANGS)
+    counts = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).groupBy(F.col(declared).alias("_lang")).agg(F.count("*").alias("_n"))
     drawn = F.pmod(F.xxhash64(F.lit(21), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(float(per_language)) / F.col("_n")
     return rows.join(F.broadcast(counts), F.col(declared) == F.col("_lang")).where(drawn)
 
 
 def learn(rows: DataFrame, key: str, text: str, declared: str):
-    """(languages, table): log likelihoods by bucket and class, ``und`` last; the table's size is fixed by its parameters."""
+    """(languages, table): log likelihoods by bucket and class, ``und`` last; a column for each declared language whose sample has words."""
     import numpy as np
     import pyarrow as pa
 

@@ -46,6 +46,17 @@ def test_evidence_outvotes_a_wrong_declaration(spark, docs):
     assert got[99999].lang == "en" and got[99999].declared == "de"
 
 
+def test_more_than_64_declared_languages(spark):
+    """The rarest of 72 languages has a class of its own; its rows are named and accepted."""
+    rows = []
+    for k in range(72):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(12)]
+        for n in range(3 if k == 71 else 6):
+            rows.append((len(rows), " ".join(letters[(i * 5 + n) % 12] + letters[(i * 7 + n) % 12] for i in range(60)), f"l{k:02}", f"s{n}"))
+    got = langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("declared = 'l71'").collect()
+    assert len(got) == 3 and all(r.lang == "l71" and r.accepted for r in got)
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = langid.identify_pages(pages).collect()
