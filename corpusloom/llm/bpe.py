@@ -7,7 +7,8 @@ after an edit only the prefixes behind it are made again. Two neighbouring
 tokens are valid together when merging their joined bytes by rank gives just
 these two; a sequence is the encoding of its bytes when all its neighbours are.
 
-Texts: a null text is an empty one and has no tokens. Decoding joins the bytes
+Words are remembered in caches of bounded size; a part of a text of over
+``LONG`` characters is not. Texts: a null text is an empty one and has no tokens. Decoding joins the bytes
 of the tokens, so it returns the text's UTF-8 exactly. No shuffle is needed.
 """
 
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.segments import Memo, segments
+from corpusloom.llm.segments import LONG, Memo, segments
 
-#: Entries a worker remembers: words (and as many pieces), token pairs.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
-#: A word of Latin letters and the marks behind it: two pieces under the split pattern, found without it.
-PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+#: Entries of a worker's caches, a generation: words, token pairs.
+MEMO_WORDS, MEMO_PAIRS = 150_000, 500_000
+#: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
+PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
 PLAIN_UNDER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 #: The rank of a merge that never comes.
@@ -54,6 +55,7 @@ class PrefixEncoder:
             self.tokens[rank] = token
             self.ends.add_word(token.decode("latin-1"), (len(token), rank))
         self.longest = max(map(len, ranks))
+        self.lengths = list(map(len, self.tokens))
         self.ends.make_automaton()
         self.digits = [str(rank) for rank in range(len(self.tokens))]
         self.pieces = regex.compile(pattern).findall
@@ -63,8 +65,7 @@ class PrefixEncoder:
         self.left_edge = Memo(lambda token: self._edge(token, 0), NEVER)
         self.whole = Memo(lambda rank: len(self._merged(self.tokens[rank])) == 1, NEVER)
         self.pair_fits = Memo(self._pair_fits, MEMO_PAIRS)
-        self.piece = Memo(self._piece, MEMO_WORDS)
-        self.word = Memo(self._word, MEMO_WORDS)
+        self.word = Memo(self._word, MEMO_WORDS, LONG)
 
     def _merged(self, data: bytes, to: int = 1) -> list[bytes]:
         """``data`` merged by rank from single bytes, lowest rank and leftmost first, down to ``to`` parts at least."""
@@ -123,27 +124,35 @@ class PrefixEncoder:
                 last[end] = rank
         return last
 
+    def _prefixes(self, data: str) -> list[int]:
+        """The last token of each prefix of ``data``, a character for each byte; the same as ``extend`` from nothing."""
+        last, fits, whole = [-1] * len(data), self.pair_fits, self.whole
+        for end, (length, rank) in self.ends.iter(data):
+            if last[end] < 0 and (fits[last[end - length] << 32 | rank] if length <= end else whole[rank]):
+                last[end] = rank
+        return last
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece: the last token, the last of what is before it, and so on."""
-        if piece in self.ranks:
-            return (self.ranks[piece],)
-        last, tokens = self.extend([NEVER], piece), self.tokens
-        ids, end = [], len(piece)
-        while end:
-            ids.append(last[end])
-            end -= len(tokens[last[end]])
+        rank = self.ranks.get(piece)
+        if rank is not None:
+            return (rank,)
+        last, lengths = self._prefixes(piece.decode("latin-1")), self.lengths
+        ids, end = [], len(piece) - 1
+        while end >= 0:
+            rank = last[end]
+            ids.append(rank)
+            end -= lengths[rank]
         return tuple(ids[::-1])
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = self.encode_piece(piece.encode())
-        return ids, ",".join(map(self.digits.__getitem__, ids))
-
-    def _word(self, part: str) -> tuple[tuple[int, ...], str]:
-        pieces = self.plain(part)
-        found = [self.piece[x] for x in (pieces.groups() if pieces else self.pieces(part)) if x]
-        if len(found) == 1:
-            return found[0]
-        return tuple(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
+    def _word(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
+        """The ids of a part of a text, the same as text, and the bytes they decode to."""
+        plain = self.plain(part)
+        pieces = [x for x in plain.groups() if x] if plain else self.pieces(part)
+        ids = self.encode_piece(pieces[0].encode())
+        for x in pieces[1:]:
+            ids += self.encode_piece(x.encode())
+        return ids, ",".join(map(self.digits.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         word = self.word
@@ -153,10 +162,10 @@ class PrefixEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes."""
-        found = list(map(self.word.__getitem__, segments(text)))
-        ids = list(chain.from_iterable([x[0] for x in found]))
-        return len(ids), hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the bytes that they decode to."""
+        parts = segments(text)
+        ids, shown, data = zip(*map(self.word.__getitem__, parts)) if parts else ((), (), ())
+        return sum(map(len, ids)), hashlib.sha256(",".join(shown).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
 
 
 _ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
@@ -198,7 +207,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     def run(batches):
         own = encoder(path, pattern)
         for batch in batches:
-            n, ids, data = zip(*map(own.digests, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
+            n, ids, data = zip(*(own.digests(x.as_py()) for x in batch.column(1))) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=out.names)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, out)
@@ -216,7 +225,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # ids of few texts are held at a time
                 part = batch.slice(at, 500)
-                ids = [own.encode(x) for x in part.column(len(keep)).to_pylist()]
+                ids = [own.encode(x.as_py()) for x in part.column(len(keep))]
                 digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string())], names=out.names)
 

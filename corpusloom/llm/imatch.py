@@ -2,26 +2,33 @@
 
 The lexicon holds all terms within a band of inverse document frequency: those
 found in at least ``LEAST_DOCS`` documents and in at most ``MOST_SHARE`` of all
-of them. A hash of each term deals the lexicon at random into ``CLASSES``
-subsets, which together cover it, and for each of them the document's sorted
-distinct terms in it are hashed together. Small subsets make the fingerprint
-graded: an edit changes the hashes of the subsets whose terms it touches and
-leaves the others. The likeness of two fingerprints is the share of equal hashes
-among the subsets of which either document has a term. A document with no term
-of the lexicon is known by a hash of its whole text, like only to equal ones.
+of them. It is cut at random several times (``DEALS``), each time into two to
+the power of so many subsets by some bits of the terms' hashes: subsets of
+different deals overlap, those of one deal cover the lexicon, and the few of a
+small deal hold half of it each. A document's fingerprint has for each subset that
+it has terms of a hash of its sorted distinct terms there. Large subsets tell equal texts apart
+from edited ones; small ones make the fingerprint graded, as an edit leaves
+those without a touched term. The likeness of two fingerprints is the share of
+equal hashes among the subsets of which either document has a term. A document
+with no term of the lexicon is known by a hash of its whole text, like only to
+equal ones.
 
 Document frequencies are counted over all documents with partial counts before
 the shuffle. The lexicon is a table as large as it comes out. Documents meet it
 by a semi-join of their distinct terms, which Spark does by broadcast while the
-table is small and splits where a term is hot; the terms of the lexicon then
-come back to their row, and the rest is array work in it.
+table is small by its statistics and splits where a term is hot; the terms of
+the lexicon then come back to their row, already gathered where they were found.
 
 The next document is found without ordering all rows in one task: ids are cut
-into ranges by the bounds of a range partitioning, ``lead`` runs within a
-range, and only the first row of each range is handed to the one before. Cases:
-a null text is empty; a text without lexicon terms is known by its own hash;
-rows with one doc_id follow in the order of their texts' hashes; a table of one
-row has itself as next; an empty table gives an empty result.
+into ranges by the bounds of a range partitioning, neighbours are found within
+a range, and the first row of each range is also dealt to the end of the range
+before it. So texts are shuffled once; of the next document's fingerprint only
+its hashes travel. What is broadcast is one row of numbers for each of at most
+``MOST_RANGES`` ranges.
+
+Cases: a null text is empty; a text without lexicon terms is known by its own
+hash; rows with one doc_id follow in the order of their texts' hashes; a table
+of one row has itself as next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,63 +42,82 @@ from corpusloom.sources.tables import staged
 SPACES = r"[\x20\x09-\x0D]+"
 #: The band of document frequency.
 LEAST_DOCS, MOST_SHARE = 3, 0.2
-#: Parts into which a term's hash deals the lexicon; all are fingerprinted.
-CLASSES = 96
+#: Each number is a deal of the lexicon into two to its power subsets; the bits of all deals differ.
+DEALS = (1, 1, 1, 6)
 #: Rows in a range of ids, about, and ranges at most; bounds travel with the plan.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
+#: Null ids come before all others.
+_LOWEST = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
     """Distinct 64-bit hashes of a text's lower-case words."""
-    return F.array_distinct(F.transform(F.split(F.lower(text), SPACES, -1), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SPACES, -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, column: str = "terms", least: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
-    """(term): the hash of every term in the band, from the rows' distinct ``column``."""
-    found = texts.select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return found.where((F.col("df") >= least) & (F.col("df") <= F.lit(most_share) * texts.select(F.count("*").alias("n")).scalar())).select("term")
+def lexicon(found: DataFrame, n_docs: Column, least: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
+    """(term): every term in the band; ``found`` has a row (term) for each document and distinct term."""
+    counted = found.groupBy("term").agg(F.count("*").alias("df"))
+    return counted.where((F.col("df") >= least) & (F.col("df") <= F.lit(most_share) * n_docs)).select("term")
 
 
 def met_terms(rows: DataFrame, band: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (unique rid, ...) with each of ``columns``, arrays of distinct terms, kept to those in ``band`` (term), null for none."""
+    """(rid, columns): of ``rows`` (unique rid, arrays of distinct terms) the terms in ``band`` (term); a row without any is left out."""
     def named(i: int, c: str) -> Column:
         return F.transform(c, lambda t: F.struct(F.lit(i).alias("of"), t.alias("term")))
 
-    each = F.flatten(F.array(*[named(i, c) for i, c in enumerate(columns)]))
+    each = F.concat(*[named(i, c) for i, c in enumerate(columns)])
     met = rows.select("rid", F.explode(each).alias("x")).select("rid", "x.of", "x.term").join(band, "term", "left_semi")
-    met = met.groupBy(F.col("rid").alias("_rid")).agg(*[F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(c) for i, c in enumerate(columns)])
-    return rows.drop(*columns).join(met, F.col("rid") == F.col("_rid"), "left").drop("_rid")
+    return met.groupBy("rid").agg(*[F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(c) for i, c in enumerate(columns)])
 
 
-def hashes(rows: DataFrame, met: str, whole: str, out: str, classes: int = CLASSES) -> DataFrame:
-    """``rows`` with ``out``: a hash for each subset, null without a term in it, and last, if all are null, ``whole``, that of the text.
+def hashes(met: Column, deals=DEALS) -> Column:
+    """For each subset with some of the lexicon terms ``met`` its number and, in the low 32 bits, the hash of those terms sorted.
 
-    Sorted by subset and term, a subset's terms lie together.
+    For a deal the terms' bits are turned until its own are the highest, so a
+    subset's terms lie together once they are sorted.
     """
-    dealt = F.array_sort(F.transform(F.coalesce(met, F.array().cast("array<bigint>")), lambda t: F.struct(F.pmod(t, F.lit(classes)).cast("int").alias("of"), t.alias("term"))))
+    found, first, at = [], 0, 0
+    for bits in deals:
+        found.append(_deal(met, first, at, bits))
+        first, at = first + (1 << bits), at + bits
+    return F.concat(*found)
 
-    def make(d: Column) -> Column:
-        def one(i: Column) -> Column:
-            first = F.array_position(d["of"], i).cast("int")
-            after = (F.size(d) - F.array_position(F.reverse(d["of"]), i) + 2).cast("int")
-            return F.when(first > 0, F.xxhash64(i, F.slice(d["term"], first, after - first)))
 
-        parts = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), one)
-        return F.concat(parts, F.array(F.when(F.size(d) == 0, F.col(whole))))
+def _deal(met: Column, first: int, at: int, bits: int) -> Column:
+    turned = F.sort_array(F.transform(met, lambda t: F.shiftleft(t, 64 - at - bits).bitwiseOR(F.shiftrightunsigned(t, at + bits))))
+    subset = lambda t: F.shiftrightunsigned(t, 64 - bits)
 
-    return rows.withColumn(out, F.transform(F.array(dealt), make)[0])
+    # A transform over one element names an array, so that it is made once.
+    def cut(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (subset(F.get(own, i)) != subset(F.get(own, i - 1))))
 
+        def each(begins: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                hashed = F.hash(F.slice(own, i + 1, F.coalesce(F.get(begins, k + 1), F.size(own)) - i))
+                return F.shiftleft(subset(F.get(own, i)) + F.lit(first).cast("long"), 32).bitwiseOR(hashed.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
-def fingerprint(hashed: Column) -> Column:
-    """The hashes as text: hexadecimal, joined by a minus, an empty part for a subset without terms."""
-    return F.array_join(F.transform(hashed, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit(""))), "-")
+            return F.transform(begins, one)
 
+        return F.when(F.size(own) > 0, F.transform(F.array(starts), each)[0]).otherwise(_none())
 
-def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes as a share of the positions at which either has one, 0 to 1."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(0)).when(x.eqNullSafe(y), F.lit(65537)).otherwise(F.lit(1)))
-    total = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
-    return F.floor(total / 65536) / F.pmod(total, F.lit(65536)).cast("double")
+    return F.transform(F.array(turned), cut)[0]
+
+
+def fingerprint(hashed: Column, whole: Column) -> Column:
+    """The numbers and hashes as hexadecimal text joined by a minus; of a text without lexicon terms its ``whole`` hash."""
+    return F.when(F.size(hashed) > 0, F.array_join(F.transform(hashed, lambda h: F.lower(F.hex(h))), "-")).otherwise(F.concat(F.lit("whole:"), F.lower(F.hex(whole))))
+
+
+def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
+    """Equal hashes as a share of the subsets of which either has one, 0 to 1; where none has, whether the whole hashes are equal."""
+    number = lambda x: F.transform(x, lambda h: F.shiftrightunsigned(h, 32).cast("int"))
+    some = (F.size(a) > 0) | (F.size(b) > 0)
+    return F.when(some, F.size(F.array_intersect(a, b)) / F.size(F.array_union(number(a), number(b))).cast("double")).otherwise((whole_a == whole_b).cast("double"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -99,8 +125,11 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("whole"), terms(body).alias("terms"))
     rows = staged(rows, "imatch-rows")
-    made = hashes(met_terms(rows, staged(lexicon(rows), "imatch-lexicon"), ["terms"]), "terms", "whole", "hashed")
-    return made.select(F.col("row").withField(out, fingerprint(F.col("hashed"))).alias("row")).select("row.*")
+    band = staged(lexicon(rows.select(F.explode("terms").alias("term")), rows.select(F.count("*").alias("n")).scalar()), "imatch-lexicon")
+    met = met_terms(rows, band, ["terms"]).select(F.col("rid").alias("_rid"), F.col("terms").alias("met"))
+    made = rows.join(met, F.col("rid") == F.col("_rid"), "left").select("row", "whole", F.coalesce("met", _none()).alias("met"))
+    made = made.select("row", "whole", hashes(F.col("met")).alias("hashed"))
+    return made.select(F.col("row").withField(out, fingerprint(F.col("hashed"), F.col("whole"))).alias("row")).select("row.*")
 
 
 def _ranges(docs: DataFrame, key: str) -> list[int]:
@@ -122,22 +151,28 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, next_text) of all rows: the next by (doc_id, hash of the text); after the last comes the first."""
-    bounds = _ranges(docs, key)
+    """(doc_id, text, next_text, rid, before) of all rows: the next by (doc_id, hash of the text); after the last comes the first.
+
+    ``rid`` is a row's own number, ``before`` that of the row whose next it is.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text")).withColumn("range", _range_of(F.col("doc_id"), bounds))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    # The first row of each range. Ids tell most rows of a range apart, so only rows of the smallest id carry their text on.
-    heads = rows.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))).alias("head"))
-    heads = heads.withColumnRenamed("range", "_range")
-    first = rows.join(heads, (F.col("range") == F.col("_range")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head.id")) & (F.xxhash64("text") == F.col("head.h")))
-    first = first.groupBy("range").agg(F.first("text").alias("head_text"))
-    # One row a range: which range's head follows it.
+    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"))
+    rows = rows.withColumns({"range": _range_of(F.col("doc_id"), _ranges(docs, key)).cast("long"), "at": F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("h"))})
+    # At most MOST_RANGES rows of four numbers: the first row of each range, and the range before it on the ring.
+    heads = rows.groupBy("range").agg(F.min("at").alias("head"))
     ring = W.orderBy("range")
-    links = heads.select(F.col("_range").alias("range")).withColumn("to", F.coalesce(F.lead("range").over(ring), F.min("range").over(W.partitionBy())))
-    follow = links.join(first.withColumnRenamed("range", "_to"), F.col("to") == F.col("_to")).select(F.col("range").alias("_range"), "head_text")
-    led = rows.withColumn("next_text", F.lead("text").over(W.partitionBy("range").orderBy(*order)))
-    return led.join(follow, F.col("range") == F.col("_range"), "left").select("doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
+    heads = staged(heads.select(F.col("range").alias("_range"), "head", F.coalesce(F.lag("range").over(ring), F.max("range").over(W.partitionBy())).alias("previous")), "imatch-heads")
+    rows = rows.join(F.broadcast(heads), F.col("range") == F.col("_range"))
+    own = F.struct(F.lit(False).alias("guest"), F.col("range").alias("range"))
+    guest = F.struct(F.lit(True).alias("guest"), F.col("previous").alias("range"))
+    dealt = rows.select("doc_id", "text", "at", "previous", F.explode(F.when(F.col("at") == F.col("head"), F.array(own, guest)).otherwise(F.array(own))).alias("x")).select("doc_id", "text", "at", "previous", "x.guest", "x.range")
+    # From the end on: first the guest, that is the first row of the next range, then the last row, which has the number 0.
+    back = W.partitionBy("range").orderBy(F.col("guest").desc(), F.col("at").desc())
+    dealt = dealt.withColumns({"next_text": F.lag("text").over(back), "last": F.lag("guest").over(back), "n": F.row_number().over(back), "first": F.lead("range").over(back).isNull()})
+    base = F.shiftleft("range", 32)
+    rid = base + F.when(F.col("last"), 0).otherwise(F.col("n"))
+    before = F.when(F.col("first"), F.shiftleft("previous", 32)).otherwise(base + F.col("n") + 1)
+    return dealt.where("not guest").select("doc_id", "text", "next_text", rid.alias("rid"), before.alias("before"))
 
 
 def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,13 +183,19 @@ def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
-    each = {"own": "text", "other": "edited", "after": "next_text"}
-    wholes = [F.xxhash64(text).alias(f"{name}_whole") for name, text in each.items()]
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *wholes, *[terms(F.col(text)).alias(name) for name, text in each.items()])
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = rows.select("rid", "before", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole"), terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
+    # Most terms of the two texts are the same; each is sought once.
+    rows = rows.select("rid", "before", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", F.array_intersect("a", "b").alias("both"), F.array_except("a", "b").alias("own"), F.array_except("b", "a").alias("new"))
     rows = staged(rows, "imatch-rows")
-    rows = met_terms(rows, staged(lexicon(rows, "own"), "imatch-lexicon"), list(each))
-    for name in each:
-        rows = hashes(rows, name, f"{name}_whole", name)
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
+    band = staged(lexicon(rows.select(F.explode(F.concat("both", "own")).alias("term")), rows.select(F.count("*").alias("n")).scalar()), "imatch-lexicon")
+    met = met_terms(rows, band, ["both", "own", "new"]).withColumnRenamed("rid", "_rid")
+    # Both sides grow with the documents, so they are merged at every size, and stay dealt by rid for the join with the next ones.
+    rows = rows.drop("both", "own", "new").join(met.hint("merge"), F.col("rid") == F.col("_rid"), "left")
+    mine, other = (F.coalesce(F.concat("both", c), _none()) for c in ("own", "new"))
+    rows = rows.select("rid", "before", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", mine.alias("a"), other.alias("b"))
+    following = rows.select(F.col("before").alias("_before"), F.col("whole").alias("next_whole"), hashes(F.col("a")).alias("after"))
+    rows = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", hashes(F.col("a")).alias("a"), hashes(F.col("b")).alias("b"))
+    rows = rows.join(following.hint("merge"), F.col("rid") == F.col("_before"))
+    c = F.col
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(c("a"), c("whole")).alias("fingerprint"), fingerprint(c("b"), c("edited_whole")).alias("edited_fingerprint"), likeness(c("a"), c("b"), c("whole"), c("edited_whole")).alias("near_edited"), likeness(c("a"), c("after"), c("whole"), c("next_whole")).alias("near_next"))

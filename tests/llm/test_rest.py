@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import imatch, langid, mix, quality, warc
@@ -247,8 +248,48 @@ def test_every_term_of_the_band_counts(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.fingerprint for r in imatch.with_fingerprints(frame).collect()}
     assert len({got[100 + i] for i in range(3)}) == 1 and len({got[200 + i] for i in range(60)} | {got[100]}) == 61
-    whole, less = got[100].split("-"), got[200].split("-")
-    assert len([x for x in whole if x]) > 30 and sum(a != b for a, b in zip(whole, less)) <= 1
+    whole, less = set(got[100].split("-")), set(got[200].split("-"))
+    assert len(whole) > 30 and len(whole - less) == len(imatch.DEALS)
+
+
+def plain_fingerprints(texts, deals=imatch.DEALS):
+    """For each text the terms of the lexicon in each subset; the lexicon is that of ``texts``."""
+    def terms(text):
+        return {xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text.lower())}
+
+    df = Counter(t for text in texts for t in terms(text))
+    band = {t for t, n in df.items() if n >= imatch.LEAST_DOCS and n <= imatch.MOST_SHARE * len(texts)}
+
+    def of(text):
+        found, met, at = {}, terms(text) & band, 0
+        for d, bits in enumerate(deals):
+            for t in met:
+                found.setdefault((d, t >> at & (1 << bits) - 1), set()).add(t)
+            at += bits
+        return {k: frozenset(v) for k, v in found.items()} or {"whole": text}
+
+    return of
+
+
+def plain_likeness(a, b):
+    return sum(a.get(k) == b[k] for k in b) / len(a.keys() | b.keys()) if not ("whole" in a and "whole" in b) else float(a == b)
+
+
+def test_fingerprints_equal_a_plain_version(docs):
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    of = plain_fingerprints([r.text or "" for r in rows])
+    got = {r.doc_id: r for r in imatch.fingerprint_report(docs).collect()}
+    shown = {}
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        text, half = r.text or "", len(r.text or "") // 2
+        edited = text[: len(text) - half] + (after.text or "")[:half]
+        mine, other, g = of(text), of(edited), got[r.doc_id]
+        assert g.near_edited == pytest.approx(plain_likeness(mine, other)) and g.near_next == pytest.approx(plain_likeness(mine, of(after.text or "")))
+        for own, printed in ((mine, g.fingerprint), (other, g.edited_fingerprint)):
+            assert shown.setdefault(printed, own) == own
+            if "whole" not in own:
+                assert len(printed.split("-")) == len(own)
+    assert len(shown) == len({frozenset(x.items()) for x in shown.values()})
 
 
 # --- pipeline ---

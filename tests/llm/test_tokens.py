@@ -82,8 +82,8 @@ def test_special_strings_and_odd_texts_in_counts():
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     count = tokencount.TextCounter(tokencount.json_counter(path), memo_parts=50)
-    for text in [*odd_texts(400, 2), "a <|endoftext|> b<|endoftext|>"]:
-        assert count(text) == len(lib.encode(text, add_special_tokens=False))
+    for text in [*odd_texts(400, 2), "日本語。テスト、「はい」" * 40 + "<|endoftext|>。", "x\ny \n z\n\nq", "a <|endoftext|> b<|endoftext|>"]:
+        assert list(count.counts([text])) == [len(lib.encode(text, add_special_tokens=False))]
 
 
 def test_pieces_of_a_model_file(docs):
@@ -98,3 +98,22 @@ def test_pieces_of_a_model_file(docs):
 def test_batches_hold_their_bytes():
     groups = list(tokencount.by_bytes(["a" * 10, "b" * 10, "c" * 50, "d"], 25))
     assert groups == [["a" * 10, "b" * 10], ["c" * 50], ["d"]]
+
+
+def test_new_parts_of_many_texts_fill_calls():
+    calls = []
+    encode = lambda parts: calls.append(sum(map(len, parts))) or [1] * len(parts)
+    counter = tokencount.TextCounter(encode, batch_bytes=2000)
+    texts = [f"a{i} b{i} c{i}" for i in range(1000)]
+    assert list(counter.counts(texts)) == [3] * 1000 and len(calls) < 20 and max(calls) <= 2000
+    assert list(counter.counts(texts[::-1])) == [3] * 1000 and len(calls) < 20
+
+
+def test_long_texts_without_spaces(own, library):
+    """Marks are safe borders, so a text of letters and marks is many parts; what is long is not remembered."""
+    text = "日本語のテキスト。漢字、かな。" * 20000
+    parts = segments(text)
+    assert "".join(parts) == text and len(parts) > 50000
+    assert own.encode(text[:3000]) == library.encode_ordinary(text[:3000])
+    own.encode("y" * 3000)
+    assert "y" * 3000 not in own.word and "y" * 3000 not in own.word.old
