@@ -1,30 +1,30 @@
 """I-Match document fingerprints (operator 10, native).
 
 The lexicon holds all terms within a band of inverse document frequency: those
-found in at least ``LEAST_DOCS`` documents and in at most ``MOST_SHARE`` of all
-of them. It is cut at random several times (``DEALS``), each time into two to
-the power of so many subsets by some bits of the terms' hashes: subsets of
-different deals overlap, those of one deal cover the lexicon, and the few of a
-small deal hold half of it each. A document's fingerprint has for each subset that
-it has terms of a hash of its sorted distinct terms there. Large subsets tell equal texts apart
-from edited ones; small ones make the fingerprint graded, as an edit leaves
-those without a touched term. The likeness of two fingerprints is the share of
-equal hashes among the subsets of which either document has a term. A document
-with no term of the lexicon is known by a hash of its whole text, like only to
-equal ones.
+found in at least one of ``RAREST`` documents, ``LEAST_DOCS`` at least, and in
+at most ``MOST_SHARE`` of them. It is cut at random several times (``DEALS``),
+each time into two to the power of so many subsets by some bits of the terms'
+hashes: subsets of different deals overlap, those of one deal cover the
+lexicon, and the few of a small deal hold half of it each. A document's
+fingerprint has for each subset that it has terms of a hash of its sorted
+distinct terms there. Large subsets tell equal texts apart from edited ones;
+small ones make the fingerprint graded, as an edit leaves those without a
+touched term. The likeness of two fingerprints is the share of equal hashes
+among the subsets of which either document has a term. A document with no term
+of the lexicon is known by a hash of its whole text, like only to equal ones.
 
 Document frequencies are counted over all documents with partial counts before
-the shuffle. The lexicon is a table as large as it comes out. Documents meet it
-by a semi-join of their distinct terms, which Spark does by broadcast while the
-table is small by its statistics and splits where a term is hot; the terms of
-the lexicon then come back to their row, already gathered where they were found.
+the shuffle. As both ends of the band are shares of the documents, the lexicon
+does not grow with their number: with ``d`` distinct terms in the mean document
+at most ``d * RAREST`` terms are in it, each eight bytes. Up to ``MOST_SENT``
+terms it goes to all tasks as a constant array of buckets, in which a term is
+found at once; a larger one is met by a semi-join of exploded terms.
 
 The next document is found without ordering all rows in one task: ids are cut
 into ranges by the bounds of a range partitioning, neighbours are found within
 a range, and the first row of each range is also dealt to the end of the range
-before it. So texts are shuffled once; of the next document's fingerprint only
-its hashes travel. What is broadcast is one row of numbers for each of at most
-``MOST_RANGES`` ranges.
+before it. So texts are shuffled once, each with its fingerprint. What is
+broadcast is one row of numbers for each of at most ``MOST_RANGES`` ranges.
 
 Cases: a null text is empty; a text without lexicon terms is known by its own
 hash; rows with one doc_id follow in the order of their texts' hashes; a table
@@ -33,6 +33,8 @@ of one row has itself as next; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +42,10 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: The band of document frequency.
-LEAST_DOCS, MOST_SHARE = 3, 0.2
+#: The band of document frequency: one of so many documents at least, and this share at most.
+LEAST_DOCS, RAREST, MOST_SHARE = 3, 5000, 0.2
+#: Terms of a lexicon that goes to all tasks at most; its buckets, by the highest bits of a term.
+MOST_SENT, BUCKET_BITS = 200_000, 15
 #: Each number is a deal of the lexicon into two to its power subsets; the bits of all deals differ.
 DEALS = (1, 1, 1, 6)
 #: Rows in a range of ids, about, and ranges at most; bounds travel with the plan.
@@ -55,10 +59,35 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SPACES, -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(found: DataFrame, n_docs: Column, least: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
-    """(term): every term in the band; ``found`` has a row (term) for each document and distinct term."""
-    counted = found.groupBy("term").agg(F.count("*").alias("df"))
-    return counted.where((F.col("df") >= least) & (F.col("df") <= F.lit(most_share) * n_docs)).select("term")
+def lexicon(rows: DataFrame, column: str = "terms") -> DataFrame:
+    """(term): every term in the band, from the rows' distinct ``column``."""
+    counted = rows.select(F.explode(column).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = rows.select(F.count("*").alias("n")).scalar()
+    return counted.where((F.col("df") >= LEAST_DOCS) & (F.col("df") * RAREST >= n) & (F.col("df") <= F.lit(MOST_SHARE) * n)).select("term")
+
+
+def _bucket(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 64 - BUCKET_BITS).cast("int")
+
+
+def buckets(band: DataFrame) -> Column:
+    """The terms of ``band`` by their highest bits, as a constant array of as many arrays as there are buckets."""
+    lists = band.groupBy(_bucket(F.col("term")).alias("at")).agg(F.collect_list("term").alias("own")).collect()
+    of = [[] for _ in range(1 << BUCKET_BITS)]
+    for x in lists:
+        of[x.at] = sorted(x.own)
+    return F.from_json(F.lit(json.dumps(of, separators=(",", ":"))), "array<array<bigint>>")
+
+
+def kept_to(rows: DataFrame, band: DataFrame, columns: list[str], most_sent: int = MOST_SENT) -> DataFrame:
+    """``rows`` with each of ``columns``, arrays of distinct terms, kept to the terms in ``band``."""
+    if band.count() <= most_sent:
+        own = buckets(band)
+        return rows.withColumns({c: F.filter(c, lambda t: F.array_contains(F.get(own, _bucket(t)), t)) for c in columns})
+    numbered = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "imatch-rows")
+    met = met_terms(numbered, band, columns).withColumnRenamed("rid", "_rid")
+    joined = numbered.drop(*columns).join(met.hint("merge"), F.col("rid") == F.col("_rid"), "left")
+    return joined.withColumns({c: F.coalesce(c, _none()) for c in columns}).select(*rows.columns)
 
 
 def met_terms(rows: DataFrame, band: DataFrame, columns: list[str]) -> DataFrame:
@@ -123,13 +152,9 @@ def _none() -> Column:
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the column ``out``; the lexicon is that of ``docs`` itself."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("whole"), terms(body).alias("terms"))
-    rows = staged(rows, "imatch-rows")
-    band = staged(lexicon(rows.select(F.explode("terms").alias("term")), rows.select(F.count("*").alias("n")).scalar()), "imatch-lexicon")
-    met = met_terms(rows, band, ["terms"]).select(F.col("rid").alias("_rid"), F.col("terms").alias("met"))
-    made = rows.join(met, F.col("rid") == F.col("_rid"), "left").select("row", "whole", F.coalesce("met", _none()).alias("met"))
-    made = made.select("row", "whole", hashes(F.col("met")).alias("hashed"))
-    return made.select(F.col("row").withField(out, fingerprint(F.col("hashed"), F.col("whole"))).alias("row")).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("whole"), terms(body).alias("terms"))
+    rows = kept_to(rows, staged(lexicon(rows), "imatch-lexicon"), ["terms"]).select("row", "whole", hashes(F.col("terms")).alias("hashed"))
+    return rows.select(F.col("row").withField(out, fingerprint(F.col("hashed"), F.col("whole"))).alias("row")).select("row.*")
 
 
 def _ranges(docs: DataFrame, key: str) -> list[int]:
@@ -150,14 +175,11 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(sorted_bounds, at + s - 1) <= key, F.lit(False)), at + s).otherwise(at)), F.lit(0))
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, next_text, rid, before) of all rows: the next by (doc_id, hash of the text); after the last comes the first.
-
-    ``rid`` is a row's own number, ``before`` that of the row whose next it is.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"))
-    rows = rows.withColumns({"range": _range_of(F.col("doc_id"), _ranges(docs, key)).cast("long"), "at": F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("h"))})
+def with_next(docs: DataFrame, key: str, text: str, more: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, ``more``, next_...) of all rows: the next by (doc_id, hash of the text); after the last comes the first."""
+    carried = ["text", *(more or [])]
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(more or []))
+    rows = rows.withColumns({"range": _range_of(F.col("doc_id"), _ranges(docs, key)), "at": F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), F.xxhash64("text").alias("h"))})
     # At most MOST_RANGES rows of four numbers: the first row of each range, and the range before it on the ring.
     heads = rows.groupBy("range").agg(F.min("at").alias("head"))
     ring = W.orderBy("range")
@@ -165,14 +187,10 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.join(F.broadcast(heads), F.col("range") == F.col("_range"))
     own = F.struct(F.lit(False).alias("guest"), F.col("range").alias("range"))
     guest = F.struct(F.lit(True).alias("guest"), F.col("previous").alias("range"))
-    dealt = rows.select("doc_id", "text", "at", "previous", F.explode(F.when(F.col("at") == F.col("head"), F.array(own, guest)).otherwise(F.array(own))).alias("x")).select("doc_id", "text", "at", "previous", "x.guest", "x.range")
-    # From the end on: first the guest, that is the first row of the next range, then the last row, which has the number 0.
-    back = W.partitionBy("range").orderBy(F.col("guest").desc(), F.col("at").desc())
-    dealt = dealt.withColumns({"next_text": F.lag("text").over(back), "last": F.lag("guest").over(back), "n": F.row_number().over(back), "first": F.lead("range").over(back).isNull()})
-    base = F.shiftleft("range", 32)
-    rid = base + F.when(F.col("last"), 0).otherwise(F.col("n"))
-    before = F.when(F.col("first"), F.shiftleft("previous", 32)).otherwise(base + F.col("n") + 1)
-    return dealt.where("not guest").select("doc_id", "text", "next_text", rid.alias("rid"), before.alias("before"))
+    dealt = rows.select("doc_id", *carried, "at", F.explode(F.when(F.col("at") == F.col("head"), F.array(own, guest)).otherwise(F.array(own))).alias("x")).select("doc_id", *carried, "at", "x.guest", "x.range")
+    order = W.partitionBy("range").orderBy("guest", "at")
+    led = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
+    return led.where("not guest").select("doc_id", *carried, *[f"next_{c}" for c in carried])
 
 
 def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,21 +199,16 @@ def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text")
     The edited text has its last floor(n_chars / 2) code points replaced by as
     many first ones of the next document, or by all of it if it is shorter.
     """
-    rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    band = staged(lexicon(rows.select(terms(F.col("text")).alias("terms"))), "imatch-lexicon")
+    rows = kept_to(rows.withColumn("terms", terms(F.col("text"))), band, ["terms"])
+    rows = with_next(rows.select("doc_id", "text", hashes(F.col("terms")).alias("hashed")), "doc_id", "text", ["hashed"])
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.select("rid", "before", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole"), terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
-    # Most terms of the two texts are the same; each is sought once.
-    rows = rows.select("rid", "before", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", F.array_intersect("a", "b").alias("both"), F.array_except("a", "b").alias("own"), F.array_except("b", "a").alias("new"))
-    rows = staged(rows, "imatch-rows")
-    band = staged(lexicon(rows.select(F.explode(F.concat("both", "own")).alias("term")), rows.select(F.count("*").alias("n")).scalar()), "imatch-lexicon")
-    met = met_terms(rows, band, ["both", "own", "new"]).withColumnRenamed("rid", "_rid")
-    # Both sides grow with the documents, so they are merged at every size, and stay dealt by rid for the join with the next ones.
-    rows = rows.drop("both", "own", "new").join(met.hint("merge"), F.col("rid") == F.col("_rid"), "left")
-    mine, other = (F.coalesce(F.concat("both", c), _none()) for c in ("own", "new"))
-    rows = rows.select("rid", "before", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", mine.alias("a"), other.alias("b"))
-    following = rows.select(F.col("before").alias("_before"), F.col("whole").alias("next_whole"), hashes(F.col("a")).alias("after"))
-    rows = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "whole", "edited_whole", hashes(F.col("a")).alias("a"), hashes(F.col("b")).alias("b"))
-    rows = rows.join(following.hint("merge"), F.col("rid") == F.col("_before"))
+    whole = {"whole": F.xxhash64("text"), "edited_whole": F.xxhash64("edited"), "next_whole": F.xxhash64("next_text")}
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "hashed", "next_hashed", *[c.alias(name) for name, c in whole.items()], terms(F.col("edited")).alias("terms"))
+    rows = kept_to(rows, band, ["terms"])
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "hashed", "next_hashed", *whole, hashes(F.col("terms")).alias("edited_hashed"))
     c = F.col
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(c("a"), c("whole")).alias("fingerprint"), fingerprint(c("b"), c("edited_whole")).alias("edited_fingerprint"), likeness(c("a"), c("b"), c("whole"), c("edited_whole")).alias("near_edited"), likeness(c("a"), c("after"), c("whole"), c("next_whole")).alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(c("hashed"), c("whole")).alias("fingerprint"), fingerprint(c("edited_hashed"), c("edited_whole")).alias("edited_fingerprint"), likeness(c("hashed"), c("edited_hashed"), c("whole"), c("edited_whole")).alias("near_edited"), likeness(c("hashed"), c("next_hashed"), c("whole"), c("next_whole")).alias("near_next"))

@@ -258,7 +258,7 @@ def plain_fingerprints(texts, deals=imatch.DEALS):
         return {xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text.lower())}
 
     df = Counter(t for text in texts for t in terms(text))
-    band = {t for t, n in df.items() if n >= imatch.LEAST_DOCS and n <= imatch.MOST_SHARE * len(texts)}
+    band = {t for t, n in df.items() if n >= imatch.LEAST_DOCS and n * imatch.RAREST >= len(texts) and n <= imatch.MOST_SHARE * len(texts)}
 
     def of(text):
         found, met, at = {}, terms(text) & band, 0
@@ -271,6 +271,13 @@ def plain_fingerprints(texts, deals=imatch.DEALS):
     return of
 
 
+def test_a_lexicon_met_by_a_join(docs):
+    texts = docs.select("doc_id", imatch.terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    band = imatch.lexicon(texts)
+    kept = [{r.doc_id: set(r.terms) for r in imatch.kept_to(texts, band, ["terms"], most).collect()} for most in (imatch.MOST_SENT, 0)]
+    assert kept[0] == kept[1] and any(kept[0].values())
+
+
 def plain_likeness(a, b):
     return sum(a.get(k) == b[k] for k in b) / len(a.keys() | b.keys()) if not ("whole" in a and "whole" in b) else float(a == b)
 
