@@ -23,9 +23,10 @@ equi-join, which Spark splits where it is skewed. A family of m different sets
 costs m squared comparisons, dealt in block pairs; its rows grow by its blocks. Nothing is collected; rounds
 of the components end by one count each.
 
-Cases: a null or blank text has an empty set, no links and a class of its own;
-repeated rows have one class; class_id is the smallest doc_id of the class;
-an empty table gives an empty result.
+A set is known by its own hash, not by a doc_id, so ids may be null or shared by
+different texts. Cases: a null or blank text has an empty set, no links and a
+class of its own; repeated rows have one class; class_id is the smallest doc_id
+of the class, null if it has none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,16 +80,16 @@ def _mixed(seed: int, n: int):
 
 
 def band_hashes(rows: DataFrame, bands: int, per_band: int, seed: int = 3) -> DataFrame:
-    """(doc_id, set_key, n, bands) of ``rows`` (doc_id, set_key, shingles): the hash of each band's minima, null for an empty set."""
+    """(doc_id, h, set_key, n, bands) of ``rows`` (doc_id, h, set_key, shingles): the hash of each band's minima, none for an empty set."""
     import numpy as np
     import pyarrow as pa
 
-    out = T.StructType([rows.schema["doc_id"], T.StructField("set_key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    out = T.StructType([rows.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         times, plus = _mixed(seed, bands * per_band)
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             start = lists.offsets.to_numpy()
             values = lists.values.to_numpy().view(np.uint64)
             size = np.diff(start)
@@ -110,9 +111,9 @@ def band_hashes(rows: DataFrame, bands: int, per_band: int, seed: int = 3) -> Da
                     keys[full, b] = key
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
             flat = keys[full].reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=out.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=out.names)
 
-    return rows.select("doc_id", "set_key", "shingles").mapInArrow(run, out)
+    return rows.select("doc_id", "h", "set_key", "shingles").mapInArrow(run, out)
 
 
 def meetings(sets: DataFrame) -> DataFrame:
@@ -254,46 +255,76 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("x").alias("v"), "label")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of every row of ``docs``.
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    n_links: verified links of the row's text to other texts; n_copies: rows with its set, itself included.
+
+def families(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row (``band_hashes``), and (set_key, first, n_links, n_copies) of every set that isn't empty.
+
+    ``first`` (no_id, id, h) is the row of the smallest id in the set's class, ``h`` a hash of its text.
     """
     bands, rows = bands_and_rows(threshold, recall)
-    hashed = docs.select(F.col(key).alias("doc_id"), shingles(F.col(text), words).alias("shingles"))
+    hashed = docs.select(F.col(key).alias("doc_id"), _text_hash(F.col(text)).alias("h"), shingles(F.col(text), words).alias("shingles"))
     # Two hashes of the sorted set, folded with its size: equal sets, equal keys.
     keyed = hashed.withColumn("set_key", F.xxhash64(F.array_sort("shingles"), F.size("shingles")))
     signed = staged(band_hashes(keyed, bands, rows), "ngram-signatures")
-    reps = signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
+    holder = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "h")
+    reps = signed.where("n > 0").groupBy(F.col("set_key").alias("rep")).agg(F.min(holder).alias("holder"), F.count("*").alias("n_copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
     reps = staged(reps, "ngram-sets")
-    met = meetings(reps.where("rep is not null"))
+    met = meetings(reps)
     large = staged(large_bands(met, bands), "ngram-large")
     pairs = staged(candidate_pairs(met, large), "ngram-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
-    sets = hashed_sets(docs, key, text, wanted, words)
+    sets = hashed_sets(docs, key, text, reps.join(wanted.hint("merge"), "rep", "left_semi").select("rep", "holder.id", "holder.h"), words)
     links = staged(verified(pairs, sets, threshold), "ngram-links")
     more = staged(block_links(met, large, sets, threshold), "ngram-block-links")
     labels = components(links.select("a", "b").unionByName(more.where("a != b").select("a", "b").distinct()))
     degree = links.select(F.explode(F.array("a", "b")).alias("w"), F.lit(1).cast("long").alias("n")).unionByName(more.select(F.col("a").alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n_links"))
-    known = reps.select("set_key", "rep", "n_copies").join(labels, F.col("rep") == F.col("v"), "left").join(degree, F.col("rep") == F.col("w"), "left")
-    known = known.select(F.col("set_key").alias("_key"), F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    found = reps.select("rep", "holder", "n_copies").join(labels, F.col("rep") == F.col("v"), "left").join(degree, F.col("rep") == F.col("w"), "left")
+    found = staged(found.select("rep", "holder", "n_copies", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "ngram-families")
+    firsts = found.where("label is not null").groupBy(F.col("label").alias("_label")).agg(F.min("holder").alias("first"))
+    found = found.join(firsts, F.col("label") == F.col("_label"), "left")
+    return signed, found.select(F.col("rep").alias("set_key"), F.coalesce("first", "holder").alias("first"), "n_links", "n_copies")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of every row of ``docs``.
+
+    n_links: verified links of the row's text to other texts; n_copies: rows with its set, itself included.
+    """
+    signed, known = families(docs, key, text, words, threshold, recall)
+    known = known.select(F.col("set_key").alias("_key"), F.col("first.id").alias("class_id"), "n_links", "n_copies")
     joined = signed.select("doc_id", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(known, F.col("set_key") == F.col("_key"), "left")
     return joined.select("doc_id", F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
+def _row_key(key: Column, text: Column) -> list[Column]:
+    """What tells rows apart in joins: whether there is an id, the id, a hash of the text; none of them null."""
+    return [key.isNull().alias("_no_id"), F.coalesce(key, F.lit(0)).alias("_id"), _text_hash(text).alias("_h")]
+
+
 def hashed_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) for the ids in ``wanted``, staged.
+    """(rep, shingles) for ``wanted`` (rep, id, h), staged.
 
     The join is by merge at every size: ids grow with the documents, so they
     are never broadcast.
     """
-    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("_t")).join(wanted.hint("merge"), "rep", "left_semi")
+    sought = wanted.select("rep", F.col("id").isNull().alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("h").alias("_h"))
+    rows = docs.select(*_row_key(F.col(key), F.col(text)), F.col(text).alias("_t")).join(sought.hint("merge"), ["_no_id", "_id", "_h"])
     rows = rows.select("rep", shingles(F.col("_t"), words).alias("shingles")).where(F.size("shingles") > 0)
     return staged(rows.groupBy("rep").agg(F.first("shingles").alias("shingles")), "ngram-full-sets")
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id. A row without words stays, repeated rows of one id are one."""
-    kept = classes(docs, key, text).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
-    return rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["id"]).select("row.*")
+    """``docs`` with one row of each class: that of the smallest id, a row without an id only if no other has one.
+
+    Rows go only for a copy that stays: different texts with one id or with
+    none are not copies. A row without words stays.
+    """
+    _, known = families(docs, key, text)
+    kept = known.select("first.*").distinct().select(F.col("no_id").alias("_no_id"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("h").alias("_h"))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(worded).select(F.struct(*docs.columns).alias("row"), *_row_key(F.col(key), F.col(text)))
+    one = rows.join(kept.hint("merge"), ["_no_id", "_id", "_h"], "left_semi").dropDuplicates(["_no_id", "_id", "_h"]).select("row.*")
+    return one.unionByName(docs.where(~worded))

@@ -84,6 +84,24 @@ def test_odd_rows(odd, none):
     got = {r.doc_id: r for r in rows}
     assert len(rows) == odd.count() and got[7].class_id == 6 and got[7].n_copies == 3
     assert all(got[i].class_id == i for i in (1, 2, 3, 4, 5, 8, 9))
-    kept = sorted(r.doc_id for r in N.without_near_copies(odd).where("doc_id is not null").collect())
-    assert kept == [1, 2, 3, 4, 5, 6, 8, 9] and N.without_near_copies(odd).columns == odd.columns
+    kept = sorted((r.doc_id or 0) for r in N.without_near_copies(odd).collect())
+    assert kept == [0, 1, 2, 3, 4, 5, 6, 8, 9] and N.without_near_copies(odd).columns == odd.columns
     assert N.classes(none).count() == 0 and N.without_near_copies(none).count() == 0
+
+
+def test_ids_that_are_null_or_shared(spark):
+    """Only copies go: different texts stay, also under one id or none."""
+    long = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    near = long[0] + " more"
+    for rows, want in (
+        ([(None, long[0]), (None, long[1]), (3, long[2])], 3),
+        ([(1, long[0]), (1, long[1]), (3, long[2])], 3),
+        ([(None, long[0]), (None, long[0]), (None, near), (2, long[1]), (2, near)], 2),
+        ([(1, long[0]), (1, long[0]), (1, near), (None, ""), (None, ""), (4, None)], 4),
+    ):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = N.without_near_copies(frame).collect()
+        assert len(kept) == want
+        shown = sorted(N.classes(frame).select("doc_id", "class_id", "n_links").collect(), key=str)
+        assert len(shown) == len(rows)
+    assert {r.class_id for r in N.classes(spark.createDataFrame([(None, long[0]), (7, near), (5, long[1])], "doc_id long, text string")).collect()} == {7, 5}
