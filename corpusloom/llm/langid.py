@@ -18,8 +18,9 @@ on them. A hot host is counted partially before the shuffle and joined as one
 row of a small table. The model has a fixed number of buckets for each declared
 language, 128 KB of them; a language of up to ``SAMPLE_ROWS`` rows is learnt on all.
 
-Cases: a text that is null or has no words is rejected; words with digits or an
-at sign are left out of the evidence; a missing declaration, suffix or host
+Cases: a text that is null or has no words is rejected; runs of ASCII characters
+with digits or an at sign are left out of the evidence, not what stands around
+them without a space; a missing declaration, suffix or host
 is a value of its own; a table without any declared language has no classes but
 ``und``, so all rows are rejected; an empty table gives an empty result.
 """
@@ -43,8 +44,9 @@ STRENGTH = 20.0
 UND = "und"
 
 
-#: Words with digits or an at sign (numbers, addresses, keys) say nothing about the language.
-NOT_WORDS = re.compile(r"\S*[0-9@]\S*")
+#: Runs of ASCII characters with digits or an at sign (numbers, addresses, keys) say nothing about the language.
+#: A run is read once from its start, so a text of any length takes linear time; letters of other scripts around it stay.
+NOT_WORDS = re.compile(r"(?<![!-~])[!-/:-?A-~]*+[0-9@][!-~]*+")
 #: ASCII signs other than letters separate words.
 SIGNS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -221,7 +223,13 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose language is accepted; all columns stay as they are."""
-    ids = identify_documents(docs, key).where("not accepted").select(F.col(key).alias("_gone")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
-    return rows.join(ids, F.col("id").eqNullSafe(F.col("_gone")), "left_anti").select("row.*")
+    """The rows of ``docs`` whose language is accepted; all columns stay as they are.
+
+    A row is known by its id and by a hash of all that its decision rests on, so
+    rows with one id or without one are judged apart.
+    """
+    mark = F.xxhash64("text", "lang", "source")
+    gone = identify_documents(docs.select(F.struct(F.col(key).alias("id"), mark.alias("h")).alias("_row"), "text", "lang", "source"), "_row")
+    gone = gone.where("not accepted").select(F.col("_row.id").alias("_gone"), F.col("_row.h").alias("_h")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), mark.alias("h"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("_gone")) & (F.col("h") == F.col("_h")), "left_anti").select("row.*")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -58,6 +59,67 @@ def test_more_than_64_declared_languages(spark):
     assert len(got) == 3 and all(r.lang == "l71" and r.accepted for r in got)
 
 
+def test_rows_with_null_or_shared_ids_are_judged_apart(spark, docs):
+    texts = [r.text for r in docs.where("lang = 'en'").limit(3).collect()]
+    rows = [(None, texts[0], "en", "a", 1), (None, "12 34", "en", "a", 1), (900001, texts[1], "en", "a", 1), (900001, "", "en", "a", 1), (900002, "漢字とかなの文章" * 90 + "3" + "です" * 20, "ja", "a", 1)]
+    more = spark.createDataFrame(rows, docs.schema) if docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] else None
+    kept = langid.accepted_documents(docs.unionByName(more))
+    assert sorted(len(r.text) for r in kept.where("doc_id is null or doc_id >= 900001").collect()) == sorted([len(texts[0]), len(texts[1]), len(rows[4][1])])
+
+
+def test_words_of_any_text_in_linear_time():
+    assert langid.words_only("\u65e5\u672c3\u8a9e\u3002") == "\u65e5\u672c \u8a9e\u3002".encode() and langid.words_only("see a@b.c or x9 caf\u00e9, it's") == "see or caf\u00e9 it s".encode()
+    began = time.time()
+    for text in ("\u8a9e" * 700_000, "x" * 2_000_000, "x" * 1_000_000 + "3", "a-b." * 500_000):
+        langid.words_only(text)
+    assert time.time() - began < 20
+
+
+def plain_languages(rows, model):
+    """Bayes' rule in plain loops: text, declaration and host, the last two counted over all other rows."""
+    langs, table = model
+    names, width = [*langs, langid.UND], len(langs) + 1
+    prior = [math.log((1 - langid.UND_PRIOR) / max(1, len(langs)))] * len(langs) + [math.log(langid.UND_PRIOR)]
+    softmax = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    logs, by_text, blank = [], [], []
+    for r in rows:
+        words = langid.words_only(r.text)
+        blank.append(not words)
+        codes = langid.trigram_codes(words) if words else []
+        logs.append([langid.TEMPER * sum(float(table[c, k]) for c in codes) for k in range(width)])
+        by_text.append(softmax([a + b for a, b in zip(logs[-1], prior)]))
+    total = max(1.0, float(sum(not b for b in blank)))
+    shares = [(sum(p[k] for p, b in zip(by_text, blank) if not b) + 1.0) / (total + width) for k in range(width)]
+    out = []
+    for i, r in enumerate(rows):
+        def others(name):
+            same = [j for j, x in enumerate(rows) if getattr(x, name) == getattr(r, name) and not blank[j]]
+            return [sum(by_text[j][k] for j in same if j != i) for k in range(width)], len(same), sum(j != i for j in same)
+
+        v = list(logs[i])
+        every, _, n_every = [sum(by_text[j][k] for j in range(len(rows)) if j != i and not blank[j]) for k in range(width)], 0, sum(j != i and not b for j, b in enumerate(blank))
+        domain = [(every[k] + langid.STRENGTH * shares[k]) / (n_every + langid.STRENGTH) for k in range(width)]
+        host, _, n_host = others("source")
+        lang, n_lang, _ = others("lang")
+        for k in range(width):
+            v[k] += math.log((host[k] + langid.STRENGTH * domain[k]) / (n_host + langid.STRENGTH))
+            for n, size in ((lang[k], n_lang), (every[k], total)):
+                v[k] += math.log((n + langid.STRENGTH * (size + 1.0) / (total + 1.0)) / (total * shares[k] + langid.STRENGTH))
+        p = softmax(v)
+        best = p.index(max(p))
+        out.append((names[best], p[best], not blank[i] and best < width - 1 and p[best] >= langid.LEAST))
+    return out
+
+
+def test_fusion_equals_plain_loops(docs):
+    some = docs.where("doc_id % 4 = 0")
+    rows = some.collect()
+    model = langid.learn(some, "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in langid.identify_documents(some).collect()}
+    for r, (lang, sure, accepted) in zip(rows, plain_languages(rows, model)):
+        assert (got[r.doc_id].lang, got[r.doc_id].accepted) == (lang, accepted) and got[r.doc_id].confidence == pytest.approx(sure, abs=1e-6)
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = langid.identify_pages(pages).collect()
