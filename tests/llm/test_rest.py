@@ -262,6 +262,57 @@ def test_mix(docs, odd, none):
     assert mix.mix(none).count() == 0 and mix.mixed_documents(none).count() == 0
 
 
+def plain_copies(rows, targets, seed=7):
+    """Expected copies by bisection, certain whole ones, Pareto ranks in a plain sort, filled in order, round by round."""
+    def u(r):
+        state = 42
+        for x in (seed, r.doc_id, r.h):
+            state = xxhash.xxh64_intdigest(x.to_bytes(4 if x == seed else 8, "little", signed=True), seed=state)
+        return (((state ^ (1 << 63)) - (1 << 63)) % (1 << 52) + 0.5) / (1 << 52)
+
+    copies = {}
+    for source, target in targets.items():
+        own = [r for r in rows if r.source == source and r.size]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(r.size * min(3, c * r.size**mix.TILT) for r in own) < target else (low, c)
+        e = {r.doc_id: min(3.0, high * r.size**mix.TILT) for r in own}
+        for r in own:
+            copies[r.doc_id] = math.floor(e[r.doc_id] + 1e-9)
+        p = {i: max(0.0, x - copies[i]) for i, x in e.items()}
+        odds = {r.doc_id: (u(r) / (1 - u(r))) / (p[r.doc_id] / (1 - p[r.doc_id])) for r in own if p[r.doc_id] > 1e-9}
+        order = sorted((r for r in own if r.doc_id in odds), key=lambda r: odds[r.doc_id])
+        gap = target - sum(copies[r.doc_id] * r.size for r in own)
+        for _ in range(mix.ROUNDS):
+            fits, taken = [r for r in order if r.size <= gap], set()
+            for r in fits:
+                if r.size > gap:
+                    break
+                gap -= r.size
+                copies[r.doc_id] += 1
+                taken.add(r.doc_id)
+            order = [r for r in order if r.doc_id not in taken]
+        best = min(((abs(r.size - gap), odds[r.doc_id], r.doc_id) for r in order if abs(r.size - gap) < gap), default=None)
+        if best:
+            copies[best[2]] += 1
+    return copies
+
+
+def test_mix_takes_what_plain_pareto_sampling_takes(docs):
+    rows = mix.mix(docs).collect()
+    want = plain_copies(rows, {r.source: r.target for r in rows})
+    assert {r.doc_id: r.copies for r in rows if r.size} == want
+
+
+def test_odds_differ_within_a_source(spark):
+    """Longer documents are due more copies; none exceeds three."""
+    rows = [(i, "w " * (5 if i % 2 else 80), "s") for i in range(4000)] + [(9000 + i, "w " * 40, "t") for i in range(4000)]
+    got = mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).collect()
+    mean = lambda size: sum(r.copies for r in got if r.size == size and r.source == "s") / 2000
+    assert mean(80) / mean(5) == pytest.approx(2.0, rel=0.1) and max(r.copies for r in got) <= 3
+
+
 # --- 10 ---
 
 
