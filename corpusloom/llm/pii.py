@@ -8,13 +8,20 @@ threshold calibrated on held-out candidates selects. Base spans are always
 kept; the model adds those that overlap no base span.
 
 The trees are learnt on a bounded sample: about ``SAMPLE_DOCS`` documents drawn
-by a hash of doc_id. A candidate counts as personal if its form is confirmed (a
-check sum, ranges, the form of an address, a named credential). The learnt trees
-become a column expression, so all documents are scored in their own rows by
-array functions: no shuffle, no Python.
-
-Cases: a null text is empty; offsets are code points; a run of any length is
-matched without recursion or backtracking in proportion to its length; without
+by a hash of doc_id. No labelled spans exist, so labels come from evidence that
+the features do not hold: a base form counts if its check passes (check sum,
+ranges, number of digits, plus sign), a credential if its value has the exact
+form of a key (``KEY``), a spelt-out address if it ends in a domain's suffix,
+and a loose run of digits if it lies in a confirmed number, that is, if it is
+one with its sign or its check withheld. All others are negative, and so are
+words drawn from the texts and the numbers of a few made-up texts with dates and
+amounts (``COUNTER``). What the trees accept is thus what has the format
+and context of confirmed data, confirmed itself or not. They become a column
+expression, so all documents are scored in their own rows by array functions:
+no shuffle, no Python.
+
+Cases: a null text is empty; offsets are code points; a text of any length with
+any number of matches takes linear time, apart from sorting its spans; without
 candidates of both kinds in the sample nothing is added to the base spans; the
 sample, and so the model, is the same in reruns.
 """
@@ -32,7 +39,9 @@ from corpusloom.sources.tables import staged
 BASE, KINDS = ("email", "ip", "card", "phone"), ("email", "ip", "card", "phone", "secret")
 #: Documents in the training sample, about; trees, their depth; the false share allowed among added spans.
 SAMPLE_DOCS, TREES, DEPTH, FALSE_SHARE = 8000, 10, 3, 0.01
-SPAN = "array<struct<start:int,end:int,m:string>>"
+SPAN = "array<struct<start:int,end:int,m:string,left:string,after:string>>"
+#: Results of a scan that are put together at a time; characters of a block of text; characters of context.
+CHUNK, BLOCK, CONTEXT = 64, 4096, 24
 
 # The base forms. A match may begin where the one before ended or where no
 # character of its first class stands before, which is where a leftmost match
@@ -44,9 +53,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 MARK = "\x01"
 CARD = rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]{{15,}}+"
 
-CREDENTIAL = r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[^\s\"']{6,80}|\bAKIA[0-9A-Z]{12,20})"
+CREDENTIAL = r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[^\s\"']{6,}+|\bAKIA[0-9A-Z]{12,}+)"
+#: The exact forms of keys that confirm a credential in training.
+KEY = r"(?:^|[:=\x20\"'])(?:[0-9a-f]{12,}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|eyJ[0-9A-Za-z_.-]{20,})$"
 SPELT = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}"
 LOOSE = r"(?<![0-9A-Za-z])\(?[0-9][0-9().\x20/-]{6,28}[0-9](?![0-9A-Za-z])"
+#: Words that are negative examples in training: one of so many.
+WORD, ONE_IN = r"[^\s]{6,}", 64
+#: Texts with numbers that are not personal data, for training: dates, years, amounts, decimals, counts.
+COUNTER = ("it was on {y}-{m:02}-{d:02} that", "from {y} - {z} and", "about {d} {n:03} {k:03} of", "the value 3.{n:03}{k:03}{d:02} is", "on {d:02}.{m:02}.{y} they", "no. {y}{n:03}{k:03} was", "{m}/{d}/{y} - {d}/{m}/{z}", "some {d}00 000 000 in", "at {d:02}.{m:02} - {m:02}.{d:02} or", "pages {n:03} - {k:03}, see")
+VARIANTS = 50
 CUES = r"(?i)(?:mail|phone|tel|call|card|visa|ip|host|addr|passw|secret|key|token|contact)"
 
 
@@ -54,21 +70,62 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
-def spans(text: Column, pattern: str, worth: Column) -> Column:
-    """All matches as (start, end, m), offsets in code points; ``worth`` says cheaply whether there can be any.
+def scan(items: Column, carry: Column, kind: str, step) -> Column:
+    """``step(carry, item)`` gives the next carry and an array of results; all results in order, an array of type ``kind``.
 
-    The gaps between matches and the matches themselves add up to the text, so
-    their lengths give the offsets.
+    Results are put together in chunks, so that many don't take quadratic time.
+    A transform over one element names an array, so that it is made once.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    none = F.array().cast(kind)
 
     def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
+        held, out = step(a["carry"], x)
+        return F.struct(held.alias("carry"), F.concat(a["out"], out).alias("out"))
+
+    def run(own: Column) -> Column:
+        def chunk(a: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(own, i * CHUNK + 1, F.lit(CHUNK)), F.struct(a["carry"].alias("carry"), none.alias("out")), add)
+            return F.transform(F.array(part), lambda p: F.struct(p["carry"].alias("carry"), F.concat(a["outs"], F.array(p["out"])).alias("outs")))[0]
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(own) > 0, F.aggregate(chunks, F.struct(carry.alias("carry"), F.array().cast(f"array<{kind}>").alias("outs")), chunk, lambda a: F.flatten(a["outs"]))).otherwise(none)
+
+    return F.transform(F.array(items), run)[0]
+
+
+def spans(text: Column, pattern: str, worth: Column) -> Column:
+    """All matches as (start, end, m, left, after), offsets in code points; ``worth`` says cheaply whether there can be any.
+
+    The gaps between matches and the matches themselves add up to the text, so
+    their lengths give the offsets, and the gaps the context on both sides.
+    """
+    def step(at: Column, x: Column):
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))))).alias("out"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(1)).alias("after"))
+        return end, F.when(x["m"].isNull(), _none()).otherwise(F.array(one))
+
+    def found(gaps: Column) -> Column:
+        parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+        return scan(parts, F.lit(0), SPAN, step)
+
+    return F.when(worth, F.transform(F.array(F.split(text, pattern, -1)), found)[0]).otherwise(_none())
+
+
+def overlaps(own: Column, others: Column) -> Column:
+    """For each span of ``own`` whether it overlaps one of ``others``: those before it by the furthest end so far, those after it by the nearest start."""
+    named = lambda spans, mine: F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mine).alias("mine"), i.alias("i")))
+    kind = "array<struct<i:int,hit:boolean>>"
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), add, lambda a: a["out"])
-    return F.when(worth, found).otherwise(_none())
+    def result(x: Column, hit: Column) -> Column:
+        return F.when(x["mine"], F.array(F.struct(x["i"].alias("i"), hit.alias("hit")))).otherwise(F.array().cast(kind))
+
+    def both(every: Column) -> Column:
+        behind = scan(every, F.lit(-1), kind, lambda m, x: (F.when(x["mine"], m).otherwise(F.greatest(m, x["end"])), result(x, m > x["start"])))
+        ahead = scan(F.reverse(every), F.lit((1 << 31) - 1), kind, lambda m, x: (F.when(x["mine"], m).otherwise(F.least(m, x["start"])), result(x, m < x["end"])))
+        return F.zip_with(F.array_sort(behind), F.array_sort(ahead), lambda a, b: a["hit"] | b["hit"])
+
+    return F.transform(F.array(F.array_sort(F.concat(named(own, True), named(others, False)))), both)[0]
 
 
 def _digits(m: Column) -> Column:
@@ -115,49 +172,69 @@ def with_matches(docs: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({f"_{k}": passing(k) for k in BASE})
 
 
-#: What the trees see of a candidate ``c`` = (kind, start, end, m, before, after, left).
+#: What the trees see of a candidate ``c`` = (kind, start, end, m, left, after): nothing of what confirms it in training.
 FEATURES = {
     "length": lambda c: F.length(c["m"]),
     "digits": lambda c: _n(c["m"]),
     "capitals": lambda c: F.length(F.regexp_replace(c["m"], "[^A-Z]", "")),
     "separators": lambda c: F.length(F.regexp_replace(c["m"], rf"[^\x20().{MARK}/-]", "")),
     "dots": lambda c: F.length(F.regexp_replace(c["m"], r"[^.]", "")),
-    "ats": lambda c: F.length(F.regexp_replace(c["m"], "[^@]", "")),
-    "plus": lambda c: F.startswith(c["m"], F.lit("+")).cast("int"),
-    "luhn": lambda c: F.when(_n(c["m"]).between(12, 19), luhn(c["m"]).cast("int")).otherwise(F.lit(0)),
-    "octets": lambda c: octets(c["m"]).cast("int"),
+    "ats": lambda c: F.length(F.regexp_replace(c["m"], r"[^@\[(]", "")),
+    "brackets": lambda c: F.length(F.regexp_replace(c["m"], r"[^()]", "")),
     "pair": lambda c: c["m"].rlike("[:=]").cast("int"),
-    "variety": lambda c: F.size(F.array_distinct(F.split(c["m"], ""))),
-    "before": lambda c: F.when(c["before"].rlike("[A-Za-z]"), 1).when(c["before"].rlike("[0-9]"), 2).when(c["before"].rlike(r"\S"), 3).otherwise(0),
-    "after": lambda c: F.when(c["after"].rlike("[A-Za-z]"), 1).when(c["after"].rlike("[0-9]"), 2).when(c["after"].rlike(r"\S"), 3).otherwise(0),
+    "variety": lambda c: F.size(F.array_distinct(F.split(F.left(c["m"], F.lit(200)), ""))),
+    "before": lambda c: _class(F.right(c["left"], F.lit(1))),
+    "after": lambda c: _class(c["after"]),
     "cue": lambda c: c["left"].rlike(CUES).cast("int"),
-    "form": lambda c: reduce(lambda a, k: F.when(c["kind"] == k[1], k[0]).otherwise(a), enumerate(KINDS), F.lit(9)),
 }
 
 
-def with_candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``with_matches`` with _candidates: all proposed spans with their context."""
+def _class(sign: Column) -> Column:
+    """A neighbouring character: letter, digit, other; none, a blank or the sign of a number are 0."""
+    return F.when(sign.rlike("[A-Za-z]"), 1).when(sign.rlike("[0-9]"), 2).when(sign.rlike(r"[^\s+]"), 3).otherwise(0)
+
+
+#: The generators: where they put their spans, what kind these are.
+GENERATORS = {**{f"_raw_{k}": k for k in BASE}, "_credential": "secret", "_spelt": "email", "_loose": "phone"}
+CANDIDATE = "array<struct<kind:string,start:int,end:int,m:string,left:string,after:string>>"
+
+
+def with_generated(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_matches`` with the spans of the other generators."""
     body = F.col("_text")
-    rows = rows.withColumns({
+    return rows.withColumns({
         "_credential": spans(body, CREDENTIAL, body.rlike(r"(?i)passw|pwd|secret|token|api.?key|AKIA")),
         "_spelt": spans(body, SPELT, F.contains(body, F.lit("(at)")) | F.contains(body, F.lit("[at]"))),
         "_loose": spans(body, LOOSE, body.rlike(r"[0-9][0-9().\x20/-]{6}")),
     })
 
-    def context(kind: str, sure: bool | None):
-        def put(x: Column) -> Column:
-            left = F.greatest(x["start"] - 24, F.lit(0))
-            known = CHECKS[kind](x["m"]) if sure is None else F.lit(sure)
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), F.when(x["start"] > 0, F.substring(body, x["start"], F.lit(1))).otherwise(F.lit("")).alias("before"), F.substring(body, x["end"] + 1, F.lit(1)).alias("after"), F.substring(body, left + 1, x["start"] - left).alias("left"), known.alias("sure"))
-        return put
 
-    proposed = [F.transform(f"_raw_{k}", context(k, None)) for k in BASE]
-    proposed += [F.transform("_credential", context("secret", True)), F.transform("_spelt", context("email", True)), F.transform("_loose", context("phone", False))]
-    return rows.withColumn("_candidates", F.concat(*proposed)).drop("_credential", "_spelt", "_loose")
+def _named_as(kind: str, column: str) -> Column:
+    return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["after"].alias("after"))).cast(CANDIDATE)
 
 
-def _overlaps(c: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_matches`` with _candidates: all proposed spans with their context."""
+    return with_generated(rows).withColumn("_candidates", F.concat(*[_named_as(kind, column) for column, kind in GENERATORS.items()])).drop("_credential", "_spelt", "_loose")
+
+
+def with_labelled(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_matches`` with _labelled: (c, sure) for every candidate and for some plain words, see above."""
+    rows = with_generated(rows)
+    base = F.concat(*[F.transform(f"_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in BASE])
+    rows = rows.withColumn("_base", base).withColumn("_words", F.filter(spans(F.col("_text"), WORD, F.lit(True)), lambda x: F.pmod(F.xxhash64(x["m"]), F.lit(ONE_IN)) == 0))
+    taken = F.concat("_base", *[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in GENERATORS])
+    passes = lambda k: F.transform(f"_raw_{k}", lambda x: CHECKS[k](x["m"]))
+    sure = {
+        **{f"_raw_{k}": passes(k) for k in BASE},
+        "_credential": F.transform("_credential", lambda x: x["m"].rlike(KEY)),
+        "_spelt": F.transform("_spelt", lambda x: x["m"].rlike(r"(?:\.|[\])]\x20?)[A-Za-z]{2,4}$")),
+        "_loose": overlaps(F.col("_loose"), F.col("_base")),
+    }
+    each = [F.zip_with(_named_as(kind, column), sure[column], lambda c, s: F.struct(c.alias("c"), s.alias("sure"))) for column, kind in GENERATORS.items()]
+    plain = F.zip_with(_named_as("secret", "_words"), overlaps(F.col("_words"), taken), lambda c, s: F.struct(c.alias("c"), s.alias("sure")))
+    plain = F.transform(F.filter(plain, lambda x: ~x["sure"]), lambda x: F.struct(x["c"].alias("c"), F.lit(False).alias("sure")))
+    return rows.withColumn("_labelled", F.concat(*each, plain))
 
 
 def _tree(node, c: dict[str, Column]) -> Column:
@@ -189,9 +266,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
     drawn = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     # The drawn texts are stored first, or the search for candidates would be pushed before the draw.
     own = staged(docs.where(drawn).select(F.col(key).alias("_key"), F.col(text).alias("_own")), "pii-sample")
-    some = with_candidates(with_matches(own, "_own"))
-    one = some.select("_key", F.explode("_candidates").alias("c"))
-    one = one.select("_key", F.col("c.sure").cast("double").alias("label"), *[f(F.col("c")).cast("double").alias(name) for name, f in FEATURES.items()])
+    shown = [(-1 - i, form.format(y=1900 + 7 * v % 130, z=1950 + 11 * v % 80, m=1 + v % 12, d=1 + v % 28, n=v * 37 % 1000, k=v * 101 % 1000)) for i, (form, v) in enumerate((f, v) for f in COUNTER for v in range(VARIANTS))]
+    counter = docs.sparkSession.createDataFrame(shown, "_key long, _own string").withColumn("_key", F.col("_key").cast(own.schema["_key"].dataType))
+    some = with_labelled(with_matches(own.unionByName(counter), "_own"))
+    one = some.select("_key", F.explode("_labelled").alias("x"))
+    one = one.select("_key", F.col("x.sure").cast("double").alias("label"), *[f(F.col("x.c")).cast("double").alias(name) for name, f in FEATURES.items()])
     one = staged(one.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "_key"), F.lit(3)) == 0).repartition(4), "pii-candidates")
     counts = {(x.label, x.held): x["count"] for x in one.groupBy("label", "held").count().collect()}
     if not all(counts.get((label, held)) for label in (0.0, 1.0) for held in (False, True)):
@@ -218,8 +297,10 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
     if model is None:
         return rows.withColumn("_found", F.array_sort("_base"))
     rows = with_candidates(rows)
+    apart = F.filter(F.zip_with("_candidates", overlaps(F.col("_candidates"), F.col("_base")), lambda c, hit: F.struct(c.alias("c"), hit.alias("hit"))), lambda x: ~x["hit"])["c"]
+    rows = rows.withColumn("_candidates", F.when(F.size("_candidates") > 0, apart).otherwise(F.col("_candidates")))
     # Features are made once a candidate, then scored.
-    featured = F.transform(F.filter("_candidates", lambda c: ~_overlaps(c, F.col("_base"))), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *[f(c).cast("double").alias(name) for name, f in FEATURES.items()]))
+    featured = F.transform("_candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *[f(c).cast("double").alias(name) for name, f in FEATURES.items()]))
     rows = rows.withColumn("_featured", featured)
     chosen = F.filter("_featured", lambda c: model.score({name: c[name] for name in FEATURES}) >= model.threshold)
     rank = lambda c: reduce(lambda a, k: F.when(c["kind"] == k[1], k[0]).otherwise(a), enumerate(KINDS), F.lit(9))
@@ -234,22 +315,38 @@ def _named(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``docs``."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_secret) of every row of ``docs``."""
     rows = detect(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), learn(docs, key, text))
-    return rows.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_named(F.array_sort("_base")), 256).alias("base_sha256"), _named(F.col("_found")).alias("spans"))
+    secrets = F.size(F.filter("_found", lambda x: x["i"] == KINDS.index("secret"))).cast("long")
+    return rows.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_named(F.array_sort("_base")), 256).alias("base_sha256"), _named(F.col("_found")).alias("spans"), F.size("_found").cast("long").alias("n_spans"), secrets.alias("n_secret"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become the first one's. A null text stays null."""
+    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become the first one's. A null text stays null.
+
+    The text is cut in blocks once, so that what stands between spans is found
+    without counting from its start each time.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = detect(packed, learn(docs, key, text))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["i"].alias("i"))))
+    closed = F.array_append(by_start, F.struct(F.length("_text").alias("start"), F.length("_text").alias("end"), F.lit(-1).alias("i")))
+
+    def put(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            head = F.substring(F.get(blocks, i), F.pmod(a, F.lit(BLOCK)) + 1, F.when(i == j, b - a).otherwise(F.lit(BLOCK)))
+            rest = F.concat(F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.coalesce(F.substring(F.get(blocks, j), F.lit(1), F.pmod(b, F.lit(BLOCK))), F.lit("")))
+            return F.when(b <= a, F.lit("")).when(i == j, head).otherwise(F.concat(head, rest))
+
+        def step(at: Column, x: Column):
+            apart = x["start"] >= at
+            out = F.array(between(at, x["start"]), F.coalesce(F.get(names, x["i"]), F.lit("")))
+            return F.greatest(at, x["end"]), F.when(apart, out).otherwise(F.array().cast("array<string>"))
 
-    def put(a: Column, x: Column) -> Column:
-        apart = x["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(apart, F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, x["start"] - a["at"]), F.element_at(names, x["i"] + 1))).otherwise(a["out"]).alias("out"))
+        return F.array_join(scan(closed, F.lit(0), "array<string>", step), "")
 
-    redacted = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
+    redacted = F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))), put)[0]
     out = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("_found") == 0, F.col("_text")).otherwise(redacted)
     return rows.select(F.col("row").withField(text, out).alias("row")).select("row.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from corpusloom.llm import pii
 
@@ -63,6 +64,30 @@ def test_model_adds_credentials_and_leaves_plain_words(spark, docs):
     assert model is None or all(x.i == pii.KINDS.index("secret") for x in rows[1])
 
 
+def test_words_without_evidence_are_left_alone(spark, docs):
+    """A word behind a cue and a date are no secret and no number; a whole long key is one span."""
+    model = pii.learn(docs)
+    key = "0123456789abcdef" * 12
+    texts = [(1, "the password = required here and 2023-10-11 there"), (2, f"token: {key} end")]
+    rows = {r.doc_id: r._found for r in pii.detect(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert rows[1] == [] and all(x.end - x.start >= len(key) for x in rows[2])
+
+
+def test_long_texts_with_many_spans(spark):
+    """Megabytes of log lines, and of one run, in seconds; what stands between spans is kept."""
+    line = "10.0.0.{} said a{}@b.example.com or +1 (415) 555-{:04d} at ä\U0001f600 once\n"
+    log = "".join(line.format(i % 250, i, i % 10000) for i in range(4000))
+    texts = [(1, log), (2, "語" * 400_000), (3, "x" * 400_000), (4, "7" * 400_000), (5, "1-" * 200_000)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    began = time.time()
+    rows = pii.report(frame).collect()
+    check([r for r in rows if r.doc_id == 1], dict(texts))
+    assert not any(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows if r.doc_id > 1)
+    got = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    want = re.sub(FORMS["phone"], "[PHONE]", re.sub(FORMS["email"], "[EMAIL]", re.sub(FORMS["ip"], "[IP]", log)))
+    assert got[1] == want and got[2] == texts[1][1] and time.time() - began < 240
+
+
 def test_redaction(spark, odd, none):
     got = {r.doc_id: r for r in pii.redact(odd).collect()}
     assert got[5].text == "Mail [EMAIL] or [PHONE] now." and got[1].text is None and got[2].text == ""
