@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,10 +97,14 @@ def grep_many(files: DataFrame, patterns: list[str]) -> DataFrame:
     forms = {p: checked(files.sparkSession, p) for p in dict.fromkeys(patterns) if p}
     if not forms:
         return grep(files, "").withColumn("pattern", F.lit(""))
-    every = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(f).alias("form")) for p, f in forms.items()])
-    lines = numbered_lines(files)
-    found = F.filter(every, lambda p: F.rlike(F.col("text"), p["form"]))
-    return hits_in(lines.select("*", F.explode(found).alias("p")).select(*lines.columns, "p.pattern", "p.form"), F.col("form"), "pattern")
+    # Files that may have any of them are cut into lines; each pattern is a constant, so it is compiled once.
+    anchored = any(x in p for p in forms for x in ("^", "$", r"\A", r"\z", r"\Z", r"\b"))
+    sieved = files if anchored else files.where(reduce(lambda a, b: a | b, [F.col("text").rlike(f) for f in forms.values()]))
+    lines = numbered_lines(sieved)
+    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(f), F.lit(p)) for p, f in forms.items()]))
+    met = lines.select("*", F.explode(found).alias("pattern"))
+    places = reduce(lambda a, p: a.when(F.col("pattern") == p[0], positions(F.col("text"), F.lit(p[1]))), list(forms.items())[1:], F.when(F.col("pattern") == next(iter(forms)), positions(F.col("text"), F.lit(forms[next(iter(forms))]))))
+    return met.select("origin", "path", "line", F.explode(places).alias("hit"), "text", "pattern").select("origin", "path", "line", F.col("hit.col").alias("col"), F.col("hit.match").alias("match"), "text", "pattern")
 
 
 def grep_indexed(files: DataFrame, index: DataFrame, pattern: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.grep import positions
 from corpusloom.operators.results import fuzzy_topk
-from corpusloom.sources.corpus import index_exists, numbered_lines
+from corpusloom.sources.corpus import index_exists, numbered_lines, replace_folder
 
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
 #: How definitions look: kind and a pattern whose first group is the name.
@@ -33,6 +33,20 @@ def find_references(postings: DataFrame, lines: DataFrame, symbol: str) -> DataF
     return lines.join(at, ["origin", "path", "line"]).select("origin", "path", "line", F.lit(1).alias("col"), "text")
 
 
+def references(files: DataFrame, symbol: str) -> DataFrame:
+    """The same without an index: files and lines that hold the symbol's letters are sieved first, then cut into terms."""
+    lines = numbered_lines(files.where(F.contains("text", F.lit(symbol)))).where(F.contains("text", F.lit(symbol)))
+    terms = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
+    return lines.where(F.array_contains(terms, symbol)).select("origin", "path", "line", F.lit(1).alias("col"), "text")
+
+
+def stored_references(spark: SparkSession, folder: str, files: DataFrame, symbol: str) -> DataFrame:
+    """The same by the stored postings: of the index only the symbol's rows are read, of the files only those it names are cut into lines."""
+    postings = spark.read.parquet(folder)
+    named = postings.where(F.col("term") == symbol).select("origin", F.col("path").alias("rel_path")).distinct()
+    return find_references(postings, numbered_lines(files.join(named, ["origin", "rel_path"], "left_semi")), symbol)
+
+
 def definitions(files: DataFrame, forms=DEFINITIONS) -> DataFrame:
     """(term, kind, origin, path, line) of all lines that define a term; the first form that fits gives the kind."""
     lines = numbered_lines(files)
@@ -45,9 +59,11 @@ def find_definitions(files: DataFrame, symbol: str) -> DataFrame:
     return definitions(files.where(F.contains("text", F.lit(symbol)))).where(F.col("term") == symbol)
 
 
-def document_symbols(postings: DataFrame, path: str) -> DataFrame:
-    """The terms of one file with the line each first stands in, in that order."""
-    return postings.where(F.col("path") == path).groupBy("term").agg(F.min("line").alias("line")).orderBy("line", "term")
+def document_symbols(postings: DataFrame, path: str | None = None) -> DataFrame:
+    """(origin, path, term, line): the terms of each file with the line each first stands in; of one file in that order."""
+    every = postings if path is None else postings.where(F.col("path") == path)
+    found = every.groupBy("origin", "path", "term").agg(F.min("line").alias("line"))
+    return found if path is None else found.orderBy("line", "term")
 
 
 def workspace_symbols(postings: DataFrame, query: str, k: int) -> DataFrame:
@@ -56,8 +72,11 @@ def workspace_symbols(postings: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def path_dictionary(files: DataFrame) -> DataFrame:
-    """(path_id, origin, path): ids are hashes, so no order over all paths is needed and files added later change none."""
-    return files.select("origin", F.col("rel_path").alias("path")).distinct().select(F.xxhash64("origin", "path").alias("path_id"), "origin", "path")
+    """(path_id, origin, path): ids are digests, so no order over all paths is needed and files added later change none.
+
+    160 bits, as hexadecimal text: two of any number of paths do not meet.
+    """
+    return files.select("origin", F.col("rel_path").alias("path")).distinct().select(F.sha1(F.concat_ws(":", "origin", "path").cast("binary")).alias("path_id"), "origin", "path")
 
 
 def stale_artifacts(sources: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
@@ -72,18 +91,22 @@ def stale_artifacts(sources: DataFrame, artifacts: DataFrame, key: str) -> DataF
     return rows.select(key, "source_ts", "artifact_ts", stale.alias("stale"))
 
 
-def refresh_index(spark: SparkSession, files: DataFrame, folder: str, changed: list[str] | None = None) -> DataFrame:
-    """Rebuild the postings of origins that are missing or in ``changed``, project first; (origin, action) of each.
+def refresh_index(spark: SparkSession, files: DataFrame, folder: str, changed: list[str] | None = None, freshness: DataFrame | None = None) -> DataFrame:
+    """Rebuild the postings of origins that are missing, in ``changed`` or stale, project first; (origin, action) of each.
 
-    An origin is written to its own folder; the next one is begun only when it succeeded.
+    ``freshness``: rows of ``stale_artifacts`` with the key origin. An origin is
+    written beside its old index and put in its place when it is whole; the next
+    one is begun only then, so a failed build leaves the old index as it was.
     """
+    stale = set() if freshness is None else {r.origin for r in freshness.where("stale").select("origin").distinct().collect()}  # at most one row a root
     done = []
     for origin in ("project", "engine"):
         own = f"{folder}/{origin}"
-        if index_exists(spark, own) and origin not in (changed or []):
+        if index_exists(spark, own) and origin not in {*(changed or []), *stale}:
             done.append((origin, "up to date"))
             continue
-        write_postings(build_postings(files.where(F.col("origin") == origin)), own)
+        write_postings(build_postings(files.where(F.col("origin") == origin)), own + ".new")
+        replace_folder(spark, own + ".new", own)
         done.append((origin, "built"))
     return spark.createDataFrame(done, "origin string, action string")
 
@@ -102,8 +125,3 @@ def word_at(postings: DataFrame, cursor: DataFrame) -> DataFrame:
     rows = postings.select(F.col("path").alias("_p"), F.col("line").alias("_l"), "term", "col")
     at = (F.col("path") == F.col("_p")) & (F.col("line") == F.col("_l")) & (F.col("col") <= F.col("at")) & (F.col("at") < F.col("col") + F.octet_length("term"))
     return cursor.join(rows, at, "left").select(*cursor.columns, "term")
-
-
-def covers(col: Column, term: Column, at: int) -> Column:
-    """Whether a term at byte column ``col`` holds column ``at``."""
-    return (col <= at) & (F.lit(at) < col + F.octet_length(term))

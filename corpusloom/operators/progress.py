@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths
 from corpusloom.operators.ordered import with_adjacent, with_last
 
 #: Fixed value: a log line with this text counts as one file done.
@@ -39,10 +38,6 @@ def progress(jobs: DataFrame, by: str, done: Column, ts: str, total: Column) ->
     return sums.select(by, "processed", "total", F.when(F.col("total") > 0, F.floor(F.col("processed") * 100.0 / F.col("total"))).otherwise(F.lit(0)).cast("long").alias("pct"), (F.col("processed") / sec).alias("rate"), F.floor(sec).cast("long").alias("seconds"))
 
 
-def progress_text(rows: DataFrame, label: str, state: str) -> DataFrame:
-    return rows.withColumn("status", F.format_string("index(%s): %s %d/%d %d%%  %.1f/s  %ds", F.col(label).cast("string"), F.lit(state), "processed", "total", "pct", "rate", "seconds"))
-
-
 def count_marked_lines(lines: DataFrame, marker: str, *by: str) -> DataFrame:
     """How many lines hold the literal marker."""
     return lines.groupBy(*by).agg(F.sum(F.contains("text", F.lit(marker)).cast("long")).alias("n_marked"))
@@ -68,7 +63,3 @@ def status_intervals(status: DataFrame, by: str, order: list[str], ts: str, ttl:
 def current_status(status: DataFrame, by: str, ts: str, tie: str, value: str) -> DataFrame:
     """The latest status of each job; of equal times the highest ``tie``."""
     return status.groupBy(by).agg(F.max_by(value, F.struct(ts, tie)).alias("status"), F.max(ts).alias("ts"))
-
-
-def status_text(message: Column) -> Column:
-    return paths.trim_ws(F.coalesce(message, F.lit("")))

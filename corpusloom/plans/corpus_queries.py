@@ -83,9 +83,12 @@ def s6(spark, sf_dir):
     return both.groupBy("came", "origin").agg(F.count("*").alias("n"))
 
 
-@query("s7_effective_rules", r"SELECT 'project' AS origin, pattern, kind FROM (VALUES ('src3', 'name'), ('en/src1', 'anchored'), ('*r17', 'name')) t(pattern, kind) UNION ALL SELECT 'engine', pattern, kind FROM (VALUES ('en', 'name'), ('thther.example.org/fr', 'anchored')) t(pattern, kind)")
+@query("s7_effective_rules", f"""WITH {CORPUS}, r AS (SELECT 'project' AS origin, pattern, kind FROM (VALUES ('src3', 'name'), ('en/src1', 'anchored'), ('*r17', 'name')) t(pattern, kind) UNION ALL SELECT 'engine', pattern, kind FROM (VALUES ('en', 'name'), ('thther.example.org/fr', 'anchored')) t(pattern, kind)),
+f AS (SELECT origin, count(*) AS n_files FROM corpus GROUP BY origin) SELECT r.origin, pattern, kind, n_files FROM r JOIN f ON r.origin = f.origin""")
 def s7(spark, sf_dir):
-    return the_rules(spark)
+    """The rules of each root that the corpus has, with the number of its files."""
+    sizes = C.scan_corpus(spark, sf_dir).groupBy("origin").agg(F.count("*").alias("n_files"))
+    return the_rules(spark).join(sizes, "origin").select("origin", "pattern", "kind", "n_files")
 
 
 @query("s8_drop_index")
@@ -168,14 +171,14 @@ def c1(spark, sf_dir):
     )
 
 
-@query("c3_trim_ws", r"SELECT doc_id, regexp_replace(chr(9) || ' ' || left(text, 30) || chr(10) || ' ', '^\s+|\s+$', '', 'g') AS trimmed FROM documents")
+@query("c3_trim_ws", r"SELECT doc_id, regexp_replace(chr(9) || ' ' || text || chr(10) || ' ', '^\s+|\s+$', '', 'g') AS trimmed FROM documents")
 def c3(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", paths.trim_ws(F.concat(F.lit("\t "), F.left("text", F.lit(30)), F.lit("\n "))).alias("trimmed"))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.trim_ws(F.concat(F.lit("\t "), F.col("text"), F.lit("\n "))).alias("trimmed"))
 
 
 @query("c5_json_field", r"""SELECT event_id, nullif(regexp_extract('{"id": 1, "EngineAssociation" : "{' || user_id || '}", ' || substr(props, 2), '"EngineAssociation"\s*:\s*"([^"]+)"', 1), '') AS assoc, json_extract_string(props, '$.k') AS k FROM events""")
 def c5(spark, sf_dir):
-    doc = F.concat(F.lit('{"id": 1, "EngineAssociation" : "{'), F.col("user_id").cast("string"), F.lit('}", '), F.substring("props", 2, 1 << 20))
+    doc = F.concat(F.lit('{"id": 1, "EngineAssociation" : "{'), F.col("user_id").cast("string"), F.lit('}", '), F.substring(F.col("props"), F.lit(2), F.length("props")))
     return table(spark, sf_dir, "events").select("event_id", paths.json_field(doc, "EngineAssociation").alias("assoc"), F.get_json_object("props", "$.k").alias("k"))
 
 
@@ -211,15 +214,15 @@ def c12(spark, sf_dir):
 BEGIN, END = "# >>> managed", "# <<< managed"
 
 
-@query("c15_upsert_block", r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN left(text, 50) WHEN 1 THEN '# >>> managed' || chr(10) || 'old' || chr(10) || '# <<< managed' || chr(10) || left(text, 50) || chr(10) ELSE left(text, 20) || chr(10) || '# >>> managed' || chr(10) || 'a' || chr(10) || '# <<< managed' || chr(10) || 'between' || chr(10) || '# >>> managed' || chr(10) || 'b' || chr(10) || '# <<< managed' END AS text FROM documents),
+@query("c15_upsert_block", r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '# >>> managed' || chr(10) || 'old' || chr(10) || '# <<< managed' || chr(10) || text || chr(10) ELSE text || chr(10) || '# >>> managed' || chr(10) || 'a' || chr(10) || '# <<< managed' || chr(10) || 'between' || chr(10) || '# >>> managed' || chr(10) || 'b' || chr(10) || '# <<< managed' END AS text FROM documents),
 b AS (SELECT doc_id, regexp_replace(text, '(?s)# >>> managed.*?# <<< managed\n?', '', 'g') AS bare FROM t)
 SELECT doc_id, CASE WHEN bare = '' OR bare LIKE '%' || chr(10) THEN bare ELSE bare || chr(10) END || '# >>> managed' || chr(10) || 'new' || chr(10) || '# <<< managed' || chr(10) AS text FROM b""")
 def c15(spark, sf_dir):
     old = lambda body: F.lit(f"{BEGIN}\n{body}\n{END}")
-    text = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(50))).when(F.col("doc_id") % 3 == 1, F.concat(old("old"), F.lit("\n"), F.left("text", F.lit(50)), F.lit("\n"))).otherwise(F.concat(F.left("text", F.lit(20)), F.lit("\n"), old("a"), F.lit("\nbetween\n"), old("b")))
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(old("old"), F.lit("\n"), F.col("text"), F.lit("\n"))).otherwise(F.concat(F.col("text"), F.lit("\n"), old("a"), F.lit("\nbetween\n"), old("b")))
     return table(spark, sf_dir, "documents").select("doc_id", paths.upsert_block(text, BEGIN, END, "new").alias("text"))
 
 
-@query("c16_strip_trailing_blank_lines", r"SELECT doc_id, regexp_replace(left(text, 40) || repeat(chr(13) || chr(10), (doc_id % 4)::INT), '[\r\n]+$', '') AS text FROM documents")
+@query("c16_strip_trailing_blank_lines", r"SELECT doc_id, regexp_replace(text || repeat(chr(13) || chr(10), (doc_id % 4)::INT), '[\r\n]+$', '') AS text FROM documents")
 def c16(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", paths.strip_trailing_blank_lines(F.concat(F.left("text", F.lit(40)), F.repeat(F.lit("\r\n"), (F.col("doc_id") % 4).cast("int")))).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.strip_trailing_blank_lines(F.concat(F.col("text"), F.repeat(F.lit("\r\n"), (F.col("doc_id") % 4).cast("int")))).alias("text"))

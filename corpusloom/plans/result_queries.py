@@ -43,7 +43,7 @@ ROOTS = "roots AS (SELECT DISTINCT regexp_extract(rel_path, '^([^/]*)/', 1) AS r
 @query("j3_route_by_prefix", f"WITH {CORPUS}, {ROOTS} SELECT origin, rel_path AS path, (SELECT max_by(root, length(root)) FROM roots WHERE starts_with(rel_path, root || '/')) AS root FROM corpus")
 def j3(spark, sf_dir):
     files = C.scan_corpus(spark, sf_dir).select("origin", F.col("rel_path").alias("path"))
-    one = files.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("root")).where(F.contains("root", F.lit("")) & (F.col("root") != ""))
+    one = files.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("root")).where("root <> ''")
     two = files.where(F.col("path").rlike("^(en|de)/[^/]*/")).select(F.regexp_extract("path", "^([^/]*/[^/]*)/", 1).alias("root"))
     return J.route_by_prefix(files, one.unionByName(two).distinct())
 
@@ -88,12 +88,12 @@ def j7(spark, sf_dir):
 
 
 @query("w1_with_neighbours", f"""WITH {HITS}, k AS (SELECT DISTINCT path, path || ':' || line || ':' || col AS place, line, col, origin FROM hits)
-SELECT false AS wrap, origin, place, lead(place) OVER w AS next, lag(place) OVER w AS previous FROM k WINDOW w AS (PARTITION BY origin ORDER BY place)
-UNION ALL SELECT true, origin, place, coalesce(lead(place) OVER w, first_value(place) OVER v), coalesce(lag(place) OVER w, last_value(place) OVER v) FROM k WINDOW w AS (PARTITION BY origin ORDER BY place), v AS (PARTITION BY origin ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+SELECT false AS wrap, origin, place, lead(place) OVER w AS next, lag(place) OVER w AS previous FROM k WINDOW w AS (PARTITION BY origin ORDER BY path, line, col)
+UNION ALL SELECT true, origin, place, coalesce(lead(place) OVER w, first_value(place) OVER v), coalesce(lag(place) OVER w, last_value(place) OVER v) FROM k WINDOW w AS (PARTITION BY origin ORDER BY path, line, col), v AS (PARTITION BY origin ORDER BY path, line, col ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def w1(spark, sf_dir):
     at = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"))
-    found = grep(C.scan_corpus(spark, sf_dir), PATTERN).select("origin", at.alias("place")).distinct()
-    go = lambda wrap: R.with_neighbours(found, ["origin"], ["place"], "place", wrap).select(F.lit(wrap).alias("wrap"), "origin", "place", "next", "previous")
+    found = grep(C.scan_corpus(spark, sf_dir), PATTERN).select("origin", "path", "line", "col", at.alias("place")).distinct()
+    go = lambda wrap: R.with_neighbours(found, ["origin"], ["path", "line", "col"], "place", wrap).select(F.lit(wrap).alias("wrap"), "origin", "place", "next", "previous")
     return go(False).unionByName(go(True))
 
 
@@ -280,7 +280,9 @@ def x4(spark, sf_dir):
     return X.sample_latest(table(spark, sf_dir, "events"), "user_id", "value", "event_id", "12 hours")
 
 
-@query("x5_stream_status")
+@query("x5_stream_status", """WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS head FROM events),
+b AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM o)
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, min(ts) AS shown_from, max(ts) + INTERVAL 6 HOUR AS shown_until FROM b GROUP BY user_id, burst""")
 def x5(spark, sf_dir):
-    stream = X.event_stream(spark, sf_dir)
-    return X.run_to_end(X.stream_status(stream, "user_id", "event_type", "6 hours"), "append")
+    found = X.all_status(spark, sf_dir, "user_id", "event_type", "event_id", "6 hours")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("shown_from", "shown_until")})

@@ -12,7 +12,7 @@ from corpusloom.operators import results as R
 from corpusloom.plans.corpus_queries import EXCLUDED, GLOBS, IGNORED, the_rules
 from corpusloom.plans.registry import CORPUS, LINES, POSTINGS, hits, query
 from corpusloom.sources import corpus as C
-from corpusloom.sources.tables import shared_dir, table
+from corpusloom.sources.tables import shared_dir, staged, table
 
 PATTERN, SENSITIVE = "licen[sc]e", "The[a-z]+"
 HITS = LINES + ",\n" + hits("(?i)" + PATTERN)
@@ -37,10 +37,10 @@ def f6(spark, sf_dir):
 
 @query("f8_scope_results", f"WITH {HITS} SELECT 'one' AS scope, path, line, col FROM hits WHERE path = (SELECT min(path) FROM hits) UNION ALL SELECT 'all', path, line, col FROM hits")
 def f8(spark, sf_dir):
-    found = G.grep(_corpus(spark, sf_dir), PATTERN)
-    first = found.agg(F.min("path")).first()[0]
+    found = staged(G.grep(_corpus(spark, sf_dir), PATTERN).select("path", "line", "col"), "hits")
+    first = found.select(F.min("path")).scalar()
     pick = lambda scope, path: R.scope_results(found, path).select(F.lit(scope).alias("scope"), "path", "line", "col")
-    return pick("one", first or "").unionByName(pick("all", None))
+    return pick("one", first).unionByName(pick("all", None))
 
 
 @query("g1_grep", f"WITH {HITS} SELECT * FROM hits")
@@ -114,8 +114,15 @@ def i1b(spark, sf_dir):
 
 @query("i2_find_references", f"WITH {POSTINGS} SELECT DISTINCT l.origin, l.path, l.line, 1 AS col, l.text FROM lines l JOIN postings p ON l.origin = p.origin AND l.path = p.path AND l.line = p.line WHERE p.term = 'that'")
 def i2(spark, sf_dir):
+    return I.references(_corpus(spark, sf_dir), "that").distinct()
+
+
+@query("i2_stored_references", f"WITH {POSTINGS} SELECT DISTINCT l.origin, l.path, l.line, 1 AS col, l.text FROM lines l JOIN postings p ON l.origin = p.origin AND l.path = p.path AND l.line = p.line WHERE p.term = 'that'")
+def i2b(spark, sf_dir):
     files = _corpus(spark, sf_dir)
-    return I.find_references(I.build_postings(files), C.numbered_lines(files), "that").distinct()
+    folder = f"{shared_dir(spark)}/postings/{uuid.uuid4().hex}"
+    I.write_postings(I.build_postings(files), folder)
+    return I.stored_references(spark, folder, files, "that").distinct()
 
 
 DEF = rf"""WITH {LINES}, d AS (SELECT CASE WHEN regexp_extract(text, '<h1>\s*([\p{{L}}_][\p{{L}}\p{{N}}_]*)', 1) <> '' THEN 'heading' ELSE 'opening' END AS kind,
@@ -133,11 +140,9 @@ def i3b(spark, sf_dir):
     return I.find_definitions(_corpus(spark, sf_dir), "The")
 
 
-@query("i4_document_symbols", f"WITH {POSTINGS} SELECT term, min(line) AS line FROM postings WHERE path = (SELECT min(rel_path) FROM corpus WHERE origin = 'project') GROUP BY term")
+@query("i4_document_symbols", f"WITH {POSTINGS} SELECT origin, path, term, min(line) AS line FROM postings GROUP BY ALL")
 def i4(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
-    path = files.where("origin = 'project'").agg(F.min("rel_path")).first()[0]
-    return I.document_symbols(I.build_postings(files.where(F.col("rel_path") == path)), path)
+    return I.document_symbols(I.build_postings(_corpus(spark, sf_dir)))
 
 
 @query("i5_workspace_symbols", f"WITH {POSTINGS}, t AS (SELECT DISTINCT term FROM postings) {_fuzzy_sql('t', 'term', 'licn', 20)}")
@@ -145,9 +150,9 @@ def i5(spark, sf_dir):
     return I.workspace_symbols(I.build_postings(_corpus(spark, sf_dir)), "licn", 20)
 
 
-@query("i6_path_dictionary", f"WITH {CORPUS} SELECT count(DISTINCT (origin, rel_path)) AS n_ids, count(DISTINCT (origin, rel_path)) AS n_paths FROM corpus")
+@query("i6_path_dictionary", f"WITH {CORPUS} SELECT DISTINCT sha1(origin || ':' || rel_path) AS path_id, origin, rel_path AS path FROM corpus")
 def i6(spark, sf_dir):
-    return I.path_dictionary(_corpus(spark, sf_dir)).agg(F.countDistinct("path_id").alias("n_ids"), F.count("*").alias("n_paths"))
+    return I.path_dictionary(_corpus(spark, sf_dir))
 
 
 STALE = """SELECT user_id, max(ts) FILTER (event_type = 'view') AS source_ts, max(ts) FILTER (event_type = 'purchase') AS artifact_ts,
@@ -178,8 +183,8 @@ def i9(spark, sf_dir):
     return I.rewrite_symbol(_corpus(spark, sf_dir), "that", "permit").select("origin", "rel_path", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("c18_word_at", f"WITH {POSTINGS}, c AS (SELECT DISTINCT path, line, 5 AS at FROM lines WHERE origin = 'project') SELECT c.path, c.line, c.at, p.term FROM c LEFT JOIN postings p ON c.path = p.path AND c.line = p.line AND p.col <= c.at AND c.at < p.col + strlen(p.term)")
+@query("c18_word_at", f"WITH {POSTINGS}, c AS (SELECT DISTINCT origin || ':' || path AS path, line, x::INT AS "at" FROM lines, (SELECT unnest([1, 5, 12]) AS x) a) SELECT c.path, c.line, c."at", p.term FROM c LEFT JOIN (SELECT DISTINCT origin || ':' || path AS path, line, col, term FROM postings) p ON c.path = p.path AND c.line = p.line AND p.col <= c."at" AND c."at" < p.col + strlen(p.term)")
 def c18(spark, sf_dir):
-    files = C.project_files(spark, sf_dir)
-    cursor = C.numbered_lines(files).select("path", "line").distinct().withColumn("at", F.lit(5))
-    return I.word_at(I.build_postings(files), cursor)
+    files = _corpus(spark, sf_dir).withColumn("rel_path", F.concat_ws(":", "origin", "rel_path"))
+    cursor = C.numbered_lines(files).select("path", "line").distinct().withColumn("at", F.explode(F.array(F.lit(1), F.lit(5), F.lit(12))))
+    return I.word_at(I.build_postings(files).distinct(), cursor)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +43,23 @@ def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, origin: str = PROJECT) -> DataFrame:
-    """The same from a tree of files. Names that begin with a dot or an underscore are not seen: Spark's sources skip them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.expr("regexp_replace(path, '^[a-z]+:/*', '/')"), "^" + root.rstrip("/") + "/", "")
-    return found.select(F.lit(origin).alias("origin"), F.lit(root).alias("root"), rel.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), F.col("length"), F.col("modificationTime").alias("mtime"))
+    """The same from a tree of files. Names that begin with a dot or an underscore are not seen: Spark's sources skip them.
+
+    Bytes that are no UTF-8 become replacement characters, so one odd file doesn't stop the scan.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_escaped(root))
+    bare = lambda c: F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:/*", "/")
+    base = bare(F.lit(root.rstrip("/"))) if ":" in root else F.lit(root.rstrip("/"))
+    path = F.regexp_replace(bare(F.col("path")), "%(?![0-9A-Fa-f]{2})", "%25")
+    path = F.when(F.startswith(bare(F.col("path")), base), bare(F.col("path"))).otherwise(F.url_decode(F.regexp_replace(path, r"\+", "%2B")))
+    rel = F.when(F.startswith(path, F.concat(base, F.lit("/"))), F.substring(path, F.length(base) + 2, F.length(path))).otherwise(path)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return found.select(F.lit(origin).alias("origin"), F.lit(root).alias("root"), rel.alias("rel_path"), text.alias("text"), F.col("length"), F.col("modificationTime").alias("mtime"))
+
+
+def _escaped(folder: str) -> str:
+    """A folder's name as a path pattern that matches it alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", folder)
 
 
 def restrict_paths(files: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -92,6 +106,14 @@ def index_exists(spark: SparkSession, folder: str) -> bool:
     return fs.exists(path)
 
 
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Put ``new`` in the place of ``old``, which goes."""
+    fs, path = _filesystem(spark, old)
+    fs.delete(path, True)
+    if not fs.rename(_filesystem(spark, new)[1], path):
+        raise OSError(f"{new} could not be renamed")
+
+
 def read_index_or_scan(spark: SparkSession, folder: str, scan) -> DataFrame:
     """The stored index if there is one, else the list of what ``scan()`` finds."""
     columns = ["origin", "rel_path", "abs_path", "is_code"]

@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the one all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) one is set here.
+    Only in tests on one machine, where none is named, one is set here; a cluster without one is an error, as its
+    executors could not see each other's files.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         context.setCheckpointDir(found)

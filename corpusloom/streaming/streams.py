@@ -19,6 +19,28 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def in_order(schema: T.StructType, spark: SparkSession, sf_dir: str, files: int = 8) -> DataFrame:
+    """``events`` as a stream whose files follow each other in time: dealt in ranges of time, a folder and batch each.
+
+    Files are taken by age, so they are written one after the other, each as one file; give more ``files`` to a larger table.
+    This replays a stored table; a live stream comes in order by itself.
+    """
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}-events"
+    events = event_table(spark, sf_dir).where("ts is not null")
+    bounds = events.select(F.percentile_approx(F.unix_micros("ts"), [(i + 1) / files for i in range(files - 1)], 1000).alias("b")).first()["b"] or []
+    us = F.unix_micros("ts")
+    edges = [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = events if low is None else events.where(us > low)
+        part = part if high is None else part.where(us <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def stream_progress(stream: DataFrame, by: str) -> DataFrame:
     """Running (by, n_events, last_ts), to be written in update or complete mode."""
     return stream.groupBy(by).agg(F.count("*").alias("n_events"), F.max("ts").alias("last_ts"))
@@ -51,27 +73,31 @@ def throttle(rows: DataFrame, key: str, tie: str, gap_us: int) -> DataFrame:
     """(key, tie, ts): the rows emitted if after each the key is silent for ``gap_us`` microseconds; a key's first is emitted.
 
     Rows are dealt by key and sorted, then read as a stream with one time of
-    state, so a key of any length needs no memory.
+    state, so a key of any length needs no memory. A null key is a key; rows
+    without a time are left out. Arrow keeps keys of any type as they are.
     """
-    def keep(parts):
-        own, last = None, None
-        for part in parts:
+    import pyarrow as pa
+
+    def keep(batches):
+        begun, own, last = False, None, None
+        for batch in batches:
             chosen = []
-            for i, (k, us) in enumerate(zip(part[key], part["_us"])):
-                if own is None or k != own or us - last >= gap_us:
+            for i, (k, us) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                if not begun or k != own or us - last >= gap_us:
                     chosen.append(i)
-                    own, last = k, us
-            yield part.iloc[chosen][[key, tie, "ts"]]
+                    begun, own, last = True, k, us
+            yield batch.select([0, 1, 2]).take(pa.array(chosen, pa.int64()))
 
-    dealt = rows.select(key, tie, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", tie)
+    dealt = rows.where("ts is not null").select(key, tie, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", tie)
     out = T.StructType([f for f in dealt.schema if f.name != "_us"])
-    return dealt.mapInPandas(keep, out)
+    return dealt.mapInArrow(keep, out)
 
 
 def throttle_stream(stream: DataFrame, key: str, tie: str, gap_us: int) -> DataFrame:
     """The same on a stream: the state of a key is the time of its last emission.
 
-    Within a batch a key's rows are taken in order of time; rows older than the last emission are not emitted.
+    Within a batch a key's rows are taken in order of time, for which one batch's rows of a key are held together: their
+    number is bounded by what a trigger reads. Rows older than the last emission are not emitted.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -107,11 +133,30 @@ def sample_latest(rows: DataFrame, key: str, value: str, tie: str, period: str)
     return found.select(key, F.col("_w.start").cast("timestamp_ntz").alias("start"), value)
 
 
-def stream_status(stream: DataFrame, by: str, value: str, ttl: str, lateness: str = "1 hour") -> DataFrame:
-    """(by, status, shown_from, shown_until) of status bursts as they close: a burst ends when nothing comes for ``ttl``.
+def status_bursts(rows: DataFrame, by: str, value: str, tie: str, ttl: str) -> DataFrame:
+    """(by, status, shown_from, shown_until) of status bursts: a burst ends when nothing comes for ``ttl``; of equal times the highest ``tie`` shows.
 
     A status that was followed by another within ``ttl`` is never cleared by its own expiry, as only the burst's last one shows until then.
     """
-    late = stream.withWatermark("ts", lateness)
-    bursts = late.groupBy(by, F.session_window("ts", ttl).alias("w")).agg(F.max_by(value, F.col("ts")).alias("status"))
+    bursts = rows.groupBy(by, F.session_window("ts", ttl).alias("w")).agg(F.max_by(value, F.struct("ts", tie)).alias("status"))
     return bursts.select(by, "status", F.col("w.start").alias("shown_from"), F.col("w.end").alias("shown_until"))
+
+
+def stream_status(stream: DataFrame, by: str, value: str, tie: str, ttl: str, lateness: str = "1 hour") -> DataFrame:
+    """``status_bursts`` of a stream, each as it closes. What comes more than ``lateness`` behind is left out."""
+    return status_bursts(stream.withWatermark("ts", lateness), by, value, tie, ttl)
+
+
+def all_status(spark: SparkSession, sf_dir: str, by: str, value: str, tie: str, ttl: str, lateness: str = "1 hour") -> DataFrame:
+    """``stream_status`` of the events and, when the stream has ended, its open bursts.
+
+    The events are first dealt into files in order of time, so none is late. A
+    burst is open at the end if the watermark hasn't passed its end.
+    """
+    stream = in_order(event_stream(spark, sf_dir).schema, spark, sf_dir)
+    closed = run_to_end(stream_status(stream, by, value, tie, ttl, lateness), "append")
+    events = event_table(spark, sf_dir)
+    # A key's last burst is all that can be open, and it lies after the key's last closed one.
+    ended = closed.groupBy(F.col(by).alias("_by")).agg(F.max("shown_until").alias("_until"))
+    rest = events.join(ended, F.col(by).eqNullSafe(F.col("_by")), "left").where("_until is null or ts >= _until")
+    return closed.unionByName(status_bursts(rest, by, value, tie, ttl))

@@ -110,6 +110,37 @@ def test_files_of_a_tree(spark, tmp_path):
     assert corpus.restrict_paths(found, ["Source"]).count() == 1
 
 
+def test_odd_files_and_folders(spark, tmp_path):
+    """A folder whose name is a pattern, a file that is no UTF-8, a name with a space and a percent sign."""
+    root = tmp_path / "t+x (1)"
+    (root / "d").mkdir(parents=True)
+    (root / "d" / "a 5%.txt").write_bytes("caf\u00e9".encode("latin-1"))
+    (root / "b.txt").write_text("t")
+    found = corpus.scan_files(spark, str(root))
+    assert sorted((r.rel_path, r.text) for r in found.collect()) == [("b.txt", "t"), ("d/a 5%.txt", "caf\ufffd")]
+
+
+def test_throttle_keeps_keys_as_they_are(spark):
+    rows = spark.sql("SELECT k, i, timestamp_micros(ms * 1000) AS ts FROM VALUES (cast(null as bigint), 0, 0), (null, 1, 10), (null, 2, 600), (9007199254740993, 3, 0), (9007199254740993, 4, 20) t(k, i, ms)")
+    assert sorted((r.i, r.k) for r in streams.throttle(rows, "k", "i", 500_000).collect()) == [(0, None), (2, None), (3, 9007199254740993)]
+
+
+def test_references_with_and_without_an_index(spark, tmp_path):
+    rows, folder = files(spark, ("a", "that x\nthatx\n9that a9that\nno"), ("b", "That")), str(tmp_path / "postings")
+    index.write_postings(index.build_postings(rows), folder)
+    for found in (index.references(rows, "that"), index.stored_references(spark, folder, rows, "that").distinct()):
+        assert sorted((r.path, r.line) for r in found.collect()) == [("a", 1), ("a", 3)]
+
+
+def test_refresh_builds_what_is_stale(spark, tmp_path):
+    rows, folder = files(spark, ("a", "one two")), str(tmp_path / "postings")
+    index.refresh_index(spark, rows, folder)
+    stale = spark.createDataFrame([("project", True), ("engine", False)], "origin string, stale boolean")
+    got = {r.origin: r.action for r in index.refresh_index(spark, rows, folder, freshness=stale).collect()}
+    assert got == {"project": "built", "engine": "up to date"}
+    assert spark.read.parquet(folder + "/project").count() == 2 and not corpus.index_exists(spark, folder + "/project.new")
+
+
 def test_index_is_stored_read_and_dropped(spark, tmp_path):
     rows, folder = files(spark, ("a.cpp", "x"), ("b.txt", "y")), str(tmp_path / "index")
     calls = []
