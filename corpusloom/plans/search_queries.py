@@ -183,7 +183,7 @@ def i9(spark, sf_dir):
     return I.rewrite_symbol(_corpus(spark, sf_dir), "that", "permit").select("origin", "rel_path", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("c18_word_at", f"WITH {POSTINGS}, c AS (SELECT DISTINCT origin || ':' || path AS path, line, x::INT AS "at" FROM lines, (SELECT unnest([1, 5, 12]) AS x) a) SELECT c.path, c.line, c."at", p.term FROM c LEFT JOIN (SELECT DISTINCT origin || ':' || path AS path, line, col, term FROM postings) p ON c.path = p.path AND c.line = p.line AND p.col <= c."at" AND c."at" < p.col + strlen(p.term)")
+@query("c18_word_at", f"WITH {POSTINGS}, c AS (SELECT DISTINCT origin || ':' || path AS path, line, x::INT AS pos FROM lines, (SELECT unnest([1, 5, 12]) AS x) a) SELECT c.path, c.line, c.pos AS at, p.term FROM c LEFT JOIN (SELECT DISTINCT origin || ':' || path AS path, line, col, term FROM postings) p ON c.path = p.path AND c.line = p.line AND p.col <= c.pos AND c.pos < p.col + strlen(p.term)")
 def c18(spark, sf_dir):
     files = _corpus(spark, sf_dir).withColumn("rel_path", F.concat_ws(":", "origin", "rel_path"))
     cursor = C.numbered_lines(files).select("path", "line").distinct().withColumn("at", F.explode(F.array(F.lit(1), F.lit(5), F.lit(12))))
