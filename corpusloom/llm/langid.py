@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.segments import slices
 from corpusloom.sources.tables import staged
 
 #: Hash buckets of trigrams; rows in the sample of each language, about.
@@ -41,6 +42,8 @@ BUCKETS, SAMPLE_ROWS = 1 << 15, 3000
 TEMPER, UND_PRIOR, LEAST = 1 / 3, 1e-3, 0.5
 #: Rows that a parent's distribution counts as, for hosts, domains and categories.
 STRENGTH = 20.0
+#: Rows whose texts a worker holds at a time.
+SLICE = 1000
 UND = "und"
 
 
@@ -81,8 +84,8 @@ def learn(rows: DataFrame, key: str, text: str, declared: str):
 
     def count(batches):
         held: dict = {}
-        for batch in batches:
-            for lang, body in zip(batch.column(0).to_pylist(), map(words_only, batch.column(1).to_pylist())):
+        for batch in slices(batches, SLICE):
+            for lang, body in zip(batch.column(0).to_pylist(), map(words_only, (x.as_py() for x in batch.column(1)))):
                 if body:
                     held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))[:] += np.bincount(trigram_codes(body), minlength=BUCKETS)
         for lang, n in held.items():
@@ -114,9 +117,9 @@ def text_evidence(rows: DataFrame, model, text: str = "text") -> DataFrame:
 
     def score(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             logs, blank = [], []
-            for body in map(words_only, batch.column(len(keep)).to_pylist()):
+            for body in map(words_only, (x.as_py() for x in batch.column(len(keep)))):
                 blank.append(not body)
                 logs.append(_total(own, trigram_codes(body)) if body else [0.0] * own.shape[1])
             by_text = _softmax(np.array(logs).reshape(-1, len(prior)) + prior).tolist() if logs else []

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.segments import slices
 from corpusloom.sources.tables import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -45,6 +46,8 @@ WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 SMALL = 12
 #: Sets and hashes of a block of a larger bucket, about; columns of a matrix of them at a time.
 BLOCK_SETS, BLOCK_WEIGHT, COLUMNS = 1024, 1 << 18, 4096
+#: Rows whose signatures are made at a time.
+SLICE = 500
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -88,7 +91,7 @@ def band_hashes(rows: DataFrame, bands: int, per_band: int, seed: int = 3) -> Da
 
     def run(batches):
         times, plus = _mixed(seed, bands * per_band)
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             lists = batch.column(3)
             start = lists.offsets.to_numpy()
             values = lists.values.to_numpy().view(np.uint64)

@@ -58,8 +58,8 @@ CREDENTIAL = r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[:
 KEY = r"(?:^|[:=\x20\"'])(?:[0-9a-f]{12,}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|eyJ[0-9A-Za-z_.-]{20,})$"
 SPELT = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}"
 LOOSE = r"(?<![0-9A-Za-z])\(?[0-9][0-9().\x20/-]{6,28}[0-9](?![0-9A-Za-z])"
-#: Words that are negative examples in training: one of so many.
-WORD, ONE_IN = r"[^\s]{6,}", 64
+#: Words that are negative examples in training: of those that begin a sentence one of so many.
+WORD, ONE_IN = r"(?<=[.!?]\s)[^\s]{6,}+", 8
 #: Texts with numbers that are not personal data, for training: dates, years, amounts, decimals, counts.
 COUNTER = ("it was on {y}-{m:02}-{d:02} that", "from {y} - {z} and", "about {d} {n:03} {k:03} of", "the value 3.{n:03}{k:03}{d:02} is", "on {d:02}.{m:02}.{y} they", "no. {y}{n:03}{k:03} was", "{m}/{d}/{y} - {d}/{m}/{z}", "some {d}00 000 000 in", "at {d:02}.{m:02} - {m:02}.{d:02} or", "pages {n:03} - {k:03}, see")
 VARIANTS = 50

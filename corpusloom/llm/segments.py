@@ -48,6 +48,13 @@ def by_size(texts, most: int):
         yield group
 
 
+def slices(batches, rows: int):
+    """Arrow batches of at most ``rows`` rows, so that a worker holds little beside its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Memo(dict):
     """A cache of two generations of at most ``most`` entries each: a full one becomes the old one, whose entries come back when asked for.
 
