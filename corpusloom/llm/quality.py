@@ -6,11 +6,11 @@ stratum (language) and rule the candidates are tried from the mildest on, each
 tested by the exact binomial tail: that ``k`` or fewer of the ``n`` good
 holdout documents of the stratum are rejected must have probability at most
 ``delta`` divided by the number of strata and rules if the true rate were
-``alpha`` (Bonferroni over strata and rules; within one rule the order is fixed
+``alpha`` divided by the number of rules (Bonferroni over strata and rules; within one rule the order is fixed
 in advance and testing stops at the first failure, so it costs no more). The
 strictest cutoff that passed is used; where none passes, the rule rejects
-nothing in that stratum. So with probability ``1 - delta`` every rule in every
-stratum falsely rejects at most ``alpha`` of the good documents.
+nothing in that stratum. So with probability ``1 - delta`` all rules together
+falsely reject at most ``alpha`` of the good documents of every stratum.
 
 All of it is DataFrame work: features are array functions over one text in one
 row, without a shuffle; thresholds are aggregates over the labelled rows, one
@@ -33,8 +33,8 @@ from corpusloom.sources.tables import staged
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 #: Base rules.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: The false rejection allowed to each rule in each stratum; the error probability of all tests together.
-ALPHA, DELTA = 0.02, 0.05
+#: The false rejection allowed in each stratum, dealt equally to the rules; the error probability of all tests together.
+ALPHA, DELTA = 0.1, 0.05
 #: Cutoffs tried, from the mildest to the strictest, as numbers of the score.
 RULES = {
     "symbols_per_word": (4.0, 3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1),
@@ -120,8 +120,9 @@ def thresholds(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> D
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(rule) > cut).cast("long")).alias(f"k_{rule}_{i}") for rule, i, cut in tried])
     unpivoted = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"k_{rule}_{i}").alias("k")) for rule, i, cut in tried])))
     allowed = F.lit(delta) / (F.count("*").over(W.partitionBy("rule", "step")) * len(RULES))
-    # Where k is over alpha * n the tail is over a half or so: no need to sum it.
-    passed = F.when(F.col("k") > F.lit(alpha) * F.col("n"), False).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha) <= F.col("allowed"))
+    # Where k is over its share of n the tail is over a half or so: no need to sum it.
+    own = alpha / len(RULES)
+    passed = F.when(F.col("k") > F.lit(own) * F.col("n"), False).otherwise(binomial_tail(F.col("k"), F.col("n"), own) <= F.col("allowed"))
     tested = unpivoted.withColumn("allowed", allowed).withColumn("passed", passed)
     so_far = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
     return tested.withColumn("all_passed", F.min("passed").over(so_far)).where("all_passed").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
