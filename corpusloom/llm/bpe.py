@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.segments import LONG, Memo, segments
 
-#: Entries of a worker's caches, a generation: words, token pairs.
+#: Entries of a worker's caches, a generation: words (and as many pieces), token pairs.
 MEMO_WORDS, MEMO_PAIRS = 100_000, 150_000
 #: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
-PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
 PLAIN_UNDER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 #: The rank of a merge that never comes.
@@ -65,6 +65,8 @@ class PrefixEncoder:
         self.left_edge = Memo(lambda token: self._edge(token, 0), NEVER)
         self.whole = Memo(lambda rank: len(self._merged(self.tokens[rank])) == 1, NEVER)
         self.pair_fits = Memo(self._pair_fits, MEMO_PAIRS)
+        # A word comes with many marks behind it, so its pieces are remembered apart.
+        self.piece = Memo(lambda piece: self.encode_piece(piece.encode()), MEMO_WORDS, LONG)
         self.word = Memo(self._word, MEMO_WORDS, LONG)
 
     def _merged(self, data: bytes, to: int = 1) -> list[bytes]:
@@ -148,10 +150,10 @@ class PrefixEncoder:
     def _word(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
         """The ids of a part of a text, the same as text, and the bytes they decode to."""
         plain = self.plain(part)
-        pieces = [x for x in plain.groups() if x] if plain else self.pieces(part)
-        ids = self.encode_piece(pieces[0].encode())
-        for x in pieces[1:]:
-            ids += self.encode_piece(x.encode())
+        ids: tuple[int, ...] = ()
+        for x in plain.groups() if plain else self.pieces(part):
+            if x:
+                ids += self.piece[x]
         return ids, ",".join(map(self.digits.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
