@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.segments import LONG, Memo, segments
 
 #: Entries of a worker's caches, a generation: words (and as many pieces), token pairs.
-MEMO_WORDS, MEMO_PAIRS = 100_000, 150_000
+MEMO_WORDS, MEMO_PAIRS = 200_000, 150_000
 #: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
 PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
@@ -66,7 +66,7 @@ class PrefixEncoder:
         self.whole = Memo(lambda rank: len(self._merged(self.tokens[rank])) == 1, NEVER)
         self.pair_fits = Memo(self._pair_fits, MEMO_PAIRS)
         # A word comes with many marks behind it, so its pieces are remembered apart.
-        self.piece = Memo(lambda piece: self.encode_piece(piece.encode()), MEMO_WORDS, LONG)
+        self.piece = Memo(self._piece, MEMO_WORDS, LONG)
         self.word = Memo(self._word, MEMO_WORDS, LONG)
 
     def _merged(self, data: bytes, to: int = 1) -> list[bytes]:
@@ -134,6 +134,9 @@ class PrefixEncoder:
                 last[end] = rank
         return last
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return self.encode_piece(piece.encode())
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece: the last token, the last of what is before it, and so on."""
         rank = self.ranks.get(piece)
@@ -153,7 +156,7 @@ class PrefixEncoder:
         ids: tuple[int, ...] = ()
         for x in plain.groups() if plain else self.pieces(part):
             if x:
-                ids += self.piece[x]
+                ids = ids + self.piece[x] if ids else self.piece[x]
         return ids, ",".join(map(self.digits.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:

@@ -71,7 +71,10 @@ class Memo(dict):
         made = self.old.get(key)
         if made is None:
             made = self.make(key)
-        self.put(key, made)
+        if len(self) >= self.most:
+            self.put(key, made)
+        else:
+            self[key] = made
         return made
 
     def put(self, key, made) -> None:
