@@ -427,3 +427,48 @@ def test_pipeline(spark, sf_dir, odd, none):
             stage(spark, frame, sf_dir).write.mode("overwrite").parquet(path)
             frame = spark.read.parquet(path)
         assert "ids" in frame.columns
+
+
+def test_pipeline_stages_equal_plain_versions(spark, sf_dir):
+    """Near copies against all pairs, and tokens against the library, each on what its predecessor kept."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from corpusloom.llm import bpe
+
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{shared_dir(spark)}/test-plain-{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        kept[name] = docs.collect()
+
+    rows = kept["language ID"]
+    sets = []
+    for r in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()})
+    first = list(range(len(rows)))
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)), key=lambda k: rows[k].doc_id)
+                first[b] = a
+    assert sorted(r.doc_id for r in kept["near copies"]) == sorted(rows[i].doc_id for i in range(len(rows)) if top(i) == i)
+    assert sorted(r.doc_id for r in kept["personal data"]) == sorted(r.doc_id for r in kept["near copies"])
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {}
+    for r in kept["tokens"]:
+        ids.setdefault(r.doc_id, []).append(list(r.ids))
+    assert sum(map(len, ids.values())) == len(kept["mixture"])
+    for r in kept["mixture"]:
+        assert library.encode_ordinary(r.text) in ids[r.doc_id]
