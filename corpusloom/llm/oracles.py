@@ -49,3 +49,37 @@ label AS (SELECT v, least(v, min(u)) AS class_id FROM reach GROUP BY v),
 degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT g.doc_id, coalesce(class_id, rep, g.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
 FROM g LEFT JOIN sets ON len(g.grams) > 0 AND md5(array_to_string(g.grams, chr(10))) = sets.k LEFT JOIN label ON rep = v LEFT JOIN degree ON rep = a"""
+
+
+def _rounds(size: int, k: int, rounds: int, seed: int) -> str:
+    """Clustering as a chain of common table expressions, two a round."""
+    near = """a{i} AS MATERIALIZED (SELECT p, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+  SELECT v.p, v.vec_id, v.v, c.cluster, list_sum(list_transform(range(1, {n}), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j])))::BIGINT AS d FROM v, c{i} c) GROUP BY p, vec_id, v)"""
+    move = """c{j} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY j) AS v FROM (
+  SELECT cluster, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, {n})) AS j FROM a{i}) GROUP BY cluster, j) GROUP BY cluster) m ON c.cluster = m.cluster)"""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS p, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, v FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(near.format(i=i, n=size + 1))
+        if i < rounds:
+            parts.append(move.format(i=i, j=i + 1, n=size + 1))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.cluster::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+OP12 = _rounds(64, 8, 10, 3)
+
+OP13 = r"""WITH w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m)) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE m > 1 AND a >= 100),
+s AS (SELECT c.lang, c.phrase, c.a, n.n, p.a AS l, q.a AS r, k, (1000::HUGEINT * c.a * n.n) // (p.a::HUGEINT * q.a) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.lang = c.lang AND d.m > c.m AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))) c
+  JOIN n ON n.lang = c.lang JOIN f p ON p.lang = c.lang AND p.m = k AND p.phrase = array_to_string(c.w[1:k], ' ') JOIN f q ON q.lang = c.lang AND q.m = c.m - k AND q.phrase = array_to_string(c.w[k + 1:], ' ')),
+b AS (SELECT lang, phrase, a, n, unnest(arg_min({'l': l, 'r': r, 'score': score}, (score, k))) FROM s GROUP BY lang, phrase, a, n)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b QUALIFY rank <= 2000"""

@@ -84,12 +84,30 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import toxicity
+
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import collocations
+
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op3_html_main_text, op4_language_id, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op9_ngram_jaccard, op10_imatch, language_id_pages)}
+    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op3_html_main_text, op4_language_id, op5_warc, op6_quality_rules, op7_mix_sources, op8_token_counts, op9_ngram_jaccard, op10_imatch, op11_toxicity, op12_centroids, op13_collocations, language_id_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries rest on hashes, learnt models or vocabularies; tests hold them against plain versions."""
     from corpusloom.llm import oracles
 
-    return {"op3_html_main_text": oracles.OP3, "op5_warc": oracles.OP5, "op6_quality_rules": oracles.OP6, "op9_ngram_jaccard": oracles.OP9}
+    return {"op3_html_main_text": oracles.OP3, "op5_warc": oracles.OP5, "op6_quality_rules": oracles.OP6, "op9_ngram_jaccard": oracles.OP9, "op12_centroids": oracles.OP12, "op13_collocations": oracles.OP13}
