@@ -61,14 +61,17 @@ def is_braced_guid(c: Column) -> Column:
 
 def parse_kv_line(c: Column) -> Column:
     """``name  REG_TYPE  value`` as a struct (name, type, value), the value with slashes and trimmed; null if the line isn't one."""
-    form = r"^\s*(\S+)\s+(REG_\S+)\s+(.+?)\s*$"
+    form = r"(?s)^\s*(\S+)\s+(REG_\S+)\s+(.+?)\s*\z"
     part = lambda i: F.regexp_extract(c, form, i)
     return F.when(c.rlike(form), F.struct(part(1).alias("name"), part(2).alias("type"), F.translate(part(3), "\\", "/").alias("value")))
 
 
 def parse_hit_line(c: Column) -> Column:
-    """``path:line:text`` as a struct (path, line, col 1, text), the path as short as possible; null if the line isn't one."""
-    form = r"^(.*?):(\d+):(.*)$"
+    """``path:line:text`` as a struct (path, line, col 1, text), the path as short as possible; null if the line isn't one.
+
+    The text is whatever follows, returns and other separators included.
+    """
+    form = r"(?s)^(.*?):(\d{1,9}):(.*)\z"
     part = lambda i: F.regexp_extract(c, form, i)
     return F.when(c.rlike(form), F.struct(norm_path(part(1)).alias("path"), part(2).cast("int").alias("line"), F.lit(1).alias("col"), part(3).alias("text")))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import rules
+from corpusloom.operators.literals import required
 from corpusloom.sources.corpus import numbered_lines
 
 
@@ -23,9 +25,13 @@ def smart_case(pattern: str) -> str:
     return pattern if bare.lower() != bare else "(?i)" + pattern
 
 
+#: A line ends at a line feed alone: returns and other signs are part of it, for ``.`` and ``$`` too.
+FEEDS = "(?d)"
+
+
 def checked(spark: SparkSession, pattern: str) -> str:
     """The pattern in smart case. A bad one, or one that matches the empty text, is an error here and not in a task."""
-    form = smart_case(pattern)
+    form = FEEDS + smart_case(pattern)
     if spark._jvm.java.util.regex.Pattern.compile(form).matcher("").find():
         raise ValueError(f"{pattern!r} matches the empty text")
     return form
@@ -33,7 +39,22 @@ def checked(spark: SparkSession, pattern: str) -> str:
 
 def match_lines(lines: DataFrame, pattern: str, column: str = "text") -> DataFrame:
     """Lines in which the pattern is found, in smart case."""
-    return lines.where(F.col(column).rlike(smart_case(pattern)))
+    return lines.where(F.col(column).rlike(FEEDS + smart_case(pattern)))
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """Whether a text holds the literals that each match of the pattern holds. Texts with a matching line always do."""
+    need, fold = required(pattern)
+
+    def holds(n) -> Column:
+        if isinstance(n, str) and fold:
+            # Only the case of ASCII letters is ignored: they are sought in the lower-case text, what stands between them as it is.
+            return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(x.lower())) if x.isascii() else F.contains(text, F.lit(x)) for x in re.findall(r"[\x00-\x7f]+|[^\x00-\x7f]+", n)])
+        if isinstance(n, str):
+            return F.contains(text, F.lit(n))
+        return reduce((lambda a, b: a & b) if n[0] == "and" else (lambda a, b: a | b), [holds(x) for x in n[1:]])
+
+    return F.lit(True) if need is True else holds(need)
 
 
 def readable_only(files: DataFrame) -> DataFrame:
@@ -80,15 +101,13 @@ def hits_in(lines: DataFrame, form: Column, *more: str) -> DataFrame:
 def grep(files: DataFrame, pattern: str) -> DataFrame:
     """(origin, path, line, col, match, text), one row a match; the empty pattern finds nothing.
 
-    Files are sieved whole before they are cut into lines, lines before
-    positions are sought; all stages are narrow. Groups in the pattern must not
-    look over line ends.
+    Whole files are sieved by literals that any match holds, lines by the
+    pattern before positions are sought; all stages are narrow.
     """
     if not pattern:
         return hits_in(numbered_lines(files).where(F.lit(False)), F.lit("x"))
     form = checked(files.sparkSession, pattern)
-    anchored = any(x in pattern for x in ("^", "$", r"\A", r"\z", r"\Z", r"\b"))
-    sieved = files if anchored else files.where(F.col("text").rlike(form))
+    sieved = files.where(may_match(F.col("text"), form))
     return hits_in(numbered_lines(sieved).where(F.col("text").rlike(form)), F.lit(form))
 
 
@@ -98,8 +117,7 @@ def grep_many(files: DataFrame, patterns: list[str]) -> DataFrame:
     if not forms:
         return grep(files, "").withColumn("pattern", F.lit(""))
     # Files that may have any of them are cut into lines; each pattern is a constant, so it is compiled once.
-    anchored = any(x in p for p in forms for x in ("^", "$", r"\A", r"\z", r"\Z", r"\b"))
-    sieved = files if anchored else files.where(reduce(lambda a, b: a | b, [F.col("text").rlike(f) for f in forms.values()]))
+    sieved = files.where(reduce(lambda a, b: a | b, [may_match(F.col("text"), f) for f in forms.values()]))
     lines = numbered_lines(sieved)
     found = F.array_compact(F.array(*[F.when(F.col("text").rlike(f), F.lit(p)) for p, f in forms.items()]))
     met = lines.select("*", F.explode(found).alias("pattern"))

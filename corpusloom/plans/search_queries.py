@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import grep as G
 from corpusloom.operators import index as I
 from corpusloom.operators import results as R
+from corpusloom.operators import trigrams as T
 from corpusloom.plans.corpus_queries import EXCLUDED, GLOBS, IGNORED, the_rules
 from corpusloom.plans.registry import CORPUS, LINES, POSTINGS, hits, query
 from corpusloom.sources import corpus as C
@@ -67,6 +68,20 @@ def g3(spark, sf_dir):
     return G.grep_indexed(files, C.restrict_paths(files, ["en"]), PATTERN)
 
 
+@query("g3_grep_trigram", f"WITH {HITS} SELECT * FROM hits")
+def g3b(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/trigrams/{uuid.uuid4().hex}"
+    T.write_index(_corpus(spark, sf_dir), folder)
+    return T.grep(spark, folder, PATTERN)
+
+
+@query("g3_grep_trigram_rare", f"WITH {LINES},\n{hits('(?i)(?:[a-z]+@mail[0-9]|merchant(?:ab|i)lity)')} SELECT * FROM hits")
+def g3c(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/trigrams/{uuid.uuid4().hex}"
+    T.write_index(_corpus(spark, sf_dir), folder)
+    return T.grep(spark, folder, "(?:[a-z]+@mail[0-9]|merchant(?:ab|i)lity)")
+
+
 @query("g4_grep_excluding", f"WITH {HITS}, ok AS (SELECT DISTINCT origin, rel_path FROM corpus WHERE NOT ({IGNORED}) AND NOT ({EXCLUDED})) SELECT h.* FROM hits h JOIN ok ON h.origin = ok.origin AND h.path = ok.rel_path")
 def g4(spark, sf_dir):
     return G.grep_excluding(_corpus(spark, sf_dir), PATTERN, GLOBS, the_rules(spark))
