@@ -218,9 +218,9 @@ def test_throttle(spark):
 def test_stream_state_spans_batches(spark, tmp_path):
     data = str(tmp_path / "event")
     for n, ms in enumerate([(0, 499), (500, 999), (1000,)]):
-        spark.sql("SELECT 'k' AS k, ms AS i, timestamp_micros(ms * 1000L) AS ts FROM VALUES " + ", ".join(f"({x})" for x in ms) + " t(ms)").coalesce(1).write.mode("append").parquet(data)
+        spark.sql("SELECT 'k' AS k, ms AS i, timestamp_micros(86400000000 + ms * 1000L) AS ts FROM VALUES " + ", ".join(f"({x})" for x in ms) + " t(ms)").coalesce(1).write.mode("append").parquet(data)
     stream = spark.readStream.schema(spark.read.parquet(data).schema).option("maxFilesPerTrigger", 1).parquet(data)
-    assert sorted(r.i for r in streams.run_to_end(streams.throttle_stream(stream, "k", "i", 500_000), "append").collect()) == [0, 500, 1000]
+    assert sorted(r.i for r in streams.play_out(stream, lambda s: streams.throttle_stream(s, "k", "i", 500_000)).collect()) == [0, 500, 1000]
 
 
 def test_scratch_lies_in_the_sessions_shared_folder_and_goes(spark):
