@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.grep import positions
 from corpusloom.operators.results import fuzzy_topk
+from corpusloom.operators.segments import IDENTIFIER, TermIndex
 from corpusloom.sources.corpus import index_exists, numbered_lines, replace_folder
+from corpusloom.sources.tables import staged
 
-IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
 #: How definitions look: kind and a pattern whose first group is the name.
 DEFINITIONS = (("heading", rf"<h1>\s*({IDENTIFIER})"), ("opening", rf"^({IDENTIFIER})"))
 
@@ -66,9 +67,16 @@ def document_symbols(postings: DataFrame, path: str | None = None) -> DataFrame:
     return found if path is None else found.orderBy("line", "term")
 
 
-def workspace_symbols(postings: DataFrame, query: str, k: int) -> DataFrame:
-    """The ``k`` terms of the whole corpus that fit the query best."""
-    return fuzzy_topk(postings.select("term").distinct(), "term", query, k)
+def workspace_symbols(terms: DataFrame, query: str, k: int) -> DataFrame:
+    """The ``k`` terms of the whole corpus that fit the query best; ``terms`` (term) may be postings or a dictionary."""
+    return fuzzy_topk(terms.select("term").distinct(), "term", query, k)
+
+
+def indexed_references(index: TermIndex, files: DataFrame, symbol: str) -> DataFrame:
+    """``references`` by the segmented index: of it only the symbol's rows are read, of the files only those it names are cut into lines."""
+    at = staged(index.of_term(symbol).select("origin", "path", "line").distinct().withColumn("term", F.lit(symbol)), "references")
+    named = at.select("origin", F.col("path").alias("rel_path")).distinct()
+    return find_references(at, numbered_lines(files.join(named, ["origin", "rel_path"], "left_semi")), symbol)
 
 
 def path_dictionary(files: DataFrame) -> DataFrame:

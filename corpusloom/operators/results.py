@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ordered import with_adjacent
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Fixed value: results and references of one query at most.
 CAP = 200
 
@@ -42,14 +42,28 @@ def preselect(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 
 def fuzzy_span(value: Column, query: str) -> Column:
-    """The shortest run from the first fit of the query's characters in order, any case; null if they aren't there."""
-    form = "(?i)" + ".*?".join(re.escape(c) for c in query)
-    return F.nullif(F.regexp_extract(value, form, 0), F.lit(""))
+    """The length of the run from the first fit of the query's characters in order, ASCII letters in any case; null if they aren't there.
+
+    Each character is sought from the last one's place on, so a value of any length is read once. The first place of
+    the first character is as good a start as any other: what fits after a later one fits after it too.
+    """
+    fold = lambda c: F.translate(c, UPPER, UPPER.lower())
+    small = fold(value)
+    chars = [fold(F.lit(c)) for c in query]
+    if not chars:
+        return F.lit(None).cast("int")
+    begin = F.call_function("locate", chars[0], small, F.lit(1))
+    end = F.aggregate(F.array(*chars[1:]).cast("array<string>"), begin, lambda at, c: F.when(at > 0, F.call_function("locate", c, small, at + 1)).otherwise(0))
+    return F.when(end > 0, end - begin + 1)
 
 
 def fuzzy_topk(rows: DataFrame, column: str, query: str, k: int) -> DataFrame:
-    """The ``k`` best fits: shorter runs first, then shorter values, then by value. Only ``k`` rows a task are kept."""
-    fits = rows.withColumn("span", F.length(fuzzy_span(F.col(column), query))).where("span is not null")
+    """The ``k`` best fits: shorter runs first, then shorter values, then by value. Only ``k`` rows a task are kept.
+
+    A value must hold all letters of the query, which is tested first.
+    """
+    needed = reduce(lambda a, b: a & b, [F.contains(F.lower(column), F.lit(c.lower())) if c.isascii() else F.contains(F.col(column), F.lit(c)) for c in sorted(set(query))], F.lit(True))
+    fits = rows.where(needed).withColumn("span", fuzzy_span(F.col(column), query)).where("span is not null")
     return fits.orderBy("span", F.length(column), column).limit(k)
 
 
@@ -60,8 +74,13 @@ def recent_files(access: DataFrame, by: str, item: str, ts: str, k: int) -> Data
 
 
 def complete_prefix(sources: list[DataFrame], prefix: str, k: int) -> DataFrame:
-    """(term, prio, freq) of the best ``k`` completions; earlier sources (each: term) come first, then frequent terms."""
-    each = [s.where(F.startswith("term", F.lit(prefix))).groupBy("term").agg(F.count("*").alias("freq")).withColumn("prio", F.lit(i)) for i, s in enumerate(sources)]
+    """(term, prio, freq) of the best ``k`` completions; earlier sources come first, then frequent terms.
+
+    A source has a row for each occurrence (term), or rows with counts (term, n) as a term dictionary has, of which the
+    prefix reads the files of its range only.
+    """
+    freq = lambda s: F.sum("n") if "n" in s.columns else F.count("*")
+    each = [s.where(F.startswith("term", F.lit(prefix))).groupBy("term").agg(freq(s).alias("freq")).withColumn("prio", F.lit(i)) for i, s in enumerate(sources)]
     best = reduce(lambda a, b: a.unionByName(b), each).groupBy("term").agg(F.min(F.struct("prio", (-F.col("freq")).alias("less"))).alias("b"))
     return best.select("term", "b.prio", (-F.col("b.less")).alias("freq")).orderBy("prio", F.col("freq").desc(), "term").limit(k)
 

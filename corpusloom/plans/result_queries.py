@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.operators import catalog as K
-from corpusloom.operators import index as I
 from corpusloom.operators import progress as P
 from corpusloom.operators import resolve as J
 from corpusloom.operators import results as R
 from corpusloom.operators.grep import grep, grep_many
 from corpusloom.plans.registry import CORPUS, LINES, POSTINGS, hits, query
-from corpusloom.plans.search_queries import PATTERN, SENSITIVE
+from corpusloom.plans.search_queries import PATTERN, SENSITIVE, term_index
 from corpusloom.sources import corpus as C
 from corpusloom.sources.tables import table
 from corpusloom.streaming import streams as X
@@ -138,7 +137,7 @@ def t5(spark, sf_dir):
     files = C.scan_corpus(spark, sf_dir)
     names = files.select(paths.basename(F.col("rel_path")).alias("term"))
     words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\s+")).alias("term"))
-    return R.complete_prefix([I.build_postings(files).select("term"), names, words], "li", 100)
+    return R.complete_prefix([term_index(spark, files).terms(), names, words], "li", 100)
 
 
 @query("t6_preselect", f"WITH {HITS} SELECT origin, path, line, col FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, col, origin) = 1")

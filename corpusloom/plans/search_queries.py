@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import grep as G
 from corpusloom.operators import index as I
 from corpusloom.operators import results as R
+from corpusloom.operators import segments as S
 from corpusloom.operators import trigrams as T
 from corpusloom.plans.corpus_queries import EXCLUDED, GLOBS, IGNORED, the_rules
 from corpusloom.plans.registry import CORPUS, LINES, POSTINGS, hits, query
@@ -102,6 +103,13 @@ def g6(spark, sf_dir):
     return G.titled(G.grep(_corpus(spark, sf_dir), PATTERN), "grep", PATTERN).select("path", "line", "col", "title")
 
 
+def term_index(spark, files):
+    """The segmented index of the files, built in the shared folder."""
+    folder = f"{shared_dir(spark)}/terms/{uuid.uuid4().hex}"
+    S.refresh(spark, folder, files)
+    return S.TermIndex(spark, folder)
+
+
 def _fuzzy_sql(source: str, column: str, query: str, k: int) -> str:
     form = "(?i)" + ".*?".join(query)
     return f"SELECT {column}, length(regexp_extract({column}, '{form}')) AS span FROM {source} WHERE regexp_extract({column}, '{form}') <> '' ORDER BY span, length({column}), {column} LIMIT {k}"
@@ -120,6 +128,11 @@ def i1(spark, sf_dir):
     return I.build_postings(_corpus(spark, sf_dir))
 
 
+@query("i1_block_postings", f"WITH {POSTINGS} SELECT * FROM postings")
+def i1c(spark, sf_dir):
+    return term_index(spark, _corpus(spark, sf_dir)).postings()
+
+
 @query("i1_stored_postings", f"WITH {POSTINGS} SELECT term, count(*) AS n, min(path) AS first_path FROM postings GROUP BY term")
 def i1b(spark, sf_dir):
     folder = f"{shared_dir(spark)}/postings/{uuid.uuid4().hex}"
@@ -135,9 +148,7 @@ def i2(spark, sf_dir):
 @query("i2_stored_references", f"WITH {POSTINGS} SELECT DISTINCT l.origin, l.path, l.line, 1 AS col, l.text FROM lines l JOIN postings p ON l.origin = p.origin AND l.path = p.path AND l.line = p.line WHERE p.term = 'that'")
 def i2b(spark, sf_dir):
     files = _corpus(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/postings/{uuid.uuid4().hex}"
-    I.write_postings(I.build_postings(files), folder)
-    return I.stored_references(spark, folder, files, "that").distinct()
+    return I.indexed_references(term_index(spark, files), files, "that").distinct()
 
 
 DEF = rf"""WITH {LINES}, d AS (SELECT CASE WHEN regexp_extract(text, '<h1>\s*([\p{{L}}_][\p{{L}}\p{{N}}_]*)', 1) <> '' THEN 'heading' ELSE 'opening' END AS kind,
@@ -157,12 +168,12 @@ def i3b(spark, sf_dir):
 
 @query("i4_document_symbols", f"WITH {POSTINGS} SELECT origin, path, term, min(line) AS line FROM postings GROUP BY ALL")
 def i4(spark, sf_dir):
-    return I.document_symbols(I.build_postings(_corpus(spark, sf_dir)))
+    return I.document_symbols(term_index(spark, _corpus(spark, sf_dir)).postings())
 
 
 @query("i5_workspace_symbols", f"WITH {POSTINGS}, t AS (SELECT DISTINCT term FROM postings) {_fuzzy_sql('t', 'term', 'licn', 20)}")
 def i5(spark, sf_dir):
-    return I.workspace_symbols(I.build_postings(_corpus(spark, sf_dir)), "licn", 20)
+    return I.workspace_symbols(term_index(spark, _corpus(spark, sf_dir)).terms(), "licn", 20)
 
 
 @query("i6_path_dictionary", f"WITH {CORPUS} SELECT DISTINCT sha1(origin || ':' || rel_path) AS path_id, origin, rel_path AS path FROM corpus")
@@ -193,6 +204,19 @@ def i8(spark, sf_dir):
     return first.unionByName(again).join(n, "origin", "left")
 
 
+@query("i8_incremental_index", f"WITH {POSTINGS} SELECT * FROM postings")
+def i8b(spark, sf_dir):
+    """An index of an older state of the corpus brought up to date: files added, changed and gone, then the segments merged."""
+    files, folder = _corpus(spark, sf_dir), f"{shared_dir(spark)}/terms/{uuid.uuid4().hex}"
+    seven = F.pmod(F.xxhash64("rel_path"), F.lit(7))
+    older = files.where(seven != 0).withColumn("text", F.when(seven == 1, F.concat(F.lit("older "), "text")).otherwise(F.col("text")))
+    left = files.where(seven == 2).withColumn("rel_path", F.concat("rel_path", F.lit(".old")))
+    S.refresh(spark, folder, older.unionByName(left))
+    S.refresh(spark, folder, files)
+    S.merge(spark, folder)
+    return S.TermIndex(spark, folder).postings()
+
+
 @query("i9_rewrite_symbol", rf"WITH {CORPUS} SELECT origin, rel_path, md5(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])that($|[^\p{{L}}\p{{N}}_])', '\1permit\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])that($|[^\p{{L}}\p{{N}}_])', '\1permit\2', 'g')) AS digest FROM corpus WHERE regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])that($|[^\p{{L}}\p{{N}}_])')")
 def i9(spark, sf_dir):
     return I.rewrite_symbol(_corpus(spark, sf_dir), "that", "permit").select("origin", "rel_path", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -202,4 +226,5 @@ def i9(spark, sf_dir):
 def c18(spark, sf_dir):
     files = _corpus(spark, sf_dir).withColumn("rel_path", F.concat_ws(":", "origin", "rel_path"))
     cursor = C.numbered_lines(files).select("path", "line").distinct().withColumn("at", F.explode(F.array(F.lit(1), F.lit(5), F.lit(12))))
-    return I.word_at(I.build_postings(files).distinct(), cursor)
+    # The cursors are in all files, so all of the index is decoded; for few, of_paths decodes their blocks alone.
+    return I.word_at(term_index(spark, files).postings().distinct(), cursor)
