@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import paths
 from corpusloom.operators.grep import positions
 from corpusloom.operators.results import fuzzy_topk
 from corpusloom.operators.segments import IDENTIFIER, TermIndex
@@ -60,6 +61,31 @@ def find_definitions(files: DataFrame, symbol: str) -> DataFrame:
     return definitions(files.where(F.contains("text", F.lit(symbol)))).where(F.col("term") == symbol)
 
 
+#: How definitions look by suffix: (suffix, kind, pattern), the first group the name. A line has the first kind that fits.
+DEFINITION_RULES = (
+    *[(x, kind, form) for x in ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "inl", "ipp", "inc", "m", "mm") for kind, form in (
+        ("macro", rf"^\s*#\s*define\s+({IDENTIFIER})"), ("type", rf"^\s*(?:typedef\s+)?(?:class|struct|union|enum(?:\s+class)?|namespace)\s+(?:[A-Z_]+_API\s+)?({IDENTIFIER})\s*(?:final\s*)?(?:[:{{].*)?$"),
+        ("function", rf"^(?!\s*(?:return|else|new|delete|throw|case|goto)\b)[\w:<>,&*~\s]*[\s&*:~]({IDENTIFIER})\s*\([^;]*\)\s*(?:const)?\s*(?:override)?\s*(?:\{{.*)?$"))],
+    ("py", "type", rf"^\s*class\s+({IDENTIFIER})"), ("py", "function", rf"^\s*(?:async\s+)?def\s+({IDENTIFIER})"),
+    ("lua", "function", rf"^\s*(?:local\s+)?function\s+(?:{IDENTIFIER}[.:])*({IDENTIFIER})"), ("lua", "function", rf"^\s*(?:local\s+)?({IDENTIFIER})\s*=\s*function\b"),
+    *[(x, kind, form) for x in ("html", "htm", "") for kind, form in (("title", rf"<title>\s*({IDENTIFIER})"), ("heading", rf"<h[1-6][^>]*>\s*({IDENTIFIER})"), ("anchor", rf"\sid=\"({IDENTIFIER})\""))],
+    ("md", "heading", rf"^#+\s+({IDENTIFIER})"), ("txt", "label", rf"^({IDENTIFIER}):\s"),
+)
+
+
+def definitions_by_suffix(files: DataFrame, rules=DEFINITION_RULES) -> DataFrame:
+    """(term, kind, origin, path, line) of the lines that define a term by the rules of their file's suffix.
+
+    Files of suffixes without rules are not read further. Line ends other than line feeds belong to the text.
+    """
+    suffix = paths.ext(F.col("path"))
+    known = sorted({s for s, _, _ in rules})
+    lines = numbered_lines(files.where(paths.ext(F.col("rel_path")).isin(known)))
+    each = [F.when(suffix == s, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", "(?d)" + form, 1).alias("term"))) for s, kind, form in rules]
+    first = F.get(F.filter(F.array(*each), lambda d: d.isNotNull() & (d["term"] != "")), F.lit(0))
+    return lines.select(first.alias("d"), "origin", "path", "line").where("d is not null").select("d.term", "d.kind", "origin", "path", "line")
+
+
 def document_symbols(postings: DataFrame, path: str | None = None) -> DataFrame:
     """(origin, path, term, line): the terms of each file with the line each first stands in; of one file in that order."""
     every = postings if path is None else postings.where(F.col("path") == path)

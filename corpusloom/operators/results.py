@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordered import with_adjacent
+from corpusloom.sources.tables import staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Fixed value: results and references of one query at most.
@@ -31,6 +32,25 @@ def first_nonempty_tier(hits: DataFrame, query: str = "query", tier: str = "tier
     return hits.join(first, F.col(query).eqNullSafe(F.col("_q")) & (F.col(tier) == F.col("_first"))).select(hits.columns)
 
 
+def first_success(queries: DataFrame, tiers: list, query: str = "query") -> DataFrame:
+    """The rows of the first tier that has any, for each of ``queries`` (query), with the column tier from 1.
+
+    Each tier is a function from the queries that no earlier tier has answered to rows with the column query; it is
+    asked for these only, and not at all once none is left. A query that no tier answers has no rows.
+    """
+    pending, answers = staged(queries.select(query).distinct(), "pending"), []
+    for i, tier in enumerate(tiers):
+        found = staged(tier(pending).withColumn("tier", F.lit(i + 1)), "tier")
+        answers.append(found)
+        if i + 1 == len(tiers):
+            break
+        answered = found.select(F.col(query).alias("_q")).distinct()
+        pending = staged(pending.join(answered, F.col(query).eqNullSafe(F.col("_q")), "left_anti"), "pending")
+        if pending.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b), answers)
+
+
 def cap_per_query(hits: DataFrame, query: str, order: list[str], n: int = CAP) -> DataFrame:
     """The first ``n`` results of each query. Spark keeps at most ``n`` a task and query before the shuffle."""
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col("rank") <= n)

@@ -25,7 +25,7 @@ HITS = LINES + ",\n" + hits("(?i)" + PATTERN)
 def j1(spark, sf_dir):
     files = C.scan_corpus(spark, sf_dir)
     listed = files.where(F.contains("text", F.lit("that"))).select("rel_path").distinct()
-    return files.select("origin", "rel_path").join(listed, "rel_path", "left_semi").select("origin", "rel_path")
+    return J.listed(files.select("origin", "rel_path"), listed, ["rel_path"])
 
 
 @query("j2_anti_join", f"WITH {CORPUS} SELECT origin, rel_path FROM corpus WHERE rel_path NOT IN (SELECT rel_path FROM corpus WHERE text LIKE '%that%')")
@@ -64,6 +64,13 @@ def j5(spark, sf_dir):
     return J.pair_counterparts(left, right, ["lang", "stem"])
 
 
+@query("j5_counterpart", rf"WITH {CORPUS}, a AS (SELECT rel_path, split_part(rel_path, '/', 1) AS lang, regexp_extract(rel_path, '/([0-9]+)\.txt$', 1) AS stem FROM corpus WHERE origin = 'project'), b AS (SELECT rel_path, split_part(rel_path, '/', 2) AS lang, regexp_extract(rel_path, '/([0-9]+)/?$', 1) AS stem FROM corpus WHERE origin = 'engine') SELECT a.lang, a.stem, a.rel_path AS left_path, min(b.rel_path) AS right_path FROM a LEFT JOIN b ON a.lang = b.lang AND a.stem = b.stem GROUP BY ALL")
+def j5b(spark, sf_dir):
+    left = C.project_files(spark, sf_dir).select(F.col("rel_path").alias("path"), F.split_part("rel_path", F.lit("/"), F.lit(1)).alias("lang"), paths.stem(F.col("rel_path")).alias("stem")).distinct()
+    right = C.engine_files(spark, sf_dir).select(F.col("rel_path").alias("path"), F.split_part("rel_path", F.lit("/"), F.lit(2)).alias("lang"), F.regexp_extract("rel_path", "/([0-9]+)/?$", 1).alias("stem"))
+    return J.counterpart(left, right, ["lang", "stem"])
+
+
 @query("j6_resolve_refs", r"""WITH p AS (SELECT o_orderkey AS project, o_orderkey % 11 <> 0 AS found, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_custkey::VARCHAR ELSE '{' || o_custkey || '}' END AS assoc FROM orders),
 b AS (SELECT '{' || c_custkey || '}' AS id, ' C:/' || c_name || ' ' AS path FROM customer WHERE c_custkey % 13 <> 0),
 j AS (SELECT project, assoc, path, CASE WHEN NOT found THEN 'no project' WHEN assoc IS NULL THEN 'no association' WHEN NOT regexp_matches(assoc, '^\{[^{}]*\}$') THEN 'not a braced id' WHEN path IS NULL THEN 'id not registered' ELSE 'ok' END AS err FROM p LEFT JOIN b ON assoc = id)
@@ -83,6 +90,19 @@ def j7(spark, sf_dir):
     return count("view", "n_views").join(count("purchase", "n_purchases"), "user_id", "left")
 
 
+@query("j7_freshness", """WITH l AS (SELECT user_id, max(ts) AS list_ts FROM events WHERE event_type = 'view' GROUP BY 1),
+a AS (SELECT user_id, min(ts) AS oldest_ts, count(*) AS n FROM (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE event_type IN ('purchase', 'click', 'signup') GROUP BY 1, 2) GROUP BY 1),
+o AS (SELECT coalesce(l.user_id, a.user_id) AS user_id, list_ts, oldest_ts, CASE WHEN list_ts IS NULL THEN 'no list' WHEN coalesce(n, 0) < 3 THEN 'part missing' WHEN date_trunc('second', oldest_ts) < date_trunc('second', list_ts) THEN 'older than the list' ELSE 'fresh' END AS outcome FROM l FULL JOIN a ON l.user_id = a.user_id)
+SELECT *, outcome <> 'fresh' AS rebuild FROM o""")
+def j7b(spark, sf_dir):
+    """A user's last view is the list, the last purchase, click and signup are the three parts built from it."""
+    events = table(spark, sf_dir, "events")
+    lists = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("list_ts"))
+    built = events.select("user_id", F.col("event_type").alias("part"), F.col("ts").alias("artifact_ts"))
+    found = J.freshness(lists, built, "user_id", ["purchase", "click", "signup"])
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("list_ts", "oldest_ts")})
+
+
 # --- windows over results ---
 
 
@@ -110,6 +130,21 @@ def w3(spark, sf_dir):
     return R.first_nonempty_tier(tier(PATTERN, 1).unionByName(tier(SENSITIVE, 2)))
 
 
+@query("w3_first_success", TIERS)
+def w3b(spark, sf_dir):
+    """The second search runs only for directories without a hit of the first."""
+    files = C.scan_corpus(spark, sf_dir).withColumn("query", F.regexp_extract("rel_path", "^([^/]*)/", 1))
+
+    def tier(pattern):
+        def search(pending):
+            own = files.join(pending.select("query"), "query", "left_semi")
+            return grep(own.select("origin", "root", "rel_path", "text"), pattern).select(F.regexp_extract("path", "^([^/]*)/", 1).alias("query"), "path", "line", "col")
+
+        return search
+
+    return R.first_success(files, [tier(PATTERN), tier(SENSITIVE)])
+
+
 @query("t2_cap_per_query", f"""WITH {LINES},
 {hits('(?i)' + PATTERN, name='a')},
 {hits(SENSITIVE, name='b')},

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import grep as G
 from corpusloom.operators import index as I
+from corpusloom.operators import many as M
 from corpusloom.operators import results as R
 from corpusloom.operators import segments as S
 from corpusloom.operators import trigrams as T
@@ -60,6 +61,16 @@ def g2(spark, sf_dir):
     return G.grep_many(_corpus(spark, sf_dir), [PATTERN, SENSITIVE, "[a-z]+@mail[0-9]", ""])
 
 
+@query("g2_grep_table", rf"""WITH {LINES}, p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM benchmark),
+m AS (SELECT l.*, w || '(?:[a-z]*|, )' AS pattern FROM lines l JOIN p ON contains(lower(l.text), w))
+SELECT origin, path, line, unnest(list_transform(range(1, len(ms) + 1), lambda i: 1 + coalesce(list_sum(list_transform(gaps[1:i], lambda g: strlen(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: strlen(m))), 0)))::INT AS col, unnest(ms) AS match, text, pattern
+FROM (SELECT *, string_split_regex(text, '(?i)' || pattern) AS gaps, regexp_extract_all(text, '(?i)' || pattern) AS ms FROM m WHERE regexp_matches(text, '(?i)' || pattern))""")
+def g2b(spark, sf_dir):
+    """Hundreds of patterns, one for each longer word of the benchmark's items."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    return M.grep_table(_corpus(spark, sf_dir), words.select(F.concat("w", F.lit("(?:[a-z]*|, )")).alias("pattern")))
+
+
 INDEXED = f"WITH {CORPUS}, kept AS (SELECT * FROM corpus WHERE starts_with(rel_path, 'en/')), "
 
 
@@ -166,6 +177,18 @@ def i3b(spark, sf_dir):
     return I.find_definitions(_corpus(spark, sf_dir), "The")
 
 
+SUFFIX = r"regexp_extract(path, '\.([^./]*)$', 1)"
+BY_SUFFIX = rf"""WITH {LINES}, d AS (SELECT *, CASE WHEN {SUFFIX} = 'txt' THEN [{{'kind': 'label', 'term': regexp_extract(text, '^([\p{{L}}_][\p{{L}}\p{{N}}_]*):\s', 1)}}]
+  WHEN {SUFFIX} IN ('html', 'htm', '') THEN [{{'kind': 'title', 'term': regexp_extract(text, '<title>\s*([\p{{L}}_][\p{{L}}\p{{N}}_]*)', 1)}}, {{'kind': 'heading', 'term': regexp_extract(text, '<h[1-6][^>]*>\s*([\p{{L}}_][\p{{L}}\p{{N}}_]*)', 1)}}, {{'kind': 'anchor', 'term': regexp_extract(text, '\sid="([\p{{L}}_][\p{{L}}\p{{N}}_]*)"', 1)}}] END AS ds FROM lines),
+f AS (SELECT origin, path, line, list_filter(ds, lambda x: x.term <> '')[1] AS d FROM d WHERE ds IS NOT NULL)
+SELECT d.term AS term, d.kind AS kind, origin, path, line FROM f WHERE d IS NOT NULL"""
+
+
+@query("i3_definitions_by_suffix", BY_SUFFIX)
+def i3c(spark, sf_dir):
+    return I.definitions_by_suffix(_corpus(spark, sf_dir))
+
+
 @query("i4_document_symbols", f"WITH {POSTINGS} SELECT origin, path, term, min(line) AS line FROM postings GROUP BY ALL")
 def i4(spark, sf_dir):
     return I.document_symbols(term_index(spark, _corpus(spark, sf_dir)).postings())
