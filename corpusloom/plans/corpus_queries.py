@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
-from corpusloom.operators import rules
+from corpusloom.operators import ordered_rules, rules
 from corpusloom.plans.registry import CORPUS, EXT, IS_CODE, LINES, query
 from corpusloom.sources import corpus as C
 from corpusloom.sources.tables import shared_dir, table
@@ -112,6 +112,16 @@ def f1(spark, sf_dir):
     return rules.apply_ignore(C.scan_corpus(spark, sf_dir), the_rules(spark)).select("origin", "rel_path")
 
 
+ORDERED = "src1?\n!src12\nen/*/1*.txt\n!en/src2/1*.txt\nfr/\n!fr/src3/"
+
+
+@query("f1_ordered_rules", rf"""WITH {CORPUS}, p AS (SELECT origin, rel_path, string_split(rel_path, '/') AS x FROM corpus) SELECT origin, rel_path FROM p
+WHERE origin = 'engine' OR NOT (x[1] = 'fr' OR (regexp_matches(x[2], '^src1.$') AND x[2] <> 'src12') OR (x[1] = 'en' AND regexp_matches(x[3], '^1.*\.txt$') AND x[2] <> 'src2'))""")
+def f1b(spark, sf_dir):
+    """Negated rules take entries back in, but not what lies in an ignored directory."""
+    return ordered_rules.apply(C.scan_corpus(spark, sf_dir).select("origin", "rel_path"), ordered_rules.parse_rules(spark, "project", ORDERED))
+
+
 EXCLUDED = r"regexp_matches(rel_path, '^(?:.*/)?src5/.*$') OR regexp_matches(rel_path, '^de/[^/]*/1[^/]\.txt$') OR regexp_matches(rel_path, '^[^/]*\.example\.org/.*$')"
 
 
