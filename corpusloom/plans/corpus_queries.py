@@ -11,6 +11,7 @@ from corpusloom.functions import paths
 from corpusloom.operators import ordered_rules, rules
 from corpusloom.plans.registry import CORPUS, EXT, IS_CODE, LINES, query
 from corpusloom.sources import corpus as C
+from corpusloom.sources import trees
 from corpusloom.sources.tables import shared_dir, table
 
 #: Files that the rules of the queries ignore; the engine's user rules are missing, so its defaults hold.
@@ -107,6 +108,16 @@ def s10(spark, sf_dir):
     return C.numbered_lines(C.scan_corpus(spark, sf_dir))
 
 
+@query("s1_scan_tree", "SELECT DISTINCT '.' || coalesce(lang, 'none') || '/_' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS rel_path, md5(text) AS digest, strlen(text)::BIGINT AS length FROM documents")
+def s1b(spark, sf_dir):
+    """The documents as a tree of files below hidden directories, scanned again."""
+    root = f"{shared_dir(spark)}/trees/{uuid.uuid4().hex}"
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    path = F.concat(F.lit("."), none("lang"), F.lit("/_"), none("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    trees.write_tree(table(spark, sf_dir, "documents").select(path.alias("rel_path"), "text"), root).write.format("noop").mode("overwrite").save()
+    return trees.scan_tree(spark, root).select("rel_path", F.md5(F.col("text").cast("binary")).alias("digest"), "length")
+
+
 @query("f1_apply_ignore", f"WITH {CORPUS} SELECT origin, rel_path FROM corpus WHERE NOT ({IGNORED})")
 def f1(spark, sf_dir):
     return rules.apply_ignore(C.scan_corpus(spark, sf_dir), the_rules(spark)).select("origin", "rel_path")
