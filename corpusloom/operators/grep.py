@@ -130,9 +130,10 @@ def grep_indexed(files: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
     return grep(files.join(index.select("origin", "rel_path").distinct(), ["origin", "rel_path"], "left_semi"), pattern)
 
 
-def grep_excluding(files: DataFrame, pattern: str, globs, rule_rows: DataFrame) -> DataFrame:
-    """Hits in both roots, without what rules ignore and globs exclude."""
-    return grep(rules.exclude_globs(rules.apply_ignore(files, rule_rows), globs), pattern)
+def grep_excluding(files: DataFrame, pattern: str, globs=rules.SEARCH_EXCLUDES, rule_rows: DataFrame | None = None) -> DataFrame:
+    """Hits in both roots, without what rules ignore and globs exclude; by default what a live search leaves out."""
+    kept = files if rule_rows is None else rules.apply_ignore(files, rule_rows)
+    return grep(rules.exclude_globs(kept, globs), pattern)
 
 
 def hit_counts(hits: DataFrame, *by: str) -> DataFrame:

@@ -38,7 +38,7 @@ def progress(jobs: DataFrame, by: str, done: Column, ts: str, total: Column) ->
     return sums.select(by, "processed", "total", F.when(F.col("total") > 0, F.floor(F.col("processed") * 100.0 / F.col("total"))).otherwise(F.lit(0)).cast("long").alias("pct"), (F.col("processed") / sec).alias("rate"), F.floor(sec).cast("long").alias("seconds"))
 
 
-def count_marked_lines(lines: DataFrame, marker: str, *by: str) -> DataFrame:
+def count_marked_lines(lines: DataFrame, marker: str = DONE_MARKER, *by: str) -> DataFrame:
     """How many lines hold the literal marker."""
     return lines.groupBy(*by).agg(F.sum(F.contains("text", F.lit(marker)).cast("long")).alias("n_marked"))
 
@@ -54,7 +54,7 @@ def carry_last_nonzero(samples: DataFrame, by: str, order: list[str], value: str
     return with_last(samples, [by], order, F.nullif(F.col(value), F.lit(0).cast("double")), "shown")
 
 
-def status_intervals(status: DataFrame, by: str, order: list[str], ts: str, ttl: str) -> DataFrame:
+def status_intervals(status: DataFrame, by: str, order: list[str], ts: str, ttl: str = f"{STATUS_TTL_MS['indexed']} MILLISECONDS") -> DataFrame:
     """``status`` with until: the next status of the job, or the end of ``ttl`` (an interval as text), whichever is first."""
     led = with_adjacent(status, [by], order, ts, after="_next", before="_previous")
     return led.select(*status.columns, F.least(F.col("_next"), F.col(ts) + F.expr(f"INTERVAL {ttl}")).alias("until"))

@@ -107,11 +107,16 @@ def index_exists(spark: SparkSession, folder: str) -> bool:
 
 
 def replace_folder(spark: SparkSession, new: str, old: str) -> None:
-    """Put ``new`` in the place of ``old``, which goes."""
+    """Put ``new`` in the place of ``old``, which is kept aside until then and goes last."""
     fs, path = _filesystem(spark, old)
-    fs.delete(path, True)
+    aside = _filesystem(spark, old + ".aside")[1]
+    if fs.exists(path):
+        fs.delete(aside, True)
+        if not fs.rename(path, aside):
+            raise OSError(f"{old} could not be put aside")
     if not fs.rename(_filesystem(spark, new)[1], path):
-        raise OSError(f"{new} could not be renamed")
+        raise OSError(f"{new} could not be renamed; what was there is in {aside}")
+    fs.delete(aside, True)
 
 
 def read_index_or_scan(spark: SparkSession, folder: str, scan) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import grep, index, many, resolve, results
+from corpusloom.operators import grep, index, many, progress, resolve, results
 
 
 def files(spark, *rows):
@@ -68,3 +68,12 @@ def test_freshness_needs_all_parts(spark):
     built = at([("a", "x", 11.0), ("a", "y", 12.0), ("b", "x", 11.0), ("c", "x", 10.1), ("c", "y", 12.0), ("d", "x", 9.0), ("d", "x", 11.0), ("d", "y", 9.9), ("e", "x", 1.0)], "k string, part string, s double").selectExpr("k", "part", "timestamp_micros(cast(s * 1e6 as long)) AS artifact_ts")
     got = {r.k: (r.outcome, r.rebuild) for r in resolve.freshness(lists, built, "k", ["x", "y"]).collect()}
     assert got == {"a": (resolve.FRESH, False), "b": (resolve.PART_MISSING, True), "c": (resolve.FRESH, False), "d": (resolve.OLD, True), "e": (resolve.NO_LIST, True)}
+
+
+def test_defaults_are_the_fixed_values(spark):
+    rows = files(spark, ("a/Saved/x.txt", "find me"), (".git/config", "find me"), ("src/x.txt", "find me"))
+    assert [r.path for r in grep.grep_excluding(rows, "find").collect()] == ["src/x.txt"]
+    assert progress.count_marked_lines(spark.createDataFrame([("extracting tags of x",), ("x",)], "text string")).first().n_marked == 1
+    status = spark.sql("SELECT 1 AS job, 'indexed' AS status, timestamp'2024-01-01 00:00:00' AS ts")
+    shown = progress.status_intervals(status, "job", ["ts"], "ts").select(F.unix_millis("until") - F.unix_millis("ts")).first()
+    assert shown[0] == 1500
