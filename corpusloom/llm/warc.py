@@ -13,7 +13,10 @@ executor's files are written again.
 
 Cases: a null html is an empty payload; a null url, or characters that the
 space-separated ARC line can't hold, are percent-encoded, the record type and
-digest do not depend on it; an empty table gives no records.
+digest do not depend on it; an empty table gives no records. Foreign archives
+are bytes from end to end: payloads and HTTP headers of any encoding are kept as
+they are, and so are addresses, whose bytes beyond ASCII are percent-encoded. A
+record without an address has no WARC-Target-URI.
 """
 
 from __future__ import annotations
@@ -84,7 +87,8 @@ def arc_records(data: bytes):
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError("an ARC header line has no end")
-        values = data[at:end].decode("ascii").split(" ")
+        # Old archives have addresses in any encoding; Latin-1 keeps each byte, as one character.
+        values = data[at:end].decode("latin-1").split(" ")
         if values[0].startswith("filedesc:"):
             version = int(data[end + 1 : end + 2])
         names = ARC_FIELDS[version]
@@ -104,18 +108,18 @@ def _identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
-CONVERTED = T.StructType([T.StructField(n, k) for n, k in (("page_id", T.LongType()), ("url", T.StringType()), ("record_id", T.StringType()), ("date", T.StringType()), ("http", T.StringType()), ("payload", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("block_digest", T.StringType()))])
+CONVERTED = T.StructType([T.StructField(n, k) for n, k in (("page_id", T.LongType()), ("url", T.StringType()), ("record_id", T.StringType()), ("date", T.StringType()), ("ip", T.StringType()), ("http", T.BinaryType()), ("payload", T.BinaryType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("block_digest", T.StringType()))])
 
 
 def _warc_fields(head: dict, content: bytes) -> tuple:
     http, _, payload = content.partition(b"\r\n\r\n")
     page = re.search(rb"X-Page-Id: (-?\d+)", http)
     d = head["date"].ljust(14, "0")
-    url = "" if head["url"] == "-" else head["url"]
+    url = "" if head["url"] == "-" else re.sub("[^!-~]", lambda c: f"%{ord(c[0]):02X}", head["url"])
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     own = page[1].decode() if page else ""
     digest = payload_digest(payload)
-    return (int(own) if own else None, url, _identifier(own, url, date, digest), date, http.decode(), payload.decode(), len(payload), digest, payload_digest(content))
+    return (int(own) if own else None, url, _identifier(own, url, date, digest), date, head["ip"], http, payload, len(payload), digest, payload_digest(content))
 
 
 def _batches(rows, schema, most: int = 4 << 20):
@@ -127,7 +131,7 @@ def _batches(rows, schema, most: int = 4 << 20):
     made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*group), arrow)], schema=arrow)
     for row in rows:
         group.append(row)
-        held += sum(len(x) for x in row if isinstance(x, str))
+        held += sum(len(x) for x in row if isinstance(x, (str, bytes)))
         if held > most:
             yield made()
             held, group = 0, []
@@ -152,13 +156,15 @@ def convert(spark, folder: str) -> DataFrame:
 
 
 def first_pages(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(_digest, _bytes, _first) of the payloads that more than one record has, with their smallest page_id.
+    """(_digest, _bytes, _first, _first_record) of the payloads that more than one record has: their smallest page_id and that page's record_id, url and date.
 
     Equal payloads are found on (digest, length) with partial minima, so a
     payload of very many pages is no hot task.
     """
     groups = records.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
-    return groups.agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where(f"_n > 1 AND _bytes >= {least}").drop("_n")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))).alias("_record")
+    found = groups.agg(first, F.count("*").alias("_n")).where(f"_n > 1 AND _bytes >= {least}")
+    return found.select("_digest", "_bytes", F.col("_record.page_id").alias("_first"), F.col("_record").alias("_first_record"))
 
 
 def with_revisits(records: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -169,24 +175,26 @@ def with_revisits(records: DataFrame, firsts: DataFrame) -> DataFrame:
     """
     joined = records.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     revisit = F.coalesce(F.col("page_id") != F.col("_first"), F.lit(False))
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_digest", "_bytes", "_first")
+    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).withColumn("refers", F.when(revisit, F.col("_first_record"))).drop("_digest", "_bytes", "_first", "_first_record")
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
     """A WARC/1.1 record for each row of ``records`` (see ``with_revisits``), in gzip files of ``folder``.
 
     A revisit record keeps the payload too, so that every archive stands alone;
-    its profile names the identical payload digest and the page referred to.
+    its profile names the identical payload digest, its headers the record, address, date and page referred to.
     """
     def head(name: str, value) -> F.Column:
         return F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
 
-    http = F.concat(F.col("http"), F.lit("\r\n\r\n"), F.col("payload"))
+    given = lambda name, value: F.when(value != "", head(name, value)).otherwise(F.lit(""))
+    # Bytes stay what they are in Spark's strings, and its text writer puts them out unchanged.
+    http = F.concat(F.col("http"), F.lit(b"\r\n\r\n"), F.col("payload")).cast("string")
     revisit = F.col("record_type") == "revisit"
     record = F.concat(
         F.lit("WARC/1.1\r\n"), head("WARC-Type", F.col("record_type")), head("WARC-Record-ID", F.col("record_id")), head("WARC-Date", F.col("date")),
-        head("WARC-Target-URI", F.col("url")), head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), head("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("block_digest"))),
-        F.when(revisit, F.concat(head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), head("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        given("WARC-Target-URI", F.col("url")), given("WARC-IP-Address", F.when(F.col("ip").isin("0.0.0.0", "-"), "").otherwise(F.col("ip"))), head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), head("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("block_digest"))),
+        F.when(revisit, F.concat(head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), head("WARC-Refers-To", F.col("refers.record_id")), given("WARC-Refers-To-Target-URI", F.col("refers.url")), head("WARC-Refers-To-Date", F.col("refers.date")), head("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         head("Content-Type", F.lit("application/http;msgtype=response")), head("Content-Length", F.octet_length(http).cast("string")), F.lit("\r\n"), http,
     )
     records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
@@ -197,7 +205,7 @@ def warc_records(data: bytes):
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+        version, *lines = data[at:end].decode("latin-1").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = dict(line.split(": ", 1) for line in lines)
@@ -235,6 +243,6 @@ def pages_to_warc(pages: DataFrame, version: int = 1) -> str:
     arc, warc = _folder(spark, "arc"), _folder(spark, "warc")
     write_arc(pages.select("page_id", "url", "html"), arc, version)
     # Records are parsed twice: first for their digests alone, so that payloads aren't stored once more.
-    digests = convert(spark, arc).select("page_id", "payload_digest", "payload_bytes")
+    digests = convert(spark, arc).select("page_id", "record_id", "url", "date", "payload_digest", "payload_bytes")
     write_warc(with_revisits(convert(spark, arc), staged(first_pages(digests), "arc-repeats")), warc)
     return warc

@@ -1,6 +1,7 @@
 """Operators 4, 5, 6, 7, 10 and the pipeline against plain versions."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -472,3 +473,29 @@ def test_pipeline_stages_equal_plain_versions(spark, sf_dir):
     assert sum(map(len, ids.values())) == len(kept["mixture"])
     for r in kept["mixture"]:
         assert library.encode_ordinary(r.text) in ids[r.doc_id]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_foreign_archives_are_bytes(spark, tmp_path, version):
+    """Pages and addresses in Latin-1, odd bytes and missing addresses go through unchanged, by the lines of either version."""
+    pages = [(1, b"http://a.example/caf\xe9", b"caf\xe9 \xff\x00 au lait"), (2, b"-", b""), (3, b"http://b.example/", b"caf\xe9 \xff\x00 au lait"), (4, b"http://c.example/", "日本 \r\n\r\n x".encode())]
+    fixed = f"{version} 0 own\n".encode() + " ".join(warc.ARC_FIELDS[version]).encode() + b"\n"
+    rest = b"" if version == 1 else b" 200 - - 0 f.arc"
+    line = lambda url, ip, kind, n: url + b" " + ip + b" 20010203040506 " + kind + rest + b" " + str(n).encode() + b"\n"
+    data = line(b"filedesc://x.arc", b"0.0.0.0", b"text/plain", len(fixed)) + fixed + b"\n"
+    for key, url, body in pages:
+        content = b"HTTP/1.0 200 OK\r\nX-Name: \xe9\r\nX-Page-Id: " + str(key).encode() + b"\r\n\r\n" + body
+        data += line(url, b"1.2.3.4", b"text/html", len(content)) + content + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "x.arc.gz").write_bytes(gzip.compress(data))
+    records = warc.convert(spark, str(tmp_path / "arc"))
+    warc.write_warc(warc.with_revisits(records, warc.first_pages(records)), str(tmp_path / "warc"))
+    read = {}
+    for f in (tmp_path / "warc").glob("*.gz"):
+        for head, block in warc.warc_records(gzip.decompress(f.read_bytes())):
+            read[int(re.search(rb"X-Page-Id: (\d+)", block)[1])] = (head, block)
+    assert {k: b.partition(b"\r\n\r\n")[2] for k, (_, b) in read.items()} == {k: b for k, _, b in pages} and all(b"X-Name: \xe9" in b for _, b in read.values())
+    one, two, three = (read[k][0] for k in (1, 2, 3))
+    assert one["WARC-Target-URI"] == "http://a.example/caf%E9" and one["WARC-IP-Address"] == "1.2.3.4" and "WARC-Target-URI" not in two
+    assert (three["WARC-Type"], three["WARC-Refers-To"], three["WARC-Refers-To-Target-URI"], three["WARC-Refers-To-Date"], three["X-Refers-To-Page"]) == ("revisit", one["WARC-Record-ID"], "http://a.example/caf%E9", "2001-02-03T04:05:06Z", "1")
+    assert all(r.digest_ok for r in warc.read_warc(spark, str(tmp_path / "warc")).collect())
