@@ -87,11 +87,11 @@ def g3b(spark, sf_dir):
     return T.grep(spark, folder, PATTERN)
 
 
-@query("g3_grep_trigram_rare", f"WITH {LINES},\n{hits('(?i)(?:[a-z]+@mail[0-9]|merchant(?:ab|i)lity)')} SELECT * FROM hits")
+@query("g3_grep_trigram_rare", f"WITH {LINES},\n{hits('(?i)(?:apache|mozilla(?: public)?) license, v')} SELECT * FROM hits")
 def g3c(spark, sf_dir):
     folder = f"{shared_dir(spark)}/trigrams/{uuid.uuid4().hex}"
     T.write_index(_corpus(spark, sf_dir), folder)
-    return T.grep(spark, folder, "(?:[a-z]+@mail[0-9]|merchant(?:ab|i)lity)")
+    return T.grep(spark, folder, "(?:apache|mozilla(?: public)?) license, v")
 
 
 @query("g4_grep_excluding", f"WITH {HITS}, ok AS (SELECT DISTINCT origin, rel_path FROM corpus WHERE NOT ({IGNORED}) AND NOT ({EXCLUDED})) SELECT h.* FROM hits h JOIN ok ON h.origin = ok.origin AND h.path = ok.rel_path")
