@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.segments import LONG, Memo, segments
 
-#: Entries of a worker's caches, a generation: words (and as many pieces), token pairs.
-MEMO_WORDS, MEMO_PAIRS = 200_000, 150_000
+#: Entries of a worker's caches, a generation: words and their pieces, token pairs.
+MEMO_WORDS, MEMO_PAIRS = 400_000, 150_000
 #: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
 PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
@@ -65,8 +65,7 @@ class PrefixEncoder:
         self.left_edge = Memo(lambda token: self._edge(token, 0), NEVER)
         self.whole = Memo(lambda rank: len(self._merged(self.tokens[rank])) == 1, NEVER)
         self.pair_fits = Memo(self._pair_fits, MEMO_PAIRS)
-        # A word comes with many marks behind it, so its pieces are remembered apart.
-        self.piece = Memo(self._piece, MEMO_WORDS, LONG)
+        # A word comes with many marks behind it, so its pieces are remembered too, as words are.
         self.word = Memo(self._word, MEMO_WORDS, LONG)
 
     def _merged(self, data: bytes, to: int = 1) -> list[bytes]:
@@ -134,9 +133,6 @@ class PrefixEncoder:
                 last[end] = rank
         return last
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return self.encode_piece(piece.encode())
-
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece: the last token, the last of what is before it, and so on."""
         rank = self.ranks.get(piece)
@@ -153,10 +149,8 @@ class PrefixEncoder:
     def _word(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
         """The ids of a part of a text, the same as text, and the bytes they decode to."""
         plain = self.plain(part)
-        ids: tuple[int, ...] = ()
-        for x in plain.groups() if plain else self.pieces(part):
-            if x:
-                ids = ids + self.piece[x] if ids else self.piece[x]
+        pieces = [x for x in plain.groups() if x] if plain else self.pieces(part)
+        ids = self.encode_piece(part.encode()) if len(pieces) == 1 else tuple(x for piece in pieces for x in self.word[piece][0])
         return ids, ",".join(map(self.digits.__getitem__, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
