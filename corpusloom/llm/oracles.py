@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.quality import ALPHA, DELTA, RULES
+from corpusloom.llm.quality import ALPHA, DELTA, RULES, STEPS
 
 #: On these pages the main text is what the article element holds; titles may end in a cut-off reference.
 OP3 = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS inner_html FROM pages),
@@ -17,8 +17,7 @@ f AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payloa
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
 _SCORES = {"symbols_per_word": "n_symbols / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_word_share": "n_repeat_words / greatest(n_words, 1)", "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-(word_chars / greatest(n_words, 1))"}
-_OWN = ALPHA / len(RULES)
-_TRIED = ", ".join(f"('{rule}', {i}, {cut}::DOUBLE)" for rule, cuts in RULES.items() for i, cut in enumerate(cuts))
+_TRIED = ", ".join(f"('{rule}', {i}, {cut}::DOUBLE)" for i, (rule, cut) in enumerate(STEPS))
 
 OP6 = rf"""WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -31,9 +30,10 @@ f AS (SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, coalesce(list_sum
 s AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {", ".join(f"({v})::DOUBLE AS {k}" for k, v in _SCORES.items())} FROM f),
 long AS (SELECT doc_id, stratum, base_failed, rule, score FROM s UNPIVOT (score FOR rule IN ({", ".join(RULES)}))),
 tried(rule, step, cutoff) AS (VALUES {_TRIED}),
-counts AS (SELECT stratum, l.rule, step, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM long l JOIN labels b ON l.doc_id = b.doc_id AND b.quality = 1 JOIN tried t ON l.rule = t.rule WHERE NOT base_failed GROUP BY ALL),
-tails AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_OWN}) + (n - i) * ln({1 - _OWN})))) AS tail, {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM counts)) AS allowed FROM counts),
-passed AS (SELECT stratum, rule, cutoff FROM tails QUALIFY bool_and(k <= {_OWN} * n AND tail <= allowed) OVER (PARTITION BY stratum, rule ORDER BY step)),
+good AS (SELECT l.doc_id, any_value(stratum) AS stratum, b.rowid AS label, min(step) FILTER (score > cutoff) AS first FROM long l JOIN (SELECT doc_id, row_number() OVER () AS rowid FROM labels WHERE quality = 1) b ON l.doc_id = b.doc_id JOIN tried t ON l.rule = t.rule WHERE NOT base_failed GROUP BY l.doc_id, b.rowid),
+counts AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (first <= step) AS k FROM good, tried GROUP BY ALL),
+tails AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln({1 - ALPHA})))) AS tail, {DELTA} / count(*) OVER (PARTITION BY step) AS allowed FROM counts),
+passed AS (SELECT stratum, rule, cutoff FROM tails QUALIFY bool_and(k <= {ALPHA} * n AND tail <= allowed) OVER (PARTITION BY stratum ORDER BY step)),
 cuts AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM passed GROUP BY ALL),
 hit AS (SELECT l.doc_id, string_agg(l.rule, ',' ORDER BY list_position([{", ".join(f"'{r}'" for r in RULES)}], l.rule)) AS rejected_by FROM long l JOIN cuts c ON l.stratum IS NOT DISTINCT FROM c.stratum AND l.rule = c.rule AND l.score > c.cutoff GROUP BY l.doc_id)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM s LEFT JOIN hit ON s.doc_id = hit.doc_id"""

@@ -2,15 +2,17 @@
 
 The base rules are fixed. Besides, each rule in ``RULES`` scores a document and
 rejects it above a cutoff. Cutoffs come from labelled documents: for each
-stratum (language) and rule the candidates are tried from the mildest on, each
-tested by the exact binomial tail: that ``k`` or fewer of the ``n`` good
-holdout documents of the stratum are rejected must have probability at most
-``delta`` divided by the number of strata and rules if the true rate were
-``alpha`` divided by the number of rules (Bonferroni over strata and rules; within one rule the order is fixed
-in advance and testing stops at the first failure, so it costs no more). The
-strictest cutoff that passed is used; where none passes, the rule rejects
-nothing in that stratum. So with probability ``1 - delta`` all rules together
-falsely reject at most ``alpha`` of the good documents of every stratum.
+stratum (language) the whole set of rules is made stricter step by step, in an
+order fixed in advance (``STEPS``: one rule's next cutoff at a time, the mildest
+of all rules first). Each step is tested by the exact binomial tail: that ``k``
+or fewer of the ``n`` good holdout documents of the stratum are rejected by any
+rule must have probability at most ``delta`` divided by the number of strata if
+the true rate were ``alpha`` (Bonferroni over strata; in a fixed order testing
+stops at the first failure, so the steps cost no more). The cutoffs of the last
+step before that hold; a rule without one rejects nothing in that stratum. So
+with probability ``1 - delta`` all rules together falsely reject at most
+``alpha`` of the good documents of every stratum. With four strata 42 good
+documents of which none is rejected are enough for a cutoff.
 
 All of it is DataFrame work: features are array functions over one text in one
 row, without a shuffle; thresholds are aggregates over the labelled rows, one
@@ -33,7 +35,7 @@ from corpusloom.sources.tables import staged
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 #: Base rules.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: The false rejection allowed in each stratum, dealt equally to the rules; the error probability of all tests together.
+#: The false rejection allowed in each stratum, by all rules together; the error probability of all tests together.
 ALPHA, DELTA = 0.1, 0.05
 #: Cutoffs tried, from the mildest to the strictest, as numbers of the score.
 RULES = {
@@ -43,6 +45,8 @@ RULES = {
     "long_words": (40.0, 30.0, 25.0, 20.0, 16.0, 13.0, 11.0),
     "short_words": (-1.5, -2.0, -2.5, -3.0, -3.5),
 }
+#: (rule, cutoff) in the order of the tests: each rule is as far through its own cutoffs as the others.
+STEPS = sorted(((rule, cut) for rule, cuts in RULES.items() for cut in cuts), key=lambda x: (RULES[x[0]].index(x[1]) + 1) / len(RULES[x[0]]))
 
 
 def _words(text: Column) -> Column:
@@ -115,17 +119,16 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 def thresholds(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): what ``good`` rows (stratum and the scores of ``RULES``) allow."""
-    tried = [(rule, i, float(cut)) for rule, cuts in RULES.items() for i, cut in enumerate(cuts)]
-    # One pass: a count for each rule and cutoff, then one row each.
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(rule) > cut).cast("long")).alias(f"k_{rule}_{i}") for rule, i, cut in tried])
-    unpivoted = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"k_{rule}_{i}").alias("k")) for rule, i, cut in tried])))
-    allowed = F.lit(delta) / (F.count("*").over(W.partitionBy("rule", "step")) * len(RULES))
+    # A row is rejected from the first step on whose cutoff it passes; one pass counts the rows of each step.
+    first = F.least(*[F.when(F.col(rule) > cut, F.lit(i)) for i, (rule, cut) in enumerate(STEPS)])
+    counts = good.select("stratum", first.alias("first")).groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("first") <= i).alias(f"k_{i}") for i in range(len(STEPS))])
+    tested = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"k_{i}").alias("k")) for i, (rule, cut) in enumerate(STEPS)])))
+    allowed = F.lit(delta) / F.count("*").over(W.partitionBy("step"))
     # Where k is over its share of n the tail is over a half or so: no need to sum it.
-    own = alpha / len(RULES)
-    passed = F.when(F.col("k") > F.lit(own) * F.col("n"), False).otherwise(binomial_tail(F.col("k"), F.col("n"), own) <= F.col("allowed"))
-    tested = unpivoted.withColumn("allowed", allowed).withColumn("passed", passed)
-    so_far = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return tested.withColumn("all_passed", F.min("passed").over(so_far)).where("all_passed").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    passed = F.when(F.col("k") > F.lit(alpha) * F.col("n"), False).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha) <= F.col("allowed"))
+    so_far = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tested = tested.withColumn("allowed", allowed).withColumn("passed", passed).withColumn("all_passed", F.min("passed").over(so_far))
+    return tested.where("all_passed").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
