@@ -5,11 +5,14 @@ the files by their version's header line and the declared lengths and makes the
 equivalent WARC fields, ``write_warc`` writes WARC/1.1 files with revisit
 records for repeated payloads, ``read_warc`` reads them back by Content-Length.
 
-Each archive is one part file of Spark's text writer in the shared folder: a
-record is a row and the blank lines that must follow it are the line separator.
-Files are gzip streams of at most ``MOST_RECORDS`` records, so a reader task
-holds one small archive at a time. Writers commit through Spark, so a lost
-executor's files are written again.
+Each archive is one part file of Spark's text writer in the shared folder, a
+gzip stream. Within a task the records are joined to blocks of ``BLOCK_BYTES``
+or one larger record, without a shuffle; a block is a row for the writer, the
+blank lines that must follow a record are its line separator, and
+``ARCHIVE_BLOCKS`` rows are a file. So a reader task holds 64 MB at a time,
+whatever the size of the pages, or as many of the largest ones as a file has
+blocks. Each WARC file begins with a ``warcinfo`` record. Writers commit
+through Spark, so a lost executor's files are written again.
 
 Cases: a null html is an empty payload; a null url, or characters that the
 space-separated ARC line can't hold, are percent-encoded, the record type and
@@ -27,15 +30,15 @@ import hashlib
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.sources.tables import shared_dir, staged
 
-#: Records in one archive file at most.
-MOST_RECORDS = 5000
+#: Bytes at which a block of records is full, and blocks in an archive.
+BLOCK_BYTES, ARCHIVE_BLOCKS = 8 << 20, 8
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 0
 #: The fields of a record's header line, by version of the ARC format.
@@ -54,6 +57,33 @@ def _folder(spark, label: str) -> str:
     return f"{shared_dir(spark)}/archives/{label}-{uuid.uuid4().hex}"
 
 
+def _write_archives(records: DataFrame, begin: Column, folder: str, separator: str) -> None:
+    """Store ``records`` (value: one record, as bytes) in gzip files of ``folder``; each file begins with the text of the column ``begin``."""
+    import pyarrow as pa
+
+    full, ends = BLOCK_BYTES, separator.encode()
+
+    def run(batches):
+        group, held = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                group.append(record.as_py())
+                held += len(group[-1])
+                if held >= full:
+                    yield pa.RecordBatch.from_arrays([pa.array([ends.join(group)], pa.binary())], names=["value"])
+                    group, held = [], 0
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array([ends.join(group)], pa.binary())], names=["value"])
+
+    # A partition's rows are numbered from a multiple of 2 ** 33, and each ARCHIVE_BLOCKS of them are a file.
+    blocks = records.mapInArrow(run, "value binary").withColumn("_at", F.monotonically_increasing_id())
+    first = F.pmod(F.pmod(F.col("_at"), F.lit(1 << 33)), F.lit(ARCHIVE_BLOCKS)) == 0
+    # Bytes stay what they are in Spark's strings, and its text writer puts them out unchanged.
+    value = F.col("value").cast("string")
+    stored = blocks.select(F.when(first, F.concat(begin, F.lit(separator), value)).otherwise(value).alias("value"))
+    stored.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_BLOCKS).text(folder)
+
+
 def write_arc(pages: DataFrame, folder: str, version: int = 1, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Store ``pages`` as ARC files in ``folder``: a version block, then a record for each page.
 
@@ -69,11 +99,7 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, key: str = "page_
     fixed = f"{version} 0 own\n" + " ".join(ARC_FIELDS[version]) + "\n"
     line = {"url": "filedesc://pages.arc", "ip": "0.0.0.0", "date": _DATE, "type": "text/plain", "code": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "pages.arc", "length": str(len(fixed))}
     block = " ".join(line[n] for n in names) + "\n" + fixed
-    # The first row of each file gets the version block before it, with the line feed that separates records; a
-    # partition's rows are numbered from a multiple of 2 ** 33, and each MOST_RECORDS of them are a file.
-    first = F.pmod(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)), F.lit(MOST_RECORDS)) == 0
-    stored = pages.select(record.alias("record")).select(F.when(first, F.concat(F.lit(block + "\n"), F.col("record"))).otherwise(F.col("record")).alias("value"))
-    stored.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
+    _write_archives(pages.select(record.cast("binary").alias("value")), F.lit(block), folder, "\n")
 
 
 def arc_records(data: bytes):
@@ -184,11 +210,10 @@ def write_warc(records: DataFrame, folder: str) -> None:
     A revisit record keeps the payload too, so that every archive stands alone;
     its profile names the identical payload digest, its headers the record, address, date and page referred to.
     """
-    def head(name: str, value) -> F.Column:
+    def head(name: str, value) -> Column:
         return F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
 
     given = lambda name, value: F.when(value != "", head(name, value)).otherwise(F.lit(""))
-    # Bytes stay what they are in Spark's strings, and its text writer puts them out unchanged.
     http = F.concat(F.col("http"), F.lit(b"\r\n\r\n"), F.col("payload")).cast("string")
     revisit = F.col("record_type") == "revisit"
     record = F.concat(
@@ -197,7 +222,11 @@ def write_warc(records: DataFrame, folder: str) -> None:
         F.when(revisit, F.concat(head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), head("WARC-Refers-To", F.col("refers.record_id")), given("WARC-Refers-To-Target-URI", F.col("refers.url")), head("WARC-Refers-To-Date", F.col("refers.date")), head("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         head("Content-Type", F.lit("application/http;msgtype=response")), head("Content-Length", F.octet_length(http).cast("string")), F.lit("\r\n"), http,
     )
-    records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
+    about = "software: corpusloom\r\nformat: WARC File Format 1.1\r\n"
+    own = F.regexp_replace(F.md5(F.concat(F.lit(folder), F.col("_at").cast("string")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    made = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    info = F.concat(F.lit("WARC/1.1\r\n"), head("WARC-Type", F.lit("warcinfo")), head("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), own, F.lit(">"))), head("WARC-Date", made), head("Content-Type", F.lit("application/warc-fields")), head("Content-Length", F.lit(str(len(about)))), F.lit("\r\n" + about))
+    _write_archives(records.select(record.cast("binary").alias("value")), info, folder, "\r\n\r\n")
 
 
 def warc_records(data: bytes):
@@ -227,12 +256,12 @@ def _read_fields(head: dict, block: bytes) -> tuple:
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """The records of all WARC files of ``folder``; payload sizes and digests are computed from what was read."""
+    """The responses and revisits in all WARC files of ``folder``; payload sizes and digests are computed from what was read."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 data = gzip.decompress(batch.column(0)[i].as_py())
-                yield from _batches((_read_fields(*x) for x in warc_records(data)), READ)
+                yield from _batches((_read_fields(*x) for x in warc_records(data) if x[0]["WARC-Type"] in ("response", "revisit")), READ)
 
     return _files(spark, folder).mapInArrow(run, READ)
 

@@ -132,7 +132,8 @@ def test_pages(spark, sf_dir):
 
 @pytest.mark.parametrize("version, records", [(1, 5000), (2, 7)])
 def test_warc_round_trip(spark, sf_dir, version, records, monkeypatch):
-    monkeypatch.setattr(warc, "MOST_RECORDS", records)
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(warc, "ARCHIVE_BLOCKS", records)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     more = spark.createDataFrame([(9001, None, None), (9002, "http://a b/é", ""), (9003, "http://x/", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n"), (9004, "http://y/ ", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n"), (9005, "http://z/", "\n\n1 0 own\n"), (9006, "-", "x" * 300000)], "page_id long, url string, html string")
     every = pages.select("page_id", "url", "html").unionByName(more)
@@ -159,6 +160,27 @@ def test_arc_records_are_cut_by_declared_lengths():
         list(warc.arc_records(data[:-6]))
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Large pages don't make large archives, and each archive begins with a record of its own."""
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(warc, "ARCHIVE_BLOCKS", 2)
+    rows = [(i, f"http://a.example/{i}", str(i) * (9000 if i % 10 == 0 else 50)) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    records = warc.convert(spark, str(tmp_path / "arc"))
+    warc.write_warc(warc.with_revisits(records, warc.first_pages(records)), str(tmp_path / "warc"))
+    largest = max(len(html) for _, _, html in rows)
+    for kind in ("arc", "warc"):
+        files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / kind).glob("*.gz")]
+        assert len(files) > 5 and max(map(len, files)) < 2 * (4000 + largest + 2000)
+        if kind == "warc":
+            heads = [[head for head, _ in warc.warc_records(f)] for f in files]
+            assert all([h["WARC-Type"] for h in found].index("warcinfo") == 0 for found in heads) and len({found[0]["WARC-Record-ID"] for found in heads}) == len(files)
+        else:
+            assert all(f.startswith(b"filedesc:") for f in files)
+    assert sorted(r.page_id for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()) == list(range(100))
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(spark, warc.pages_to_warc(none)).count() == 0
@@ -204,6 +226,24 @@ def test_thresholds_keep_the_false_rejection_small(spark):
     assert quality.thresholds(good.limit(20)).count() == 0
 
 
+def test_thresholds_equal_a_plain_walk(spark):
+    """All rules together are tested step by step; the cutoffs of the last step before the first failure hold."""
+    draw = random.Random(3)
+    good = [(lang, *[draw.choice([0.0, *cuts]) + 0.01 if draw.random() < share else min(cuts) - 1 for cuts in quality.RULES.values()]) for lang, n, share in (("aa", 500, 0.01), ("bb", 60, 0.0), ("cc", 30, 0.0), (None, 300, 0.02), ("dd", 400, 0.2)) for _ in range(n)]
+    frame = spark.createDataFrame(good, "stratum string, " + ", ".join(f"{r} double" for r in quality.RULES))
+    strata, expected = {x[0] for x in good}, {}
+    for stratum in strata:
+        rows = [dict(zip(quality.RULES, x[1:])) for x in good if x[0] == stratum]
+        for i in range(len(quality.STEPS)):
+            k, n = sum(any(r[rule] > cut for rule, cut in quality.STEPS[: i + 1]) for r in rows), len(rows)
+            if sum(math.comb(n, j) * quality.ALPHA**j * (1 - quality.ALPHA) ** (n - j) for j in range(k + 1)) > quality.DELTA / len(strata):
+                break
+            rule, cut = quality.STEPS[i]
+            expected[stratum, rule] = min(cut, expected.get((stratum, rule), cut))
+    assert {(r.stratum, r.rule): r.cutoff for r in quality.thresholds(frame).collect()} == expected
+    assert {s for s, _ in expected} >= {"aa", "bb"} and "cc" not in {s for s, _ in expected}
+
+
 def test_judgement(spark, sf_dir, docs, odd, none):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality.judge(docs, labels).collect()
@@ -493,7 +533,8 @@ def test_foreign_archives_are_bytes(spark, tmp_path, version):
     read = {}
     for f in (tmp_path / "warc").glob("*.gz"):
         for head, block in warc.warc_records(gzip.decompress(f.read_bytes())):
-            read[int(re.search(rb"X-Page-Id: (\d+)", block)[1])] = (head, block)
+            if head["WARC-Type"] != "warcinfo":
+                read[int(re.search(rb"X-Page-Id: (\d+)", block)[1])] = (head, block)
     assert {k: b.partition(b"\r\n\r\n")[2] for k, (_, b) in read.items()} == {k: b for k, _, b in pages} and all(b"X-Name: \xe9" in b for _, b in read.values())
     one, two, three = (read[k][0] for k in (1, 2, 3))
     assert one["WARC-Target-URI"] == "http://a.example/caf%E9" and one["WARC-IP-Address"] == "1.2.3.4" and "WARC-Target-URI" not in two
