@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import re
 import time
 from collections import Counter
