@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.segments import LONG, Memo, segments
 
 #: Entries of a worker's caches, a generation: words and their pieces, token pairs.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 150_000
+MEMO_WORDS, MEMO_PAIRS = 300_000, 150_000
 #: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
 PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
