@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.segments import LONG, Memo, segments
 
 #: Entries of a worker's caches, a generation: words and their pieces, token pairs.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 150_000
+MEMO_WORDS, MEMO_PAIRS = 400_000, 150_000
 #: A word of Latin letters, a line feed before it and marks behind it: pieces under the split pattern, found without it.
 PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: The beginning of the split patterns under which that holds.
@@ -44,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes and decodes with one vocabulary of ranks and one split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = MEMO_WORDS):
         import ahocorasick
         import regex
 
@@ -66,7 +66,7 @@ class PrefixEncoder:
         self.whole = Memo(lambda rank: len(self._merged(self.tokens[rank])) == 1, NEVER)
         self.pair_fits = Memo(self._pair_fits, MEMO_PAIRS)
         # A word comes with many marks behind it, so its pieces are remembered too, as words are.
-        self.word = Memo(self._word, MEMO_WORDS, LONG)
+        self.word = Memo(self._word, words, LONG)
 
     def _merged(self, data: bytes, to: int = 1) -> list[bytes]:
         """``data`` merged by rank from single bytes, lowest rank and leftmost first, down to ``to`` parts at least."""
@@ -167,14 +167,14 @@ class PrefixEncoder:
         return sum(map(len, ids)), hashlib.sha256(",".join(shown).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
 
 
-_ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int], PrefixEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> PrefixEncoder:
-    """One encoder a worker process, vocabulary and pattern."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = PrefixEncoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+def encoder(path: str, pattern: str, words: int = MEMO_WORDS) -> PrefixEncoder:
+    """One encoder a worker process, vocabulary, pattern and size of its cache."""
+    if (path, pattern, words) not in _ENCODERS:
+        _ENCODERS[path, pattern, words] = PrefixEncoder(read_ranks(path), pattern, words)
+    return _ENCODERS[path, pattern, words]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -212,15 +212,15 @@ def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, out)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ids, n_tokens and decoded_sha256, the digest of the ids' decoded bytes."""
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", words: int = MEMO_WORDS) -> DataFrame:
+    """``docs`` without ``text``, with ids, n_tokens and decoded_sha256, the digest of the ids' decoded bytes. ``words``: entries of a worker's cache."""
     import pyarrow as pa
 
     keep = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "decoded_sha256")]
     out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # ids of few texts are held at a time
                 part = batch.slice(at, 500)
