@@ -14,3 +14,14 @@ def test_rows_of_one_path_are_one_file_for_references(spark):
     assert sorted((r.path, r.line, r.col, r.text) for r in got) == [("a", 1, 1, "other"), ("a", 1, 1, "that one"), ("a", 2, 1, "that"), ("a", 2, 1, "x")]
 
 
+def test_a_line_goes_on_once_whatever_it_meets(monkeypatch):
+    monkeypatch.setattr(many, "MOST_CHARS", 1000)
+    words = [f"w{i:03}" for i in range(300)]
+    line = " ".join(words)
+    batch = pa.RecordBatch.from_arrays([pa.array([line, "none", line, line])], ["text"])
+    out = list(many._sieve({w: [i] for i, w in enumerate(words)}, [])([batch]))
+    assert sum(b.num_rows for b in out) == 3 and max(b.num_rows for b in out) == 1
+    assert all(x == list(range(300)) for b in out for x in b.column("ats").to_pylist())
+    assert max(b.nbytes for b in out) < 2 * len(line) + 4 * 300
+
+
