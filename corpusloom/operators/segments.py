@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from corpusloom.sources.tables import staged
 BLOCK_FILES, BLOCK_CHARS = 1024, 1 << 22
 #: Places that a task decodes at a time, about.
 MOST_PLACES = 1 << 19
-IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
+BEGINS, FOLLOWS = r"[\p{L}_]", r"[\p{L}\p{N}_]"
+IDENTIFIER = f"{BEGINS}{FOLLOWS}*"
 POSTINGS = "term string, block long, n long, places binary"
 FILES = "origin string, path string, stamp long, block long, ord int"
 TERMS, DEAD = "term string, n long", "block long, ord int"
@@ -103,13 +105,35 @@ def decoded(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
     return np.stack([ords, lines, _sums(d[:, 2], fresh)], 1)
 
 
-def places(text: str, form) -> tuple[list[str], np.ndarray, np.ndarray]:
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 if it can go on an identifier, 2 if it can also begin one, else 0."""
+    import regex
+
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+    out = np.zeros(len(every), np.uint8)
+    for kind, form in ((1, FOLLOWS), (2, BEGINS)):
+        for m in regex.finditer(f"{form}+", every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def places(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(terms, lines, byte columns), both from 1, of the identifiers of a text, in order."""
-    found = [(m[0], m.start()) for m in form.finditer(text)]
-    if not found:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.array([x for _, x in found])
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kind = np.concatenate([[0], _kinds()[points], [0]])
+    # An identifier begins at the first sign of a run that can begin one, and takes the rest of the run.
+    inside = kind > 0
+    run = np.flatnonzero(inside[1:] & ~inside[:-1])
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:])
+    begins = np.flatnonzero(kind[1:-1] == 2)
+    if not len(begins):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.searchsorted(begins, run)
+    at = begins[np.minimum(first, len(begins) - 1)]
+    kept = (first < len(begins)) & (at < ends)
+    at, ends = at[kept], ends[kept]
+    terms = [text[x:y] for x, y in zip(at.tolist(), ends.tolist())]
     feeds = np.flatnonzero(points == 10)
     line = np.searchsorted(feeds, at)
     begin = np.concatenate([[0], feeds + 1])[line]
@@ -117,88 +141,168 @@ def places(text: str, form) -> tuple[list[str], np.ndarray, np.ndarray]:
         size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
         offset = np.concatenate([[0], np.cumsum(size)])
         at, begin = offset[at], offset[begin]
-    return [t for t, _ in found], line + 1, at - begin + 1
+    return terms, line + 1, at - begin + 1
 
 
-def _blocks(batches):
-    """Files (origin, path, stamp, text, _part) in blocks: each file's row, and one for each term of the block."""
-    import regex
+def places_of_files(batches):
+    """Files (origin, path, text) as (term, origin, path, line, col), a row for each identifier."""
+    for batch in batches:
+        held, rows, size = [], [], 0
+
+        def out():
+            take = pa.array(np.concatenate([np.full(len(x[1]), i) for i, x in zip(rows, held)]))
+            numbers = [pa.array(np.concatenate([x[k] for x in held]).astype(np.int32)) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array([t for x in held for t in x[0]], pa.string()), batch.column("origin").take(take), batch.column("path").take(take), *numbers], ["term", "origin", "path", "line", "col"])
+
+        for i, text in enumerate(batch.column("text")):
+            found = places(text.as_py() or "")
+            if found[0]:
+                rows.append(i)
+                held.append(found)
+                size += len(found[0])
+            if size >= MOST_PLACES // 4:
+                yield out()
+                held, rows, size = [], [], 0
+        if held:
+            yield out()
 
-    form = regex.compile(IDENTIFIER)
-    fields = ["kind", "term", "origin", "path", "stamp", "block", "ord", "n", "places"]
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+def _blocks(batches):
+    """Files (origin, path, text, _part) in blocks: each file's row, and one for each term of the block."""
+    fields = ["kind", "term", "origin", "path", "block", "ord", "n", "places"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     number = -1
     files: list[tuple] = []
-    codes: dict[str, int] = {}
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[tuple] = []
     chars = 0
 
+    def row(size: int, **cells):
+        return pa.RecordBatch.from_arrays([cells[f] if f in cells else pa.nulls(size, t) for f, t in zip(fields, types)], fields)
+
     def done():
-        block = files[0][4]
-        rows = [(0, None, *f[:3], f[4], f[3], None, None) for f in files]
+        kind = lambda k, size: {"kind": pa.array(np.full(size, k, np.int32)), "block": pa.array(np.full(size, files[0][2], np.int64))}
+        cells = {"origin": pa.array([f[0] for f in files], pa.string()), "path": pa.array([f[1] for f in files], pa.string()), "ord": pa.array(np.arange(len(files), dtype=np.int32))}
+        yield row(len(files), **kind(0, len(files)), **cells)
         if held:
-            g, o, ln, c = (np.concatenate(x) for x in zip(*held))
+            o, ln, c = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            names = pa.array([t for x in held for t in x[0]], pa.string()).dictionary_encode()
+            g = names.indices.to_numpy()
             order = np.argsort(g, kind="stable")
             g = g[order]
             data, at = coded(g, o[order], ln[order], c[order])
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            counts = np.diff(np.append(first, len(g)))
-            names = list(codes)
-            rows += [(1, names[k], None, None, None, block, None, int(n), data[a:b]) for k, n, a, b in zip(g[first], counts, at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], fields)
+            found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
+            yield row(len(first), **kind(1, len(first)), term=names.dictionary.take(pa.array(g[first])), n=pa.array(np.diff(np.append(first, len(g)))), places=found)
 
     for batch in batches:
-        for origin, path, stamp, text, part in zip(*[batch.column(c) for c in ("origin", "path", "stamp", "text", "_part")]):
+        for origin, path, text, part in zip(*[batch.column(c) for c in ("origin", "path", "text", "_part")]):
             body = text.as_py() or ""
             if files and (len(files) == BLOCK_FILES or chars + len(body) > BLOCK_CHARS):
-                yield done()
-                files, codes, held, chars = [], {}, [], 0
+                yield from done()
+                files, held, chars = [], [], 0
             if not files:
                 number += 1
-            files.append((origin.as_py(), path.as_py(), stamp.as_py(), len(files), (part.as_py() << 20) | number))
-            terms, lines, cols = places(body, form)
+            files.append((origin.as_py(), path.as_py(), (part.as_py() << 20) | number))
+            terms, lines, cols = places(body)
             chars += len(body)
             if terms:
-                g = np.array([codes.setdefault(t, len(codes)) for t in terms])
-                held.append((g, np.full(len(g), len(files) - 1), lines, cols))
+                held.append((terms, np.full(len(terms), len(files) - 1), lines, cols))
     if files:
-        yield done()
+        yield from done()
 
 
-def _opened(batch):
-    """The rows of a batch in portions of about MOST_PLACES places: (first, last, row of each place, places), without those of gone files."""
-    counts = batch.column("n").to_numpy()
-    bounds = np.cumsum(counts)
+def _portions(n: np.ndarray, coded_rows):
+    """Coded rows in portions of about MOST_PLACES places: (row of each place, places)."""
+    bounds = np.cumsum(n)
     at = 0
-    while at < len(counts):
+    while at < len(n):
         end = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + MOST_PLACES, "right")))
-        found = decoded(batch.column("places").slice(at, end - at).to_pylist(), counts[at:end])
-        row = np.repeat(np.arange(at, end), counts[at:end])
-        gone = batch.column("gone").slice(at, end - at).to_pylist()
-        if any(gone):
-            live = np.ones(len(found), bool)
-            for i, g in enumerate(gone):
-                if g:
-                    own = slice(int(bounds[at + i] - counts[at + i] - (bounds[at - 1] if at else 0)), int(bounds[at + i] - (bounds[at - 1] if at else 0)))
-                    live[own] = ~np.isin(found[own, 0], g)
-            found, row = found[live], row[live]
-        yield row, found
+        yield np.repeat(np.arange(at, end), n[at:end]), decoded(coded_rows.slice(at, end - at).to_pylist(), n[at:end])
         at = end
 
 
-def _places(batches):
-    """Rows (term, block, n, places, gone) as (term, block, ord, line, col), places of files in ``gone`` left out."""
+def _opened(batch):
+    """The rows (term, block, n, places, gone) of a batch in portions: (row of each place, places, whether its file is in ``gone``)."""
+    blocks, first, which = np.unique(batch.column("block").to_numpy(), return_index=True, return_inverse=True)
+    lists = [x or [] for x in batch.column("gone").take(pa.array(first)).to_pylist()]
+    width = 1 + max((max(x) for x in lists if x), default=-1)
+    table = np.zeros((len(blocks), width + 1), bool)
+    for k, x in enumerate(lists):
+        table[k, x] = True
+    for row, found in _portions(batch.column("n").to_numpy(), batch.column("places")):
+        yield row, found, table[which[row], np.minimum(found[:, 0], width)]
+
+
+def _lost(batches):
+    """Rows (term, block, n, places, gone) as (term, n): minus the number of places in ``gone``."""
     for batch in batches:
-        for row, found in _opened(batch):
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("term").take(take), batch.column("block").take(take), *[pa.array(found[:, k].astype(np.int32)) for k in range(3)]], ["term", "block", "ord", "line", "col"])
+        for row, _, gone in _opened(batch):
+            which, n = np.unique(row[gone], return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(which)), pa.array(-n.astype(np.int64))], ["term", "n"])
+
+
+def _located(emit, names: list[str]):
+    """Rows (block, kind, ord, origin, path, term, n, places) by block, its files (kind 0) before its coded rows, to what ``emit`` makes of the places.
+
+    ``emit(row, file, found)`` gets for each place its row and its file within the block, and returns which of them to put
+    out. Places of files that aren't there are left out.
+    """
+
+    def run(batches):
+        own, ords, names_of = None, [], []
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edge = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *edge], [*edge, len(blocks)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if blocks[a] != own:
+                    own, ords, names_of, at_ord = blocks[a], [], [], None
+                if kinds[a] == 0:
+                    ords.append(part.column("ord").to_numpy())
+                    names_of.append(part.select(["origin", "path"]))
+                    at_ord = None
+                    continue
+                if not ords:
+                    continue
+                if at_ord is None:
+                    known, every = np.concatenate(ords), pa.Table.from_batches(names_of).combine_chunks()
+                    at_ord = np.full(int(known.max()) + 2, -1, np.int64)
+                    at_ord[known] = np.arange(len(known))
+                    pairs: dict = {}
+                    path_of = np.array([pairs.setdefault(p, len(pairs)) for p in zip(*(every.column(c).to_pylist() for c in ("origin", "path")))])
+                for row, found in _portions(part.column("n").to_numpy(), part.column("places")):
+                    file = at_ord[np.minimum(found[:, 0], len(at_ord) - 1)]
+                    live = np.flatnonzero(file >= 0)
+                    live = live[emit(row[live], path_of[file[live]], found[live])]
+                    for x in range(0, len(live), MOST_PLACES // 4):
+                        some = live[x : x + MOST_PLACES // 4]
+                        take = pa.array(file[some])
+                        cells = {"term": part.column("term").take(pa.array(row[some])), "line": pa.array(found[some, 1].astype(np.int32)), "col": pa.array(found[some, 2].astype(np.int32))}
+                        cells |= {c: every.column(c).chunk(0).take(take) for c in ("origin", "path")}
+                        yield pa.RecordBatch.from_arrays([cells[c] for c in names], names)
+
+    return run
+
+
+def _all(row, path, found) -> np.ndarray:
+    return np.arange(len(row))
+
+
+def _first_lines(row, path, found) -> np.ndarray:
+    """Of each term and path the place with the smallest line."""
+    key = row * (int(path.max(initial=0)) + 1) + path
+    order = np.lexsort((found[:, 1], key))
+    return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
 
 
 def _kept(batches):
     """Rows (term, block, n, places, gone) coded again without the places of gone files; rows that have none left go."""
     schema = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("places", pa.binary())])
     for batch in batches:
-        for row, found in _opened(batch):
+        for row, found, gone in _opened(batch):
+            row, found = row[~gone], found[~gone]
             if not len(row):
                 continue
             data, at = coded(row, *found.T)
@@ -248,6 +352,12 @@ def _gone(dead: DataFrame) -> DataFrame:
     return dead.groupBy("block").agg(F.collect_set("ord").alias("gone"))
 
 
+def _named(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """``rows`` (origin, path, …) joined to ``names`` (origin, path, …), nulls being equal."""
+    keys = names.withColumnsRenamed({"origin": "_origin", "path": "_path"})
+    return rows.join(keys, F.col("origin").eqNullSafe(F.col("_origin")) & F.col("path").eqNullSafe(F.col("_path")), how).drop("_origin", "_path")
+
+
 class TermIndex:
     """Reads what the newest manifest lists; made anew after a refresh."""
 
@@ -271,19 +381,42 @@ class TermIndex:
         """(term, block, n, places, gone): the coded rows with the dead files of their block."""
         return self._part("postings", POSTINGS).join(_gone(self._part("dead", DEAD)), "block", "left")
 
+    def _by_block(self, emit, columns: str, keep=lambda rows: rows, files: DataFrame | None = None) -> DataFrame:
+        """The places of the coded rows that ``keep`` leaves, in the live files or in ``files``, as ``columns`` (see ``_located``).
+
+        The coded rows are dealt by block, a twentieth of what the places take, and meet the files of their block there.
+        """
+        form = {"ord": "int", "origin": "string", "path": "string", "term": "string", "n": "long", "places": "binary"}
+        laid = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in form.items()])
+        files = (self.files() if files is None else files).select("block", "ord", "origin", "path")
+        both = laid(files, 0).unionByName(laid(keep(self._part("postings", POSTINGS)), 1))
+        return both.repartition("block").sortWithinPartitions("block", "kind", "ord").mapInArrow(_located(emit, [c.split()[0] for c in columns.split(", ")]), columns)
+
     def postings(self, keep=lambda rows: rows) -> DataFrame:
         """(term, origin, path, line, col); ``keep`` chooses among the coded rows by term or block before they are decoded."""
-        found = keep(self.rows()).select("term", "block", "n", "places", "gone").mapInArrow(_places, "term string, block long, ord int, line int, col int")
-        return found.join(self.files().select("origin", "path", "block", "ord"), ["block", "ord"]).select("term", "origin", "path", "line", "col")
+        return self._by_block(_all, "term string, origin string, path string, line int, col int", keep)
+
+    def symbols(self) -> DataFrame:
+        """(origin, path, term, line): the terms of each file with the line each first stands in.
+
+        That is settled within a block; only paths whose rows lie in several blocks are grouped again.
+        """
+        form = "origin string, path string, term string, line int"
+        live = staged(self.files().select("origin", "path", "block", "ord"), "term-files")
+        several = live.groupBy("origin", "path").agg(F.min("block").alias("_a"), F.max("block").alias("_b")).where("_a <> _b")
+        several = staged(_named(live, several, "left_semi"), "term-files-several")
+        whole = self._by_block(_first_lines, form, files=_named(live, several.select("origin", "path").distinct(), "left_anti"))
+        parts = self._by_block(_first_lines, form, lambda rows: rows.join(several.select("block").distinct(), "block", "left_semi"), several)
+        return whole.unionByName(parts.groupBy("origin", "path", "term").agg(F.min("line").alias("line")))
 
     def of_term(self, term: str) -> DataFrame:
         return self.postings(lambda rows: rows.where(F.col("term") == term))
 
     def of_paths(self, paths: DataFrame) -> DataFrame:
         """``postings`` of the files with ``paths`` (path): only the rows of their blocks are decoded."""
-        blocks = self.files().join(paths.select("path").distinct(), "path", "left_semi").select("block").distinct()
-        found = self.postings(lambda rows: rows.join(blocks, "block", "left_semi"))
-        return found.join(paths.select("path").distinct(), "path", "left_semi").select("term", "origin", "path", "line", "col")
+        files = self.files().join(paths.select("path").distinct(), "path", "left_semi")
+        blocks = files.select("block").distinct()
+        return self._by_block(_all, "term string, origin string, path string, line int, col int", lambda rows: rows.join(blocks, "block", "left_semi"), files)
 
 
 def stamped(files: DataFrame, stamp=None) -> DataFrame:
@@ -314,25 +447,28 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, stamp=None, part
         return told
     segment = uuid.uuid4().hex
     base = f"{folder}/segments/{segment}"
-    taken = now.join(diff.where("sign <> '_'").select("origin", "path"), ["origin", "path"], "left_semi")
-    changed = files.select("origin", F.col("rel_path").alias("path"), "text").join(taken, ["origin", "path"])
+    changed = files.select("origin", F.col("rel_path").alias("path"), "text")
+    if index.segments:
+        changed = _named(changed, diff.where("sign <> '_'").select("origin", "path"), "left_semi")
     # A path of very many rows is dealt to several tasks.
     order = ["origin", "path", "_spread"]
     ranged = changed.withColumn("_spread", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
     ranged = (ranged.repartitionByRange(parts, *order) if parts else ranged.repartitionByRange(*order)).sortWithinPartitions(*order)
-    form = "kind int, term string, origin string, path string, stamp long, block long, ord int, n long, places binary"
+    form = "kind int, term string, origin string, path string, block long, ord int, n long, places binary"
     # Versions only rise, so the blocks of all segments differ: 23 bits of version, 20 of task, 20 of block.
-    made = ranged.withColumn("_part", F.lit((index.version + 1) << 20) + F.spark_partition_id()).select("origin", "path", "stamp", "text", "_part").mapInArrow(_blocks, form)
+    made = ranged.withColumn("_part", F.lit((index.version + 1) << 20) + F.spark_partition_id()).select("origin", "path", "text", "_part").mapInArrow(_blocks, form)
     made = staged(made, "term-blocks")
     postings = made.where("kind = 1").select("term", "block", "n", "places")
     postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{base}/postings")
-    made.where("kind = 0").select("origin", "path", "stamp", "block", "ord").write.parquet(f"{base}/files")
-    gone = index.files().join(diff.where("sign <> '+'").select("origin", "path"), ["origin", "path"], "left_semi").select("block", "ord")
+    # The stamps meet the paths here, so that no text is shuffled for them.
+    stamps = _named(made.where("kind = 0").select("origin", "path", "block", "ord"), now, "inner")
+    stamps.select("origin", "path", "stamp", "block", "ord").write.parquet(f"{base}/files")
+    gone = _named(index.files(), diff.where("sign <> '+'").select("origin", "path"), "left_semi").select("block", "ord")
     dead = staged(gone, "term-dead")
     dead.write.parquet(f"{base}/dead")
     # What the dead files had is taken from the counts; of the older segments only their blocks are decoded.
-    old = index.rows().join(dead.select("block").distinct(), "block", "left_semi").select("term", "block", "n", "places", "gone").mapInArrow(_places, "term string, block long, ord int, line int, col int")
-    less = old.join(dead, ["block", "ord"], "left_semi").select("term", F.lit(-1).cast("long").alias("n"))
+    old = index._part("postings", POSTINGS).join(_gone(dead), "block")
+    less = old.select("term", "block", "n", "places", "gone").mapInArrow(_lost, TERMS)
     counts = postings.select("term", "n").unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
     counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
     _publish(spark, folder, index.version + 1, [*index.segments, segment])
@@ -344,7 +480,9 @@ def merge(spark: SparkSession, folder: str) -> None:
     index = TermIndex(spark, folder)
     segment = uuid.uuid4().hex
     base = f"{folder}/segments/{segment}"
-    kept = index.rows().select("term", "block", "n", "places", "gone").mapInArrow(_kept, POSTINGS)
+    rows = index.rows().select("term", "block", "n", "places", "gone")
+    # Rows of blocks without dead files stay as they are coded.
+    kept = staged(rows.where("gone is null").drop("gone").unionByName(rows.where("gone is not null").mapInArrow(_kept, POSTINGS)), "term-kept")
     kept.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{base}/postings")
     index.files().write.parquet(f"{base}/files")
     index.terms().repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")

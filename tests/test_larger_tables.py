@@ -25,3 +25,18 @@ def test_a_line_goes_on_once_whatever_it_meets(monkeypatch):
     assert max(b.nbytes for b in out) < 2 * len(line) + 4 * 300
 
 
+def test_identifiers_by_runs_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    from corpusloom.operators import segments
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab_1٣é日\U0001f600 -\n²") for _ in range(rng.randrange(40)))
+        want = [(m[0], 1 + text.count("\n", 0, m.start()), 1 + len(text[text.rfind("\n", 0, m.start()) + 1 : m.start()].encode())) for m in regex.finditer(segments.IDENTIFIER, text)]
+        terms, lines, cols = segments.places(text)
+        assert list(zip(terms, lines.tolist(), cols.tolist())) == want
+
+
