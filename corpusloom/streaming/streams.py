@@ -205,52 +205,69 @@ def throttle(rows: DataFrame, key: str, tie: str, gap_us: int) -> DataFrame:
     return found.select(F.col("_key").alias(key), F.col("_tie").alias(tie), F.col("_ts").alias("ts"))
 
 
+#: Rows of a key in one entry of its state.
+HELD_AT_ONCE = 1024
+
+
 def _ordered_processor(names: list[str], tie_kind: str, value_kind: str, policy):
     """A processor that holds rows until the watermark passes them and hands them to ``policy`` in order of (time, tie).
 
-    ``policy(state, rows, watermark_us)`` gets the key's state (a tuple of three, or None), the rows that are due and the
-    watermark, and returns the new state, when it wants to be called again, and the rows to put out. One timer a key is
-    set: for the earliest row held or for what the policy asks.
+    ``policy(state, rows, watermark_us)`` gets the key's state (a tuple of three, or None), the rows (us, tie, value) that
+    are due and the watermark, and returns the new state, when it wants to be called again, and the rows to put out. One
+    timer a key is set: for the earliest row held or for what the policy asks. Rows are held as lists of up to
+    ``HELD_AT_ONCE``, in order of arrival, so that the state is asked once for many rows.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     make = Row(*names)
 
+    def packed(rows):
+        for at in range(0, len(rows), HELD_AT_ONCE):
+            us, ties, values = (list(x) for x in zip(*rows[at : at + HELD_AT_ONCE]))
+            yield min(us), us, ties, values
+
     class Ordered(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.held = handle.getMapState("held", f"us long, tie {tie_kind}", f"n long, value {value_kind}")
+            self.held = handle.getListState("held", f"first long, us array<long>, ties array<{tie_kind}>, `values` array<{value_kind}>")
             self.state = handle.getValueState("state", f"a long, b long, tie {tie_kind}, value {value_kind}")
 
         def handleInputRows(self, key, rows, timerValues):
-            first = None
-            for r in rows:
-                at = (r.us, r.tie)
-                n = self.held.getValue(at)[0] if self.held.containsKey(at) else 0
-                self.held.updateValue(at, (n + 1, r.value))
-                first = r.us if first is None else min(first, r.us)
-            if first is not None:
-                self.handle.registerTimer(first // 1000 + 1)
+            new = [(r.us, r.tie, r.value) for r in rows]
+            if new:
+                entries = list(packed(new))
+                if len(entries) == 1:
+                    self.held.appendValue(entries[0])
+                else:
+                    self.held.appendList(entries)
+                self.handle.registerTimer(min(e[0] for e in entries) // 1000 + 1)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = timerValues.getCurrentWatermarkInMs() * 1000
-            due, next_held = [], None
-            for at, value in self.held.iterator():
-                if at[0] < now:
-                    due.append((at[0], at[1], *value))
+            due, later, whole = [], [], []
+            for first, us, ties, values in self.held.get():
+                if first >= now:
+                    whole.append((first, us, ties, values))
+                    continue
+                for r in zip(us, ties, values):
+                    (due if r[0] < now else later).append(r)
+            if due:
+                kept = [*whole, *packed(later)]
+                if kept:
+                    self.held.put(kept)
                 else:
-                    next_held = at[0] if next_held is None else min(next_held, at[0])
-            for us, tie, _, _ in due:
-                self.held.removeKey((us, tie))
+                    self.held.clear()
+            else:
+                kept = whole
             due.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
             state, again, out = policy(self.state.get() if self.state.exists() else None, due, now)
             if state is None:
                 self.state.clear()
             else:
                 self.state.update(state)
-            for when in (next_held, again):
+            for when in (min((e[0] for e in kept), default=None), again):
                 if when is not None:
                     self.handle.registerTimer(when // 1000 + 1)
             return iter([make(*key, *r) for r in out])
@@ -282,11 +299,10 @@ def throttle_stream(stream: DataFrame, key: str, tie: str, gap_us: int, lateness
 
     def policy(state, rows, now):
         last, out = (state[0] if state else None), []
-        for us, t, n, _ in rows:
-            for _ in range(n if gap_us <= 0 else 1):
-                if last is None or us - last >= gap_us:
-                    out.append((t, us))
-                    last = us
+        for us, t, _ in rows:
+            if last is None or us - last >= gap_us:
+                out.append((t, us))
+                last = us
         return (None if last is None else (last, last, None, None)), None, out
 
     return _ordered(stream, key, tie, tie, lateness, {tie: dict(stream.dtypes)[tie], "us": "long"}, policy)
@@ -315,7 +331,7 @@ def stream_status(stream: DataFrame, by: str, value: str, tie: str, ttl_us: int,
 
     def policy(state, rows, now):
         out = []
-        for us, t, _, v in rows:
+        for us, t, v in rows:
             if state and us >= state[1] + ttl_us:
                 out.append((state[3], state[0], state[1] + ttl_us))
                 state = None

@@ -40,3 +40,35 @@ def test_identifiers_by_runs_are_those_of_the_pattern():
         assert list(zip(terms, lines.tolist(), cols.tolist())) == want
 
 
+def test_held_rows_are_few_entries_of_the_state():
+    from types import SimpleNamespace as N
+
+    from corpusloom.streaming import streams
+
+    entries, calls = [], []
+    held = N(appendValue=lambda e: (calls.append(1), entries.append(e)), appendList=lambda es: (calls.append(1), entries.extend(es)), get=lambda: iter(list(entries)), put=lambda es: entries.__setitem__(slice(None), es), clear=entries.clear)
+    value = N(exists=lambda: False, get=lambda: None, update=lambda s: None, clear=lambda: None)
+    handle = N(getListState=lambda *_: held, getValueState=lambda *_: value, registerTimer=lambda ms: None)
+    seen = []
+    made = streams._ordered_processor(["k"], "long", "long", lambda state, rows, now: (None, None, seen.extend(rows) or []))
+    made.init(handle)
+    rows = [(5000 * ((i * 37) % 3000), i, i) for i in range(3000)]
+    list(made.handleInputRows((1,), iter([N(us=u, tie=t, value=v) for u, t, v in rows]), None))
+    assert len(calls) == 1 and len(entries) == 3
+    list(made.handleExpiredTimer((1,), N(getCurrentWatermarkInMs=lambda: 5 * 1000), None))
+    list(made.handleExpiredTimer((1,), N(getCurrentWatermarkInMs=lambda: 1 << 40), None))
+    assert seen == sorted(rows) and not entries
+
+
+def test_trigrams_of_a_block_come_once_over_batches(monkeypatch):
+    from corpusloom.operators import trigrams
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array(["same text", "same text more"])], ["block", "text"])] * 50
+    got = [x for b in trigrams._block_grams(iter(batches)) for x in b.column("gram").to_pylist()]
+    assert len(got) == len(set(got)) == len(trigrams._grams("same text more"))
+
+
+def test_word_at_by_near_terms(spark):
+    postings = index.build_postings(files(spark, ("a", "ab cd ef"), ("b", "é_x")))
+    at = lambda p, c: index.word_at(postings, spark.createDataFrame([(p, 1, c)], "path string, line int, at int")).first().term
+    assert [at("a", 1), at("a", 3), at("a", 5), at("b", 4), at("b", 9)] == ["ab", None, "cd", "é_x", None]
