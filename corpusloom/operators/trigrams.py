@@ -24,7 +24,9 @@ from corpusloom.sources.corpus import COLUMNS
 #: Bytes of text in a block, about; fewest and most blocks. So a trigram's row has at most MOST_BLOCKS numbers.
 BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 256 << 20, 64, 20_000
 #: Characters that trigrams are made of at a time; trigrams that a search asks for at most, the first ones of its literals.
-PIECE, MOST_GRAMS = 1 << 20, 96
+PIECE, MOST_GRAMS = 1 << 18, 96
+#: Trigrams that a task holds at a time, about.
+MOST_HELD = 1 << 20
 FILES, GRAMS = "origin string, root string, rel_path string, text string, block int", "gram long, blocks array<int>"
 
 
@@ -39,16 +41,29 @@ def _grams(text: str) -> np.ndarray:
 
 
 def _block_grams(batches):
-    """(block, gram) of each batch, each once; texts of any length in pieces that overlap."""
+    """(block, gram) of a task's texts; about MOST_HELD grams are held, so some pairs may come twice. Texts of any length in pieces that overlap."""
+    own, held, size = None, [], 0
+
+    def out(grams):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), own, np.int32)), pa.array(grams)], ["block", "gram"])
+
     for batch in batches:
-        held: dict[int, list[np.ndarray]] = {}
         for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py() or ""
+            if held and block != own:
+                yield out(np.unique(np.concatenate(held)))
+                held, size = [], 0
+            own, text = block, text.as_py() or ""
             for at in range(0, len(text), PIECE):
-                held.setdefault(block, []).append(_grams(text[at : at + PIECE + 2]))
-        for block, found in held.items():
-            grams = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, np.int32)), pa.array(grams)], ["block", "gram"])
+                held.append(_grams(text[at : at + PIECE + 2]))
+                size += len(held[-1])
+                if size > MOST_HELD:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > MOST_HELD // 2:
+                        yield out(held[0])
+                        held = []
+                    size = sum(map(len, held))
+    if held:
+        yield out(np.unique(np.concatenate(held)))
 
 
 def write_index(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> None:
