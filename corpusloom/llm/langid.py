@@ -1,7 +1,7 @@
 """Language of texts by Bayesian fusion of four kinds of evidence (operator 4).
 
 * text: likelihoods of hashed byte trigrams of its words, one table row a bucket, learnt on
-  a bounded sample of rows with a declared language; a further class ``und``
+  all rows with a declared language; a further class ``und``
   with equal chances for all buckets stands for what is in no known language;
 * markup: how likely each language is declared as the one the row declares;
 * address: how likely each language has the row's address suffix;
@@ -12,11 +12,11 @@ The last three are counted by grouped aggregation over the text posteriors of
 all rows. The posterior is their product; a row is rejected if it has no text,
 if ``und`` wins, or if the winner has less than ``LEAST`` probability.
 
-How it scales: the texts are read once for the sample and once for their
+How it scales: the texts are read once for the counts and once for their
 likelihoods, of which a few numbers a row are kept; everything after that works
 on them. A hot host is counted partially before the shuffle and joined as one
 row of a small table. The model has a fixed number of buckets for each declared
-language, 128 KB of them; a language of up to ``SAMPLE_ROWS`` rows is learnt on all.
+language, 128 KB of them.
 
 Cases: a text that is null or has no words is rejected; runs of ASCII characters
 with digits or an at sign are left out of the evidence, not what stands around
@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from corpusloom.llm.segments import slices
 from corpusloom.sources.tables import staged
 
-#: Hash buckets of trigrams; rows in the sample of each language, about.
-BUCKETS, SAMPLE_ROWS = 1 << 15, 3000
+#: Hash buckets of trigrams.
+BUCKETS = 1 << 15
 #: Trigrams overlap, so each counts as a third of an independent one; the prior of ``und``; the least posterior.
 TEMPER, UND_PRIOR, LEAST = 1 / 3, 1e-3, 0.5
 #: Rows that a parent's distribution counts as, for hosts, domains and categories.
@@ -68,15 +68,8 @@ def trigram_codes(words: bytes):
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
-def sample(rows: DataFrame, key: str, declared: str, per_language: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``per_language`` rows of each declared language, drawn by a hash of the key."""
-    counts = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).groupBy(F.col(declared).alias("_lang")).agg(F.count("*").alias("_n"))
-    drawn = F.pmod(F.xxhash64(F.lit(21), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(float(per_language)) / F.col("_n")
-    return rows.join(F.broadcast(counts), F.col(declared) == F.col("_lang")).where(drawn)
-
-
 def learn(rows: DataFrame, key: str, text: str, declared: str):
-    """(languages, table): log likelihoods by bucket and class, ``und`` last; a column for each declared language whose sample has words."""
+    """(languages, table): log likelihoods by bucket and class, ``und`` last; a column for each declared language whose rows have words."""
     import numpy as np
     import pyarrow as pa
 
@@ -92,8 +85,9 @@ def learn(rows: DataFrame, key: str, text: str, declared: str):
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=out.names)
 
-    drawn = sample(rows.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(declared).alias("_d")), "_k", "_d")
-    found = drawn.select("_lang", "_t").mapInArrow(count, out).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # Every row with a declared language counts.
+    told = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).select(F.col(declared), F.col(text))
+    found = told.mapInArrow(count, out).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     packed = found.groupBy("lang").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns")).collect()
     langs = sorted(x.lang for x in packed)
     table = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS))

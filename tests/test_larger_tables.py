@@ -72,3 +72,15 @@ def test_word_at_by_near_terms(spark):
     postings = index.build_postings(files(spark, ("a", "ab cd ef"), ("b", "é_x")))
     at = lambda p, c: index.word_at(postings, spark.createDataFrame([(p, 1, c)], "path string, line int, at int")).first().term
     assert [at("a", 1), at("a", 3), at("a", 5), at("b", 4), at("b", 9)] == ["ab", None, "cd", "é_x", None]
+
+
+def test_the_language_table_counts_every_row(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import langid
+
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "xyz").otherwise("abc").alias("text"), F.lit("en").alias("lang"))
+    _, table = langid.learn(rows, "doc_id", "text", "lang")
+    code = langid.trigram_codes(langid.words_only("xyz"))[1]
+    assert abs(table[code, 0] - np.log(900.05 / (27000 + 0.05 * langid.BUCKETS))) < 1e-4
