@@ -13,11 +13,13 @@ and words count that can't be part of an article's subject. A page without that
 without a wrapper, is extracted by those tags and classes alone.
 
 How it scales: all pages are counted by host, template and digest, with partial
-sums. Wrappers are fitted on about ``SAMPLE_PAGES`` different pages of each
-template, drawn by a hash and aligned whole in linear time, so that a host with
-a third of all pages is some small groups too. Every page is then extracted in
-its own row, whole; what it gets from its wrapper is a few short texts by an
-equi-join.
+sums. The different pages of a template, all of them, are dealt by a hash into
+parts of about ``PART_PAGES`` and aligned whole, a wrapper for each part, so that
+a host with a third of all pages is small groups too. What the parts say is
+joined by counts: a text is fixed if it is in all parts, one that is the same
+within a part only varies, and an element's text is the sum over all parts. Every
+page is then extracted in its own row, whole; what it gets from its wrapper is a
+few short texts by an equi-join.
 
 Cases: a null html gives an empty text; a null or odd url belongs to the host
 ''; repeated pages count once in a wrapper; a template seen on one page only has
@@ -27,6 +29,7 @@ they go. Other columns of the input are left out, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -39,8 +42,10 @@ from pyspark.sql import types as T
 
 from corpusloom.sources.tables import staged
 
-#: Different pages of a template in the sample, about; pages that must agree on a fixed text; its share of the main element at most, beyond which the pages are copies.
-SAMPLE_PAGES, FIXED_PAGES, FIXED_SHARE = 8, 3, 0.2
+#: Different pages of a template that are aligned at a time, about, and their characters; every page is in one such part.
+PART_PAGES, PART_CHARS = 32, 1 << 22
+#: Pages that must agree on a fixed text; its share of the main element at most, beyond which the pages are copies.
+FIXED_PAGES, FIXED_SHARE = 3, 0.2
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title)\b.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -349,36 +354,64 @@ def _walk(wrapper: list[dict]):
         yield "close", stack.pop(), None
 
 
-def main_element(wrapper: list[dict]) -> str:
-    """The element under which most of the slots' text stands, elements at the side left out; '' if there is none.
+def _digest(mark: str, x: dict) -> int:
+    """A text with the element around it, as 64 bits."""
+    return int.from_bytes(hashlib.blake2b(f"{mark} {x['shape']} {x['text']}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
-    An article or main element wins; else the innermost element that still holds
-    nine tenths of the varying text.
+
+def _can_be_fixed(mark: str, x: dict) -> bool:
+    return x["shape"] == "#" and x["text"] is not None and not x["optional"] and mark.split(".")[0] not in HEADINGS
+
+
+def constants(wrapper: list[dict]) -> set[int]:
+    """Digests of the texts that are the same on all pages of a wrapper."""
+    return {_digest(mark, x) for event, mark, x in _walk(wrapper) if event == "item" and x["text"] is not None and not x["optional"]}
+
+
+def weights(wrapper: list[dict], shared: set[int] | None = None) -> dict[str, list[int]]:
+    """By element: characters of varying text outside elements at the side, of all text, of text that can be fixed, and its depth; '' is the whole page.
+
+    ``shared``: digests of the texts that are the same in the wrappers of all parts; others vary (None: there are no other parts).
     """
-    held: Counter = Counter()
-    sums, open_, side = [0], Counter(), 0
+    found: dict[str, list[int]] = {}
+    sums, open_, side = [[0, 0, 0]], Counter(), 0
     for event, mark, x in _walk(wrapper):
         if event == "item":
-            if x["text"] is None and not side:
-                sums[-1] += x["chars"]
+            same = x["text"] is not None and (shared is None or x["optional"] or _digest(mark, x) in shared)
+            sums[-1][0] += 0 if same or side else x["chars"]
+            sums[-1][1] += x["chars"]
+            sums[-1][2] += x["chars"] if same and _can_be_fixed(mark, x) else 0
             continue
         apart = _is_side(*_parts(mark))
         if event == "open":
-            sums.append(0)
+            sums.append([0, 0, 0])
             open_[mark] += 1
             side += apart
         else:
             inside = sums.pop()
-            sums[-1] += inside
+            sums[-1] = [a + b for a, b in zip(sums[-1], inside)]
             open_[mark] -= 1
             side -= apart
-            if inside and not open_[mark]:  # of equal marks in each other the outer one counts
-                held[mark] += inside
-    total = sums[0]
+            if not open_[mark]:  # of equal marks in each other the outer one counts
+                old = found.get(mark, [0, 0, 0, 0])
+                found[mark] = [*(a + b for a, b in zip(old, inside)), max(old[3], len(sums))]
+    found[""] = [*sums[0], 0]
+    return found
+
+
+def main_element(wrapper: list[dict]) -> str:
+    """The element under which most of the slots' text stands, elements at the side left out; '' if there is none.
+
+    An article or main element wins; else the innermost element that still holds
+    nine tenths of the varying text.
+    """
+    found = weights(wrapper)
+    total = found.pop("")[0]
+    held = {mark: w[0] for mark, w in found.items() if w[0]}
     centre = [s for s in held if s.split(".")[0] in CENTRE and held[s] >= total / 2]
     wide = centre or [s for s in held if held[s] >= 0.9 * total and s.split(".")[0] not in ("html", "body")]
-    # Inner elements close first, so of equal ones the inner one is taken.
-    return min(wide, key=lambda s: held[s]) if wide and total else ""
+    # Of equal elements the inner one is taken.
+    return min(wide, key=lambda s: (held[s], -found[s][3], s)) if wide and total else ""
 
 
 def fixed_texts(wrapper: list[dict], element: str, n_pages: int) -> list[str]:
@@ -393,7 +426,7 @@ def fixed_texts(wrapper: list[dict], element: str, n_pages: int) -> list[str]:
             inside += (mark == element) * (1 if event == "open" else -1)
         elif inside:
             total += x["chars"]
-            if x["shape"] == "#" and x["text"] is not None and not x["optional"] and mark.split(".")[0] not in HEADINGS:
+            if _can_be_fixed(mark, x):
                 fixed += x["chars"]
                 found.add(mark + " " + x["text"])
     return sorted(found) if n_pages >= FIXED_PAGES and fixed <= FIXED_SHARE * total else []
@@ -468,26 +501,104 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), template_of(F.col("html")).alias("template"))
 
 
-def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, template, element, fixed, wrapper, n_pages) of each host and template with two different pages or more in ``pages`` (page_id, url, html)."""
+_ITEM = "shape string, optional boolean, text string, chars long"
+_PART = f"host string, template long, n_pages long, wrapper string, constants array<long>, items array<struct<{_ITEM.replace(' string', ': string').replace(' boolean', ': boolean').replace(' long', ': long')}>>"
+
+
+def _met(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``found`` by host and template."""
+    keys = found.withColumnsRenamed({"host": "_host", "template": "_template"})
+    return rows.join(keys, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")), how).drop("_host", "_template")
+
+
+def part_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template, n_pages, wrapper, constants, items) of each part of the different pages of a template, of those with two or more in ``pages`` (page_id, url, html).
+
+    Every page is in one part. ``constants`` are digests of the texts that are the same on all pages of the part.
+    """
     import pandas as pd
+    import pyarrow as pa
 
     rows = _keyed(pages.where("html is not null")).select("host", "template", "html", F.xxhash64("html").alias("digest"))
-    # Copies count once: which pages are drawn is settled on digests, which are stored so that their size is known when html is joined.
-    every = staged(rows.select("host", "template", "digest").distinct(), "wrapper-all-digests")
-    counts = staged(every.groupBy("host", "template").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("host").alias("_host"), F.col("template").alias("_template"), "_n"), "wrapper-templates")
-    share = F.pmod(F.xxhash64(F.lit(31), "digest"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    met = every.join(counts, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")))
-    drawn = staged(met.where(share < F.lit(float(sample_pages)) / F.col("_n")).select(F.col("host").alias("_host"), F.col("digest").alias("_digest")), "wrapper-digests")
-    some = rows.join(drawn, (F.col("host") == F.col("_host")) & (F.col("digest") == F.col("_digest")), "left_semi")
-    some = staged(some.groupBy("host", "template", "digest").agg(F.min("html").alias("html")), "wrapper-pages")
+    # Copies count once: how many parts a template has is settled on digests.
+    every = rows.select("host", "template", "digest", F.length("html").alias("_chars")).groupBy("host", "template", "digest").agg(F.max("_chars").alias("_chars"))
+    counts = every.groupBy("host", "template").agg(F.count("*").alias("_n"), F.sum("_chars").alias("_sum")).where("_n > 1")
+    n_parts = F.greatest(F.ceil(F.col("_n") / F.lit(PART_PAGES)), F.ceil(F.col("_sum") / F.lit(PART_CHARS)), F.lit(1))
+    counts = staged(counts.select("host", "template", n_parts.cast("long").alias("_parts")), "wrapper-templates")
+
+    def once(batches):
+        # A group of copies gets to its part once from each task.
+        seen = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist()):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    dealt = _met(rows, counts).withColumn("part", F.pmod(F.xxhash64(F.lit(31), "digest"), F.col("_parts"))).drop("_parts")
+    dealt = dealt.mapInArrow(once, dealt.schema)
 
     def fit(group: "pd.DataFrame") -> "pd.DataFrame":
-        made = infer(list(group.sort_values(["digest", "html"])["html"]))
-        element = main_element(made)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [group["template"].iloc[0]], "element": [element], "fixed": [fixed_texts(made, element, len(group))], "wrapper": [expression(made)], "n_pages": [len(group)]})
+        group = group.drop_duplicates("digest").sort_values("digest")
+        made = infer(list(group["html"]))
+        # Of an optional text that is no slot only its length counts.
+        items = [{k: "" if k == "text" and x["optional"] and x[k] is not None else x[k] for k in ("shape", "optional", "text", "chars")} for x in made]
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [group["template"].iloc[0]], "n_pages": [len(group)], "wrapper": [expression(made)], "constants": [sorted(constants(made))], "items": [items]})
+
+    return dealt.groupBy("host", "template", "part").applyInPandas(fit, _PART)
+
+
+def _rows_of(batches, schema, of):
+    """Rows that ``of`` makes of the items and the other cells of each part, as (host, template, …)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            made = of(part)
+            if made:
+                cells = list(zip(*[(part["host"], part["template"], *x) for x in made]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, schema.types)], schema.names)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template, element, fixed, n_pages) of each host and template with two different pages or more: what the wrappers of all its parts say together."""
+    import pyarrow as pa
 
-    return some.groupBy("host", "template").applyInPandas(fit, "host string, template long, element string, fixed array<string>, wrapper string, n_pages long")
+    parts = staged(part_wrappers(pages), "wrapper-parts")
+    of_template = parts.groupBy("host", "template").agg(F.count("*").alias("_parts"), F.sum("n_pages").alias("n_pages"))
+    # A text is fixed if it is constant in all parts: at most the constants of one part are left for a template.
+    met = parts.select("host", "template", F.explode("constants").alias("digest")).groupBy("host", "template", "digest").agg(F.count("*").alias("_in"))
+    shared = staged(_met(met, of_template).where("_in = _parts").groupBy("host", "template").agg(F.collect_set("digest").alias("shared")), "wrapper-shared")
+    weighed = pa.schema([("host", pa.string()), ("template", pa.int64()), ("mark", pa.string()), *((c, pa.int64()) for c in ("held", "whole", "fixed", "depth"))])
+    weigh = lambda part: [(mark, *w) for mark, w in weights(part["items"], set(part["shared"] or ())).items()]
+    rows = _met(parts.select("host", "template", "items"), shared, "left").mapInArrow(lambda b: _rows_of(b, weighed, weigh), "host string, template long, mark string, held long, whole long, fixed long, depth long")
+    sums = staged(rows.groupBy("host", "template", "mark").agg(*[F.sum(c).alias(c) for c in ("held", "whole", "fixed")], F.max("depth").alias("depth")), "wrapper-weights")
+    total = sums.where("mark = '' AND held > 0").select("host", "template", F.col("held").alias("_total"))
+    name = F.substring_index("mark", ".", 1)
+    centre = name.isin(*CENTRE) & (F.col("held") >= F.col("_total") / 2)
+    wide = (F.col("held") >= F.lit(0.9) * F.col("_total")) & ~name.isin("html", "body")
+    able = _met(sums.where("mark <> '' AND held > 0"), total).where(centre | wide)
+    # As in main_element; of equal elements the inner one is taken.
+    best = able.groupBy("host", "template").agg(F.min(F.struct((~centre).alias("a"), "held", (-F.col("depth")).alias("d"), "mark", "whole", "fixed")).alias("b"))
+    chosen = _met(of_template.select("host", "template", "n_pages"), best.select("host", "template", F.col("b.mark").alias("element"), F.col("b.whole").alias("_whole"), F.col("b.fixed").alias("_fixed")), "left")
+    chosen = staged(chosen.withColumn("element", F.coalesce("element", F.lit(""))), "wrapper-elements")
+    some = chosen.where((F.col("_fixed") > 0) & (F.col("n_pages") >= FIXED_PAGES) & (F.col("_fixed") <= F.lit(FIXED_SHARE) * F.col("_whole"))).select("host", "template", "element")
+    texts = pa.schema([("host", pa.string()), ("template", pa.int64()), ("text", pa.string())])
+
+    def held(part):
+        keep, out, inside = set(part["shared"] or ()), set(), 0
+        for event, mark, x in _walk(part["items"]):
+            if event != "item":
+                inside += (mark == part["element"]) * (1 if event == "open" else -1)
+            elif inside and _can_be_fixed(mark, x) and _digest(mark, x) in keep:
+                out.add((mark + " " + x["text"],))
+        return sorted(out)
+
+    named = _met(_met(parts.select("host", "template", "items"), some), shared).mapInArrow(lambda b: _rows_of(b, texts, held), "host string, template long, text string")
+    fixed = named.groupBy("host", "template").agg(F.sort_array(F.collect_set("text")).alias("fixed"))
+    return _met(chosen.select("host", "template", "element", "n_pages"), fixed, "left").select("host", "template", "element", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"), "n_pages")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

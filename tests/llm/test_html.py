@@ -118,3 +118,32 @@ def test_nothing(spark):
 def test_words_of_the_subject_stay_inside_an_article():
     page = '<body><div class="menu">Home About</div><article><p>First.</p><div class="search-results">Found it.</div><section class="menu">soup and bread</section><div class="notice-board">Pinned.</div><table class="share-price"><tr><td>12</td></tr></table><nav>Top</nav><div class="ad-slot">Buy</div><div id="comments">I agree</div><form>Mail</form></article><div class="related">More</div></body>'
     assert H.extract(page) == "First. Found it. soup and bread Pinned. 12"
+
+
+def test_every_page_of_a_template_counts(spark):
+    """A line that some of 300 pages lack is not fixed, whichever pages they are; one that all of them have is."""
+    def html(i):
+        tail = f"Filed under stories of {i}" if i % 60 == 7 else "Filed under stories"
+        return page(f"Title {i}", [f"words of page {i} {j} and some more of them" for j in range(3)], f"<div class='tail'>{tail}</div><div class='sign'>Our house</div>")
+
+    rows = [(i, "http://a.example/x", html(i)) for i in range(300)] * 2 + [(300 + i, "http://b.example/x", html(1)) for i in range(50)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.main_texts(frame).collect()}
+    for i in range(300):
+        words = " ".join(f"words of page {i} {j} and some more of them" for j in range(3))
+        assert got[i] == f"Title {i} {words} Filed under stories" + (f" of {i}" if i % 60 == 7 else "")
+    found = H.wrappers(frame).collect()
+    assert [(r.host, r.element, r.fixed, r.n_pages) for r in found] == [("a.example", "div.body", ["div.sign Our house"], 300)]
+
+
+def test_parts_say_what_one_wrapper_says(spark, monkeypatch):
+    """A template dealt into parts, of one page at the least, against the wrapper of all its pages."""
+    pages = [page(f"T{i}", [f"own words {i} {j}" * 3 for j in range(2 + i % 3)], "<div class='tail'>Filed</div>" + "<table>t</table>" * (i % 4 == 1)) for i in range(24)]
+    frame = spark.createDataFrame([(i, "http://a.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    made = H.infer([h for i, h in enumerate(pages) if i % 4 != 1])
+    want = (H.main_element(made), H.fixed_texts(made, "div.body", 18))
+    assert want == ("div.body", ["div.tail Filed"])
+    for n in (1, 5, 100):
+        monkeypatch.setattr(H, "PART_PAGES", n)
+        found = {r.n_pages: (r.element, r.fixed) for r in H.wrappers(frame).collect()}
+        assert found == {18: want, 6: (want[0], [*want[1], "table t"])}
