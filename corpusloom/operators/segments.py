@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,18 +48,20 @@ TERMS, DEAD = "term string, n long", "block long, ord int"
 
 def varints(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Numbers as bytes of seven bits, low ones first, and where each begins (with the end)."""
-    numbers = numbers.astype(np.uint64)
-    size = np.ones(len(numbers), np.int64)
-    for k in range(1, 10):
-        size += numbers >= np.uint64(1 << (7 * k))
-    at = np.concatenate([[0], np.cumsum(size)])
+    most = int(numbers.max(initial=0))
+    numbers = numbers.astype(np.uint32 if most < 1 << 32 else np.uint64)
+    longer = [np.flatnonzero(numbers >= numbers.dtype.type(1 << (7 * k))) for k in range(1, 10) if most >= 1 << (7 * k)]
+    size = np.ones(len(numbers), np.int8)
+    for which in longer:
+        size[which] += 1
+    at = np.zeros(len(numbers) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
     out = np.zeros(int(at[-1]), np.uint8)
-    left, rest = np.arange(len(numbers)), numbers.copy()
-    k = 0
-    while len(left):
-        more = size[left] > k + 1
-        out[at[left] + k] = (rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
-        left, rest, k = left[more], rest[more] >> np.uint64(7), k + 1
+    out[at[:-1]] = (numbers & numbers.dtype.type(127)).astype(np.uint8)
+    for k, which in enumerate(longer):
+        rest = numbers[which] >> numbers.dtype.type(7 * (k + 1))
+        out[at[which] + k] |= np.uint8(128)
+        out[at[which] + k + 1] = (rest & numbers.dtype.type(127)).astype(np.uint8)
     return out.tobytes(), at
 
 
@@ -118,53 +121,98 @@ def _kinds() -> np.ndarray:
     return out
 
 
-def places(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(terms, lines, byte columns), both from 1, of the identifiers of a text, in order."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kind = np.concatenate([[0], _kinds()[points], [0]])
-    # An identifier begins at the first sign of a run that can begin one, and takes the rest of the run.
+@lru_cache(1)
+def _byte_kinds() -> np.ndarray:
+    """The same of each byte that is a sign by itself."""
+    return np.append(_kinds()[:128], np.zeros(128, np.uint8))
+
+
+def places_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, texts, lines, byte columns) of the identifiers of an array of texts, in order; texts from 0, the others from 1.
+
+    All of it is done on the bytes as they come, so no text or term becomes a Python string.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, bounds, data = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    kind = _byte_kinds()[raw]
+    leads = np.flatnonzero(raw >= 0xC0)
+    if len(leads):
+        part = lambda k: raw.take(leads + k, mode="clip").astype(np.uint32) & 0x3F
+        lead = raw[leads].astype(np.uint32)
+        size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = np.select([size == 2, size == 3], [(lead & 0x1F) << 6 | part(1), (lead & 0xF) << 12 | part(1) << 6 | part(2)], (lead & 7) << 18 | part(1) << 12 | part(2) << 6 | part(3))
+        own = _kinds()[np.minimum(code, 0x10FFFF)]
+        kind[leads] = own
+        # The other bytes of a sign go on what it goes on.
+        for k in (1, 2, 3):
+            some = np.flatnonzero((size > k) & (leads + k < len(raw)))
+            kind[leads[some] + k] = np.minimum(own[some], 1)
     inside = kind > 0
-    run = np.flatnonzero(inside[1:] & ~inside[:-1])
-    ends = np.flatnonzero(inside[:-1] & ~inside[1:])
-    begins = np.flatnonzero(kind[1:-1] == 2)
-    if not len(begins):
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.searchsorted(begins, run)
-    at = begins[np.minimum(first, len(begins) - 1)]
-    kept = (first < len(begins)) & (at < ends)
-    at, ends = at[kept], ends[kept]
-    terms = [text[x:y] for x, y in zip(at.tolist(), ends.tolist())]
-    feeds = np.flatnonzero(points == 10)
-    line = np.searchsorted(feeds, at)
-    begin = np.concatenate([[0], feeds + 1])[line]
-    if not text.isascii():
-        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-        offset = np.concatenate([[0], np.cumsum(size)])
-        at, begin = offset[at], offset[begin]
-    return terms, line + 1, at - begin + 1
+    edges = bounds[(bounds > 0) & (bounds < len(raw))]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # A run ends with its text.
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    at, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # An identifier begins at the first sign of a run that can begin one, and takes the rest of the run.
+    late = np.flatnonzero(kind[at] != 2)
+    if len(late):
+        begins = np.append(np.flatnonzero(kind == 2), len(raw))
+        at[late] = begins[np.searchsorted(begins, at[late])]
+        kept = at < ends
+        at, ends = at[kept], ends[kept]
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[at] += 1
+        step[ends] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    cuts = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(ends - at, out=cuts[1:])
+    terms = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(raw[inside])])
+    if cuts[-1] < 1 << 31:
+        terms = terms.cast(pa.string())
+    of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, bounds)))
+    feeds = np.flatnonzero(raw == 10)
+    before = np.searchsorted(feeds, at)
+    begin = np.maximum(np.append(0, feeds + 1)[before], bounds[of])
+    return terms, of, before - np.searchsorted(feeds, bounds)[of] + 1, at - begin + 1
+
+
+def places(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(terms, lines, byte columns) of one text."""
+    terms, _, lines, cols = places_in(pa.array([text.encode("utf-8", "replace").decode()]))
+    return terms.to_pylist(), lines, cols
+
+
+def _runs_of(batch, chars: int, most: int):
+    """A batch in runs of neighbouring rows of at most ``most`` rows and ``chars`` characters (a longer row by itself)."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(sizes):
+        end = min(i + most, max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + chars, "right"))))
+        yield batch.slice(i, end - i)
+        i = end
 
 
 def places_of_files(batches):
     """Files (origin, path, text) as (term, origin, path, line, col), a row for each identifier."""
     for batch in batches:
-        held, rows, size = [], [], 0
-
-        def out():
-            take = pa.array(np.concatenate([np.full(len(x[1]), i) for i, x in zip(rows, held)]))
-            numbers = [pa.array(np.concatenate([x[k] for x in held]).astype(np.int32)) for k in (1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array([t for x in held for t in x[0]], pa.string()), batch.column("origin").take(take), batch.column("path").take(take), *numbers], ["term", "origin", "path", "line", "col"])
-
-        for i, text in enumerate(batch.column("text")):
-            found = places(text.as_py() or "")
-            if found[0]:
-                rows.append(i)
-                held.append(found)
-                size += len(found[0])
-            if size >= MOST_PLACES // 4:
-                yield out()
-                held, rows, size = [], [], 0
-        if held:
-            yield out()
+        for run in _runs_of(batch, MOST_PLACES, BLOCK_FILES):
+            terms, of, lines, cols = places_in(run.column("text"))
+            for i in range(0, len(terms), MOST_PLACES // 4):
+                part = slice(i, i + MOST_PLACES // 4)
+                take = pa.array(of[part])
+                numbers = [pa.array(x[part].astype(np.int32)) for x in (lines, cols)]
+                yield pa.RecordBatch.from_arrays([terms.slice(i, MOST_PLACES // 4).cast(pa.string()), run.column("origin").take(take), run.column("path").take(take), *numbers], ["term", "origin", "path", "line", "col"])
+
+
+def _order(codes: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of codes below ``n``, by digits of 16 bits, which numpy sorts in linear time."""
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if n <= 1 << 16 else order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
 
 
 def _blocks(batches):
@@ -172,41 +220,41 @@ def _blocks(batches):
     fields = ["kind", "term", "origin", "path", "block", "ord", "n", "places"]
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     number = -1
-    files: list[tuple] = []
-    held: list[tuple] = []
-    chars = 0
+    files: list = []
+    rows = chars = 0
 
     def row(size: int, **cells):
         return pa.RecordBatch.from_arrays([cells[f] if f in cells else pa.nulls(size, t) for f, t in zip(fields, types)], fields)
 
     def done():
-        kind = lambda k, size: {"kind": pa.array(np.full(size, k, np.int32)), "block": pa.array(np.full(size, files[0][2], np.int64))}
-        cells = {"origin": pa.array([f[0] for f in files], pa.string()), "path": pa.array([f[1] for f in files], pa.string()), "ord": pa.array(np.arange(len(files), dtype=np.int32))}
-        yield row(len(files), **kind(0, len(files)), **cells)
-        if held:
-            o, ln, c = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-            names = pa.array([t for x in held for t in x[0]], pa.string()).dictionary_encode()
+        column = lambda c: pa.concat_arrays([x.column(c) for x in files])
+        block = files[0].column("_part")[0].as_py() << 20 | number
+        kind = lambda k, size: {"kind": pa.array(np.full(size, k, np.int32)), "block": pa.array(np.full(size, block, np.int64))}
+        yield row(rows, **kind(0, rows), origin=column("origin"), path=column("path"), ord=pa.array(np.arange(rows, dtype=np.int32)))
+        terms, of, lines, cols = places_in(column("text"))
+        if len(terms):
+            names = terms.dictionary_encode()
             g = names.indices.to_numpy()
-            order = np.argsort(g, kind="stable")
+            order = _order(g, len(names.dictionary))
             g = g[order]
-            data, at = coded(g, o[order], ln[order], c[order])
+            data, at = coded(g, of[order], lines[order], cols[order])
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
-            yield row(len(first), **kind(1, len(first)), term=names.dictionary.take(pa.array(g[first])), n=pa.array(np.diff(np.append(first, len(g)))), places=found)
+            yield row(len(first), **kind(1, len(first)), term=names.dictionary.take(pa.array(g[first])).cast(pa.string()), n=pa.array(np.diff(np.append(first, len(g)))), places=found)
 
     for batch in batches:
-        for origin, path, text, part in zip(*[batch.column(c) for c in ("origin", "path", "text", "_part")]):
-            body = text.as_py() or ""
-            if files and (len(files) == BLOCK_FILES or chars + len(body) > BLOCK_CHARS):
+        sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        begin = 0
+        for i, size in enumerate(sizes):
+            if rows and (rows == BLOCK_FILES or chars + size > BLOCK_CHARS):
+                if i > begin:
+                    files.append(batch.slice(begin, i - begin))
                 yield from done()
-                files, held, chars = [], [], 0
-            if not files:
-                number += 1
-            files.append((origin.as_py(), path.as_py(), (part.as_py() << 20) | number))
-            terms, lines, cols = places(body)
-            chars += len(body)
-            if terms:
-                held.append((terms, np.full(len(terms), len(files) - 1), lines, cols))
+                files, rows, chars, begin = [], 0, 0, i
+            number += not rows
+            rows, chars = rows + 1, chars + size
+        if len(sizes) > begin:
+            files.append(batch.slice(begin))
     if files:
         yield from done()
 
@@ -342,9 +390,14 @@ def _publish(spark: SparkSession, folder: str, version: int, segments: list[str]
         raise OSError(f"{folder} has been changed meanwhile")
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, which the optimizer knows of."""
+    return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
+
+
 def _read(spark: SparkSession, folder: str, segments: list[str], part: str, schema: str) -> DataFrame:
     found = [f"{folder}/segments/{s}/{part}" for s in segments]
-    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*found) if found else _none(spark, schema)
 
 
 def _gone(dead: DataFrame) -> DataFrame:
@@ -469,7 +522,8 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, stamp=None, part
     # What the dead files had is taken from the counts; of the older segments only their blocks are decoded.
     old = index._part("postings", POSTINGS).join(_gone(dead), "block")
     less = old.select("term", "block", "n", "places", "gone").mapInArrow(_lost, TERMS)
-    counts = postings.select("term", "n").unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
+    # The written postings lie by term, so that partial sums are nearly whole before the shuffle.
+    counts = _read(spark, folder, [segment], "postings", POSTINGS).select("term", "n").unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
     counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
     _publish(spark, folder, index.version + 1, [*index.segments, segment])
     return told
@@ -486,7 +540,7 @@ def merge(spark: SparkSession, folder: str) -> None:
     kept.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{base}/postings")
     index.files().write.parquet(f"{base}/files")
     index.terms().repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
-    spark.createDataFrame([], DEAD).write.parquet(f"{base}/dead")
+    _none(spark, DEAD).write.parquet(f"{base}/dead")
     _publish(spark, folder, index.version + 1, [segment])
 
 

@@ -3,9 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corpusloom.operators import index, results, segments
@@ -146,3 +149,29 @@ def test_fuzzy_runs(spark):
     began = time.time()
     assert [r.span for r in results.fuzzy_topk(long, "v", "licn", 5).collect()] == [1_000_002]
     assert time.time() - began < 20  # cubic time would take days
+
+
+def test_places_of_many_texts_at_once():
+    """Texts of a batch are searched as one run of bytes; none goes on in the next, whatever signs they end with."""
+    rng = random.Random(8)
+    signs = ["a", "Z", "_", "7", "é", "ß", "日", "\U0001d400", "\U0001f600", "٣", "\n", "\r", " ", "-", "́", " "]
+    texts = ["", None, "ab", "cd", "9x", "é", "é", "\n", "日本", "", "x\n", "٣٣", *("".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(800)), "end"]
+    for rows in (texts, texts[3:7], [None], [""], []):
+        for form in (pa.string(), pa.large_string()):
+            array = pa.concat_arrays([pa.array(["left out"], form), pa.array(rows, form)]).slice(1)
+            terms, of, lines, cols = segments.places_in(array)
+            got = list(zip(of.tolist(), terms.to_pylist(), lines.tolist(), cols.tolist()))
+            want = [(i, m[0], n, 1 + len(line[: m.start()].encode())) for i, t in enumerate(rows) for n, line in enumerate((t or "").split("\n"), 1) for m in regex.finditer(segments.IDENTIFIER, line)]
+            assert got == want
+
+
+def test_blocks_cost_little():
+    """Four million characters take no Python string for each identifier."""
+    words = " ".join(f"word{i % 5000} né" for i in range(350_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["o"] * 100), pa.array([f"f{i}" for i in range(100)]), pa.array([words[i * 40_000 : (i + 1) * 40_000] for i in range(100)]), pa.array([1] * 100)], ["origin", "path", "text", "_part"])
+    segments._kinds()
+    tracemalloc.start()
+    n = sum(r.column("n")[i].as_py() for r in segments._blocks([batch]) for i in range(r.num_rows) if r.column("kind")[i].as_py())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == sum(len(WORD.findall(t.as_py())) for t in batch.column("text")) and peak < 120 << 20
