@@ -3,8 +3,10 @@
 A segment holds, for the files that one refresh took in:
 
 * ``postings``: a row for each term and block of files with all its places,
-  delta-coded; sorted by term, so that one term's rows lie together, and a
-  frequent term is as many rows as there are blocks;
+  delta-coded, so that a frequent term is as many rows as there are blocks. Each
+  task of a refresh sorts the rows of its blocks by term and writes them where
+  they stay, so that a term is a page or two of each of its files; ``merge``
+  deals them by term. The files of the blocks are rows without a term before them;
 * ``files``: (origin, path, stamp, block, ord) of each file;
 * ``terms``: (term, n), sorted by term: how many occurrences the segment adds to
   each term, or takes away with the files it replaces;
@@ -234,13 +236,17 @@ def _blocks(batches):
         terms, of, lines, cols = places_in(column("text"))
         if len(terms):
             names = terms.dictionary_encode()
-            g = names.indices.to_numpy()
-            order = _order(g, len(names.dictionary))
+            # By term, so that the rows of a task are a run of sorted ones for each block.
+            by_term = pc.sort_indices(names.dictionary)
+            rank = np.empty(len(by_term), np.int32)
+            rank[by_term.to_numpy()] = np.arange(len(by_term), dtype=np.int32)
+            g = rank[names.indices.to_numpy()]
+            order = _order(g, len(rank))
             g = g[order]
             data, at = coded(g, of[order], lines[order], cols[order])
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
-            yield row(len(first), **kind(1, len(first)), term=names.dictionary.take(pa.array(g[first])).cast(pa.string()), n=pa.array(np.diff(np.append(first, len(g)))), places=found)
+            yield row(len(first), **kind(1, len(first)), term=names.dictionary.take(by_term).cast(pa.string()), n=pa.array(np.diff(np.append(first, len(g)))), places=found)
 
     for batch in batches:
         sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
@@ -400,6 +406,10 @@ def _read(spark: SparkSession, folder: str, segments: list[str], part: str, sche
     return spark.read.schema(schema).parquet(*found) if found else _none(spark, schema)
 
 
+def _coded_rows(spark: SparkSession, folder: str, segments: list[str]) -> DataFrame:
+    return _read(spark, folder, segments, "postings", POSTINGS).where("term is not null")
+
+
 def _gone(dead: DataFrame) -> DataFrame:
     """(block, gone): the dead files of each block, BLOCK_FILES at most."""
     return dead.groupBy("block").agg(F.collect_set("ord").alias("gone"))
@@ -430,9 +440,13 @@ class TermIndex:
         found = self._part("terms", TERMS)
         return found.groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
 
+    def coded_rows(self) -> DataFrame:
+        """(term, block, n, places) of all segments. A filter on term reads the pages that have it only."""
+        return _coded_rows(self.spark, self.folder, self.segments)
+
     def rows(self) -> DataFrame:
         """(term, block, n, places, gone): the coded rows with the dead files of their block."""
-        return self._part("postings", POSTINGS).join(_gone(self._part("dead", DEAD)), "block", "left")
+        return self.coded_rows().join(_gone(self._part("dead", DEAD)), "block", "left")
 
     def _by_block(self, emit, columns: str, keep=lambda rows: rows, files: DataFrame | None = None) -> DataFrame:
         """The places of the coded rows that ``keep`` leaves, in the live files or in ``files``, as ``columns`` (see ``_located``).
@@ -442,7 +456,7 @@ class TermIndex:
         form = {"ord": "int", "origin": "string", "path": "string", "term": "string", "n": "long", "places": "binary"}
         laid = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in form.items()])
         files = (self.files() if files is None else files).select("block", "ord", "origin", "path")
-        both = laid(files, 0).unionByName(laid(keep(self._part("postings", POSTINGS)), 1))
+        both = laid(files, 0).unionByName(laid(keep(self.coded_rows()), 1))
         return both.repartition("block").sortWithinPartitions("block", "kind", "ord").mapInArrow(_located(emit, [c.split()[0] for c in columns.split(", ")]), columns)
 
     def postings(self, keep=lambda rows: rows) -> DataFrame:
@@ -510,20 +524,20 @@ def refresh(spark: SparkSession, folder: str, files: DataFrame, stamp=None, part
     form = "kind int, term string, origin string, path string, block long, ord int, n long, places binary"
     # Versions only rise, so the blocks of all segments differ: 23 bits of version, 20 of task, 20 of block.
     made = ranged.withColumn("_part", F.lit((index.version + 1) << 20) + F.spark_partition_id()).select("origin", "path", "text", "_part").mapInArrow(_blocks, form)
-    made = staged(made, "term-blocks")
-    postings = made.where("kind = 1").select("term", "block", "n", "places")
-    postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{base}/postings")
+    # Coded rows stay where they are made: to deal them by term would write, shuffle and sort all of them once more.
+    made.drop("kind").sortWithinPartitions("term", "block").write.parquet(f"{base}/postings")
     # The stamps meet the paths here, so that no text is shuffled for them.
-    stamps = _named(made.where("kind = 0").select("origin", "path", "block", "ord"), now, "inner")
+    names = _read(spark, folder, [segment], "postings", "term string, origin string, path string, block long, ord int").where("term is null")
+    stamps = _named(names.drop("term"), now, "inner")
     stamps.select("origin", "path", "stamp", "block", "ord").write.parquet(f"{base}/files")
     gone = _named(index.files(), diff.where("sign <> '+'").select("origin", "path"), "left_semi").select("block", "ord")
     dead = staged(gone, "term-dead")
     dead.write.parquet(f"{base}/dead")
     # What the dead files had is taken from the counts; of the older segments only their blocks are decoded.
-    old = index._part("postings", POSTINGS).join(_gone(dead), "block")
+    old = index.coded_rows().join(_gone(dead), "block")
     less = old.select("term", "block", "n", "places", "gone").mapInArrow(_lost, TERMS)
-    # The written postings lie by term, so that partial sums are nearly whole before the shuffle.
-    counts = _read(spark, folder, [segment], "postings", POSTINGS).select("term", "n").unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
+    # Each file of the postings has a term's blocks of its task together, which one partial sum takes in.
+    counts = _coded_rows(spark, folder, [segment]).select("term", "n").unionByName(less).groupBy("term").agg(F.sum("n").alias("n"))
     counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
     _publish(spark, folder, index.version + 1, [*index.segments, segment])
     return told

@@ -188,3 +188,23 @@ def test_only_lines_with_the_symbol_leave_a_file(spark, tmp_path):
     assert len(want) > 60_000 and sorted((r.path, r.line, r.col, r.text) for r in found.collect()) == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "line#" not in " ".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_coded_rows_are_written_where_they_are_made(spark, tmp_path):
+    """A refresh neither stages nor shuffles the coded rows: each file has the rows of one task, sorted by term, after those of its files; ``merge`` deals them by term."""
+    folder = str(tmp_path / "index")
+    files = [(f"f{i:02}", f"every word{i} é{i} z" * 3) for i in range(60)]
+    for part in (files[:40], files):
+        segments.refresh(spark, folder, frame(spark, part).repartition(3), parts=3)
+    tasks = []
+    for path in (tmp_path / "index").rglob("postings/*.parquet"):
+        rows = spark.read.parquet(str(path)).coalesce(1).collect()
+        terms = [(r.term is not None, (r.term or "").encode(), r.block) for r in rows]
+        assert terms == sorted(terms)
+        tasks += {r.block >> 20 for r in rows}
+        assert len({r.block >> 20 for r in rows}) <= 1
+    assert len(tasks) == len(set(tasks)) >= 4
+    assert held(spark, folder) == plain(files)
+    assert {r.term: r.n for r in segments.TermIndex(spark, folder).terms().collect()} == counts(plain(files))
+    segments.merge(spark, folder)
+    assert held(spark, folder) == plain(files) and spark.read.parquet(f"{folder}/segments/{segments.manifest(spark, folder)[1][0]}/postings").where("term is null").isEmpty()
