@@ -7,23 +7,23 @@ format and context give ``FEATURES``; gradient boosted trees score it, and a
 threshold calibrated on held-out candidates selects. Base spans are always
 kept; the model adds those that overlap no base span.
 
-The trees are learnt on a bounded sample: about ``SAMPLE_DOCS`` documents drawn
-by a hash of doc_id. No labelled spans exist, so labels come from evidence that
+The trees are learnt on the candidates of all documents, counted by label and
+features, so what MLlib gets are the different ones with their numbers as
+weights. No labelled spans exist, so labels come from evidence that
 the features do not hold: a base form counts if its check passes (check sum,
 ranges, number of digits, plus sign), a credential if its value has the exact
 form of a key (``KEY``), a spelt-out address if it ends in a domain's suffix,
 and a loose run of digits if it lies in a confirmed number, that is, if it is
 one with its sign or its check withheld. All others are negative, and so are
-words drawn from the texts and the numbers of a few made-up texts with dates and
-amounts (``COUNTER``). What the trees accept is thus what has the format
+words of the texts, each at a part of a candidate's weight, and the numbers of a few made-up texts with dates and
+amounts (``COUNTER``), whose weight grows with the documents. What the trees accept is thus what has the format
 and context of confirmed data, confirmed itself or not. They become a column
 expression, so all documents are scored in their own rows by array functions:
 no shuffle, no Python.
 
 Cases: a null text is empty; offsets are code points; a text of any length with
 any number of matches takes linear time, apart from sorting its spans; without
-candidates of both kinds in the sample nothing is added to the base spans; the
-sample, and so the model, is the same in reruns.
+candidates of both kinds nothing is added to the base spans; the model is the same in reruns.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from corpusloom.sources.tables import staged
 
 #: The kinds in order; the last is only proposed by the method.
 BASE, KINDS = ("email", "ip", "card", "phone"), ("email", "ip", "card", "phone", "secret")
-#: Documents in the training sample, about; trees, their depth; the false share allowed among added spans.
-SAMPLE_DOCS, TREES, DEPTH, FALSE_SHARE = 8000, 10, 3, 0.01
+#: Trees, their depth; the false share allowed among added spans.
+TREES, DEPTH, FALSE_SHARE = 10, 3, 0.01
 SPAN = "array<struct<start:int,end:int,m:string,left:string,after:string>>"
 #: Results of a scan that are put together at a time; characters of a block of text; characters of context.
 CHUNK, BLOCK, CONTEXT = 64, 4096, 24
@@ -58,11 +58,11 @@ CREDENTIAL = r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[:
 KEY = r"(?:^|[:=\x20\"'])(?:[0-9a-f]{12,}|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}|eyJ[0-9A-Za-z_.-]{20,})$"
 SPELT = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}"
 LOOSE = r"(?<![0-9A-Za-z])\(?[0-9][0-9().\x20/-]{6,28}[0-9](?![0-9A-Za-z])"
-#: Words that are negative examples in training: of those that begin a sentence one of so many.
-WORD, ONE_IN = r"(?<=[.!?]\s)[^\s]{6,}+", 8
-#: Texts with numbers that are not personal data, for training: dates, years, amounts, decimals, counts.
+#: Words that are negative examples in training: those that begin a sentence, so many weighing as one candidate.
+WORD, WORDS_AS_ONE = r"(?<=[.!?]\s)[^\s]{6,}+", 8
+#: Texts with numbers that are not personal data, for training: dates, years, amounts, decimals, counts. They are taken once for so many documents.
 COUNTER = ("it was on {y}-{m:02}-{d:02} that", "from {y} - {z} and", "about {d} {n:03} {k:03} of", "the value 3.{n:03}{k:03}{d:02} is", "on {d:02}.{m:02}.{y} they", "no. {y}{n:03}{k:03} was", "{m}/{d}/{y} - {d}/{m}/{z}", "some {d}00 000 000 in", "at {d:02}.{m:02} - {m:02}.{d:02} or", "pages {n:03} - {k:03}, see")
-VARIANTS = 50
+VARIANTS, MADE_FOR = 50, 8000
 CUES = r"(?i)(?:mail|phone|tel|call|card|visa|ip|host|addr|passw|secret|key|token|contact)"
 
 
@@ -112,6 +112,13 @@ def spans(text: Column, pattern: str, worth: Column) -> Column:
     return F.when(worth, F.transform(F.array(F.split(text, pattern, -1)), found)[0]).otherwise(_none())
 
 
+def unplaced(text: Column, pattern: str) -> Column:
+    """The matches of ``spans`` without their offsets and what stands after them."""
+    one = lambda x: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), x["m"].alias("m"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.lit("").alias("after"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.transform(F.filter(parts, lambda x: x["m"].isNotNull()), one).cast(SPAN)
+
+
 def overlaps(own: Column, others: Column) -> Column:
     """For each span of ``own`` whether it overlaps one of ``others``: those before it by the furthest end so far, those after it by the nearest start."""
     named = lambda spans, mine: F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mine).alias("mine"), i.alias("i")))
@@ -219,21 +226,23 @@ def with_candidates(rows: DataFrame) -> DataFrame:
 
 
 def with_labelled(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``with_matches`` with _labelled: (c, sure) for every candidate and for some plain words, see above."""
+    """``rows`` of ``with_matches`` with _labelled: (c, sure, word) for every candidate and for plain words, see above."""
     rows = with_generated(rows)
     base = F.concat(*[F.transform(f"_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in BASE])
-    rows = rows.withColumn("_base", base).withColumn("_words", F.filter(spans(F.col("_text"), WORD, F.lit(True)), lambda x: F.pmod(F.xxhash64(x["m"]), F.lit(ONE_IN)) == 0))
-    taken = F.concat("_base", *[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in GENERATORS])
+    taken = F.concat(base, *[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in GENERATORS])
+    rows = rows.withColumns({"_base": base, "_taken": taken})
+    # Where there is no other span, words need no offsets.
+    rows = rows.withColumn("_words", F.when(F.size("_taken") > 0, spans(F.col("_text"), WORD, F.col("_text").rlike(WORD))).otherwise(unplaced(F.col("_text"), WORD)))
     passes = lambda k: F.transform(f"_raw_{k}", lambda x: CHECKS[k](x["m"]))
     sure = {
         **{f"_raw_{k}": passes(k) for k in BASE},
         "_credential": F.transform("_credential", lambda x: x["m"].rlike(KEY)),
         "_spelt": F.transform("_spelt", lambda x: x["m"].rlike(r"(?:\.|[\])]\x20?)[A-Za-z]{2,4}$")),
-        "_loose": overlaps(F.col("_loose"), F.col("_base")),
+        "_loose": F.when(F.size("_loose") > 0, overlaps(F.col("_loose"), F.col("_base"))).otherwise(F.array().cast("array<boolean>")),
     }
-    each = [F.zip_with(_named_as(kind, column), sure[column], lambda c, s: F.struct(c.alias("c"), s.alias("sure"))) for column, kind in GENERATORS.items()]
-    plain = F.zip_with(_named_as("secret", "_words"), overlaps(F.col("_words"), taken), lambda c, s: F.struct(c.alias("c"), s.alias("sure")))
-    plain = F.transform(F.filter(plain, lambda x: ~x["sure"]), lambda x: F.struct(x["c"].alias("c"), F.lit(False).alias("sure")))
+    each = [F.zip_with(_named_as(kind, column), sure[column], lambda c, s: F.struct(c.alias("c"), s.alias("sure"), F.lit(False).alias("word"))) for column, kind in GENERATORS.items()]
+    apart = F.filter(F.zip_with(_named_as("secret", "_words"), overlaps(F.col("_words"), F.col("_taken")), lambda c, hit: F.struct(c.alias("c"), hit.alias("hit"))), lambda x: ~x["hit"])["c"]
+    plain = F.transform(F.when((F.size("_taken") > 0) & (F.size("_words") > 0), apart).otherwise(_named_as("secret", "_words")), lambda c: F.struct(c.alias("c"), F.lit(False).alias("sure"), F.lit(True).alias("word")))
     return rows.withColumn("_labelled", F.concat(*each, plain))
 
 
@@ -256,30 +265,39 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Trees and threshold from the sample of ``docs``; None without candidates of both kinds."""
+def examples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(label, held, word, made, features, n): how many candidates of all rows of ``docs`` have these features.
+
+    Made-up texts are counted beside them (``made``). Rows with an id are held out, or not, as a whole.
+    """
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_own"), F.lit(False).alias("made"))
+    shown = [(-1 - i, form.format(y=1900 + 7 * v % 130, z=1950 + 11 * v % 80, m=1 + v % 12, d=1 + v % 28, n=v * 37 % 1000, k=v * 101 % 1000), True) for i, (form, v) in enumerate((f, v) for f in COUNTER for v in range(VARIANTS))]
+    counter = docs.sparkSession.createDataFrame(shown, "_key long, _own string, made boolean").withColumn("_key", F.col("_key").cast(own.schema["_key"].dataType))
+    some = with_labelled(with_matches(own.unionByName(counter), "_own"))
+    # Before an inner explode Spark asks whether there is anything, and finds all of it twice.
+    one = some.select((F.pmod(F.xxhash64(F.lit(12), "_key"), F.lit(3)) == 0).alias("held"), "made", F.explode_outer("_labelled").alias("x")).where("x is not null")
+    one = one.select("held", "made", F.col("x.sure").cast("double").alias("label"), F.col("x.word").alias("word"), *[f(F.col("x.c")).cast("double").alias(name) for name, f in FEATURES.items()])
+    return one.groupBy("label", "held", "word", "made", *FEATURES).agg(F.count("*").alias("n"))
+
+
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
+    """Trees and threshold from all rows of ``docs``; None without candidates of both kinds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    drawn = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    # The drawn texts are stored first, or the search for candidates would be pushed before the draw.
-    own = staged(docs.where(drawn).select(F.col(key).alias("_key"), F.col(text).alias("_own")), "pii-sample")
-    shown = [(-1 - i, form.format(y=1900 + 7 * v % 130, z=1950 + 11 * v % 80, m=1 + v % 12, d=1 + v % 28, n=v * 37 % 1000, k=v * 101 % 1000)) for i, (form, v) in enumerate((f, v) for f in COUNTER for v in range(VARIANTS))]
-    counter = docs.sparkSession.createDataFrame(shown, "_key long, _own string").withColumn("_key", F.col("_key").cast(own.schema["_key"].dataType))
-    some = with_labelled(with_matches(own.unionByName(counter), "_own"))
-    one = some.select("_key", F.explode("_labelled").alias("x"))
-    one = one.select("_key", F.col("x.sure").cast("double").alias("label"), *[f(F.col("x.c")).cast("double").alias(name) for name, f in FEATURES.items()])
-    one = staged(one.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "_key"), F.lit(3)) == 0).repartition(4), "pii-candidates")
+    # Words and made-up texts weigh the same beside the candidates whatever the number of documents.
+    share = max(1.0, docs.count() / MADE_FOR)
+    weight = F.col("n") * F.when(F.col("made"), share).otherwise(1.0) / F.when(F.col("word"), float(WORDS_AS_ONE)).otherwise(1.0)
+    columns = ["label", "held", "word", "made", *FEATURES]
+    one = staged(examples(docs, key, text).withColumn("weight", weight).repartition(4).sortWithinPartitions(*columns), "pii-candidates")
     counts = {(x.label, x.held): x["count"] for x in one.groupBy("label", "held").count().collect()}
     if not all(counts.get((label, held)) for label in (0.0, 1.0) for held in (False, True)):
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(one.where("not held"))
-    learnt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, maxBins=32).fit(vectors)
+    learnt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, maxBins=32, weightCol="weight").fit(vectors)
     model = Model([t._java_obj.rootNode() for t in learnt.trees], learnt.treeWeights, 1.0)
     # The lowest threshold above which false ones are few enough among those held out; a hundred bins go to the driver.
-    binned = one.where("held").select(F.floor(model.score({name: F.col(name) for name in FEATURES}) * 100).alias("bin"), "label").groupBy("bin").agg(F.sum("label").alias("true"), F.count("*").alias("n"))
+    binned = one.where("held").select(F.floor(model.score({name: F.col(name) for name in FEATURES}) * 100).alias("bin"), "label", "weight").groupBy("bin").agg(F.sum(F.col("label") * F.col("weight")).alias("true"), F.sum("weight").alias("n"))
     true = false = 0
     for x in sorted(binned.collect(), key=lambda x: -x.bin):
         true, false = true + x.true, false + x.n - x.true
