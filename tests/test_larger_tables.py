@@ -84,3 +84,14 @@ def test_the_language_table_counts_every_row(spark):
     _, table = langid.learn(rows, "doc_id", "text", "lang")
     code = langid.trigram_codes(langid.words_only("xyz"))[1]
     assert abs(table[code, 0] - np.log(900.05 / (27000 + 0.05 * langid.BUCKETS))) < 1e-4
+
+
+def test_a_pattern_of_a_table_is_tried_once_on_a_line(spark):
+    from corpusloom.operators import grep
+
+    corpus = files(spark, ("a", "word and words\nWORD\nno such"), ("b", "a word"))
+    hits = many.grep_table(corpus, spark.createDataFrame([("word(?!s)",), ("wordy",), ("such$",)], "pattern string"))
+    assert "RLIKE" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.pattern, r.path, r.line, r.col, r.match, r.text) for r in hits.collect())
+    want = sorted((p, r.path, r.line, r.col, r.match, r.text) for p in ("word(?!s)", "wordy", "such$") for r in grep.grep(corpus, p).collect())
+    assert got == want and len(got) == 4
